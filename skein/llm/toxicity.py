@@ -22,7 +22,8 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,19 +50,38 @@ def units(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:k]}*" for k in range(4, min(len(word), 8) + 1))]
 
 
+def groups(texts: list[set[str]], sketch: int = 16, common: float = 0.02) -> list[int]:
+    """A number for each text, equal for texts that share half of their least rare words by hash: copies aren't independent evidence."""
+    seen = Counter(w for t in texts for w in t)
+    most = max(3, common * len(texts))
+    least = [sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in t if seen[w] <= most)[:sketch] for t in texts]
+    where: dict[int, int] = {}
+    out: list[int] = []
+    for i, s in enumerate(least):
+        votes = Counter(where[h] for h in s if h in where)
+        g, n = votes.most_common(1)[0] if votes else (i, 0)
+        out.append(g if n and 2 * n >= len(s) else i)
+        for h in s:
+            where.setdefault(h, out[i])
+    return out
+
+
 def bound_units(texts: list[set[str]], toxic: list[bool]) -> frozenset[str]:
-    share = sum(toxic) / len(toxic)
-    in_toxic, in_clean = Counter(), Counter()
-    for t, y in zip(texts, toxic, strict=True):
-        (in_toxic if y else in_clean).update({u for w in t for u in units(w)})
-    tested = sum(1 for u, a in in_toxic.items() if a + in_clean[u] >= 3)
+    """Units whose documents are toxic more often than not, and beyond chance; near copies count once."""
+    kind = list(zip(groups(texts), toxic, strict=True))
+    share = sum(y for _, y in set(kind)) / len(set(kind))
+    in_toxic: dict[str, set[int]] = defaultdict(set)
+    in_clean: dict[str, set[int]] = defaultdict(set)
+    for t, (g, y) in zip(texts, kind, strict=True):
+        for u in {u for w in t for u in units(w)}:
+            (in_toxic if y else in_clean)[u].add(g)
+    tested = sum(1 for u, a in in_toxic.items() if len(a) + len(in_clean.get(u, ())) >= 3)
     need, out = np.log(max(tested, 1) / CHANCE), set()
     for u, a in in_toxic.items():
-        n = a + in_clean[u]
-        p = a / n
-        if n >= 3 and p >= max(0.9, share):
-            ratio = a * np.log(p / share) + (n - a) * np.log(max(1 - p, 1e-9) / (1 - share))
-            if ratio >= need:
+        a, b = len(a), len(in_clean.get(u, ()))
+        p = a / (a + b)
+        if a + b >= 3 and p >= max(0.5, share):
+            if a * np.log(p / share) + b * np.log(max(1 - p, 1e-9) / (1 - share)) >= need:
                 out.add(u)
     return frozenset(out)
 
