@@ -8,8 +8,10 @@ sequences of at most ``SPAN`` words, so that many are run side by side; no word
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
@@ -17,24 +19,29 @@ import numpy as np
 SLOTS = 1 << 17
 #: Words of a sequence at most.
 SPAN = 64
-#: Words whose scores a worker keeps; it starts anew beyond that.
-CACHE_WORDS = 200_000
-#: Characters of a word from either end that its affixes and n-grams are taken from.
+#: Words whose scores a worker keeps from task to task; it starts anew beyond that.
+CACHE_WORDS = 500_000
+#: Bytes of a word from either end that its affixes and n-grams are taken from.
 REACH = 24
 
 
+crc = zlib.crc32
+
+
 def features(word: str, lexicon: frozenset[str] = frozenset()) -> list[int]:
-    """Slots of a word: itself, prefixes and suffixes up to 5, bigrams and trigrams, lexicon hits."""
-    w = word if len(word) <= 2 * REACH else word[:REACH] + word[-REACH:]
+    """Hashes of a word's features: itself, prefixes and suffixes up to 5, bigrams and trigrams, lexicon hits."""
+    data = word.encode("utf-8", "surrogatepass")
+    w = data if len(data) <= 2 * REACH else data[:REACH] + data[-REACH:]
     n = len(w)
-    names = [f"w{word}", f"n{min(n, 12)}"]
-    names += [f"p{w[:k]}" for k in range(1, min(n, 5) + 1)]
-    names += [f"s{w[-k:]}" for k in range(1, min(n, 5) + 1)]
-    marked = f"^{w}$"
-    names += [f"g{marked[i : i + 2]}" for i in range(n + 1)] + [f"g{marked[i : i + 3]}" for i in range(n)]
+    marked = b"^" + w + b"$"
+    out = [crc(data), crc(b"%d" % min(n, 12), 1)]  # the checksum's start value keeps the kinds apart
+    out += [crc(w[:k], 2) for k in range(1, min(n, 5) + 1)]
+    out += [crc(w[-k:], 3) for k in range(1, min(n, 5) + 1)]
+    out += [crc(marked[i : i + 2], 4) for i in range(n + 1)]
+    out += [crc(marked[i : i + 3], 5) for i in range(n)]
     if lexicon:
-        names += [f"l{x}" for x in lexicon_hits(word, lexicon)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in names]
+        out += [crc(x.encode("utf-8", "surrogatepass"), 6) for x in lexicon_hits(word, lexicon)]
+    return out
 
 
 def lexicon_hits(word: str, lexicon: frozenset[str]) -> list[str]:
@@ -55,7 +62,7 @@ class Crf:
         """Emission scores of each word, shifted so that the best is 0."""
         slots = [features(w, self.lexicon) for w in words]
         lens = np.fromiter(map(len, slots), np.int64, len(slots))
-        flat = np.fromiter((x for s in slots for x in s), np.int64, int(lens.sum()))
+        flat = np.fromiter((x for s in slots for x in s), np.int64, int(lens.sum())) % SLOTS
         out = np.add.reduceat(self.weights[flat], np.r_[0, np.cumsum(lens)[:-1]], axis=0) if len(words) else np.zeros((0, len(self.labels)))
         out /= np.sqrt(lens)[:, None]
         return out - out.max(1, keepdims=True)
@@ -103,7 +110,7 @@ def train(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], lex
     crf = Crf(labels, np.zeros((SLOTS, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels), lexicon)
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t], np.int64) for t in texts]
-    slots = [np.array(features(w, lexicon), np.int64) for w in vocab]
+    slots = [np.array(features(w, lexicon), np.int64) % SLOTS for w in vocab]
     segments = [(x[i : i + SPAN], y[i : i + SPAN]) for x, y in zip(ids, tags, strict=True) for i in range(0, len(x), SPAN)]
     g_w, g_m, g_s = np.full_like(crf.weights, 1e-6), np.full_like(crf.moves, 1e-6), np.full_like(crf.starts, 1e-6)
     for _ in range(epochs if segments else 0):
@@ -140,6 +147,18 @@ def train(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], lex
     return crf
 
 
+_KEPT: dict[str, Tagger] = {}
+
+
+def tagger_of(crf: Crf) -> Tagger:
+    """The worker's tagger for a model, which is kept for its next tasks."""
+    key = crf.extra.setdefault("key", uuid.uuid4().hex)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Tagger(crf)
+    return _KEPT[key]
+
+
 class Tagger:
     """Marginals for many texts at once, with a bounded cache of the scores of words."""
 
@@ -150,17 +169,19 @@ class Tagger:
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         look = self.known
-        need = list(dict.fromkeys(w for t in texts for w in t if w not in look))
+        need = list({w for t in texts for w in t if w not in look})
         if len(look) + len(need) > CACHE_WORDS:
             look.clear()
-            self.table = self.table[:0]
-            need = list(dict.fromkeys(w for t in texts for w in t))
+            need = list({w for t in texts for w in t})
         if need:
-            look.update(zip(need, range(len(look), len(look) + len(need)), strict=True))
-            self.table = np.concatenate([self.table, np.exp(self.crf.scores(need)).astype(np.float32)])
+            old, new = len(look), len(look) + len(need)
+            look.update(zip(need, range(old, new), strict=True))
+            if new > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(new, len(self.table)), self.table.shape[1]), np.float32)])
+            self.table[old:new] = np.maximum(np.exp(self.crf.scores(need)), 1e-20)
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        ids = np.fromiter((look[w] for t in texts for w in t), np.int64, int(counts.sum()))
+        ids = np.fromiter(map(look.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
         if not len(ids):
             return [np.zeros((0, len(self.crf.labels)), np.float32) for _ in texts]
-        out = forward_backward(np.maximum(self.table[ids], 1e-20), spans(counts), self.crf.moves.astype(np.float32), self.crf.starts.astype(np.float32))
+        out = forward_backward(self.table[ids], spans(counts), self.crf.moves.astype(np.float32), self.crf.starts.astype(np.float32))
         return np.split(out, np.cumsum(counts)[:-1])

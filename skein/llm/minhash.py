@@ -10,10 +10,11 @@ likely found all the same, since any chunk will do; candidates are given up only
 or for their sizes, and the others are verified on their full sets.
 
 Documents with equal sets are one class, represented by its smallest id. A bucket doesn't expand
-into all its pairs: each member is compared with the bucket's first. Only where one of those
-comparisons fails, and members of a bucket are in different components after that, are the pairs
-across components compared, those of the largest component streaming past the others. No bucket
-is capped and no link between components is lost. Sets are compared by their 64-bit hashes.
+into all its pairs: each member is compared with the bucket's first. Where such a comparison
+fails and members of a bucket are in different components after that, components with near signatures in
+the bucket are put into one cluster (at most an edge for each member), and a cluster's full sets
+are compared across components in blocks that any number of tasks share; only links come out. No
+bucket is capped and no link between components is lost. Sets are compared by their 64-bit hashes.
 
 Nulls and edge cases: a null or empty text has no shingle and no link; a text with fewer than ``K`` words
 has one, the whole sequence; rows with a null id have no link, a null component and are kept;
@@ -40,8 +41,10 @@ K = 5
 PERCENT = 85
 CHUNKS, WIDTH, ERRORS, RADIUS = 10, 6, 1, 19
 PLACES = CHUNKS * WIDTH
-#: Distance beyond which a candidate isn't verified; at the threshold one in a thousand million pairs is.
-LOOSE = 30
+#: Distance beyond which a candidate isn't verified; at the threshold one in a million pairs is.
+LOOSE = 24
+#: Members of a block when a cluster is compared all against all.
+BLOCK = 256
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, PLACES, dtype=np.uint64)
@@ -144,9 +147,8 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough; the sets are made from the texts of the classes in pairs alone."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct().join(classes.select("_c", "_rep"), "_c")
+def sets_of(need: DataFrame, docs: DataFrame) -> DataFrame:
+    """_c and _set (sorted hashes) of the classes ``need`` (_c, _rep), made from their representatives' texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,6 +162,14 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                 c, s = zip(*out, strict=True) if out else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.binary())], ["_c", "_set"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("_rep"), F.col("text").cast("string").alias("_text")).join(need, "_rep").select("_c", "_text")
+    return stage(texts.mapInArrow(sets, "_c long, _set binary").dropDuplicates(["_c"]), "sets")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct().join(classes.select("_c", "_rep"), "_c")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -172,8 +182,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_rep"), F.col("text").cast("string").alias("_text")).join(need, "_rep").select("_c", "_text")
-    made = stage(texts.mapInArrow(sets, "_c long, _set binary").dropDuplicates(["_c"]), "sets")
+    made = sets_of(need, docs)
     end = lambda x: made.select(F.col("_c").alias(x), F.col("_set").alias(f"_{x}"))
     out = stage(pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long"), "links")
     drop(made)
@@ -181,47 +190,111 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def across(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members in different components that their signatures don't rule out.
+    """Edges u < w between components of a bucket's members that have near signatures, so that near components are connected.
 
     ``members`` (_key, _c, comp, _n, _sig) arrive by bucket, the largest component last: the others are held,
-    it streams past them.
+    it streams past them. A component that is connected already looks no further: the edges are at most as many as the members.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key0: int | None = None
-        held: list[list[np.ndarray]] = []
-        step = 512
-
-        def match(p: list[np.ndarray], q: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(p[0]), step):
-                for j in range(0, len(q[0]), step):
-                    (c, k, n, s), (d, l, m, t) = ([x[i : i + step] for x in p], [x[j : j + step] for x in q])  # noqa: E741
-                    ok = (k[:, None] != l) & (100 * np.minimum(n[:, None], m) >= PERCENT * np.maximum(n[:, None], m))
-                    x, y = np.nonzero(ok)
-                    near_ = (s[x] != t[y]).sum(1) <= LOOSE
-                    x, y = c[x[near_]], d[y[near_]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                key, last = b.column(0).to_numpy(), b.column(1).to_numpy()
-                cols = [*(b.column(i).to_numpy() for i in (2, 3, 4)), np.frombuffer(b"".join(b.column(5).to_pylist()), "<u2").reshape(-1, PLACES)]
-                cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (last[1:] != last[:-1])])
-                for lo, hi in zip(cut, [*cut[1:], len(key)], strict=True):
-                    if key[lo] != key0:
-                        key0, held = int(key[lo]), []
-                    part = [x[lo:hi] for x in cols]
-                    for old in held:
-                        yield from match(old, part)
-                    if not last[lo]:
-                        yield from match(part, part)
-                        held.append(part)
+            out: list[tuple[int, int]] = []
+            key, last, comp, size = (batch.column(i).to_numpy() for i in range(4))
+            sigs = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u2").reshape(-1, PLACES)
+            for i in range(batch.num_rows):
+                if key[i] != key0:  # label: what a component is connected to so far; held: the members outside the largest
+                    key0, label, held = int(key[i]), {}, 0
+                    held_label, held_comp, held_n = (np.zeros(16, np.int64) for _ in range(3))
+                    held_sig = np.zeros((16, PLACES), np.uint16)
+                own = int(comp[i])
+                mine = label.setdefault(own, own)
+                at = np.flatnonzero(held_label[:held] != mine)
+                if len(at):
+                    fits = (100 * np.minimum(held_n[at], size[i]) >= PERCENT * np.maximum(held_n[at], size[i])) & ((held_sig[at] != sigs[i]).sum(1) <= LOOSE)
+                    for c in np.unique(held_comp[at[fits]]).tolist():
+                        if label[c] != mine:
+                            out.append((min(own, c), max(own, c)))
+                            old = label[c]
+                            held_label[:held][held_label[:held] == old] = mine
+                            label.update({x: mine for x, y in label.items() if y == old})
+                if not last[i]:
+                    if held == len(held_n):
+                        held_label, held_comp, held_n, held_sig = (np.concatenate([x, np.zeros_like(x)]) for x in (held_label, held_comp, held_n, held_sig))
+                    held_label[held], held_comp[held], held_n[held], held_sig[held] = mine, own, size[i], sigs[i]
+                    held += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "w"])
 
     count = members.groupBy("_key", "comp").agg(F.count("*").alias("n"))
     top = count.groupBy("_key").agg(F.max(F.struct("n", "comp")).alias("x"), F.count("*").alias("comps")).filter("comps > 1").select("_key", F.col("x.comp").alias("_top"))
-    rows = members.join(top, "_key").select("_key", (F.col("comp") == F.col("_top")).cast("int").alias("_last"), "_c", "comp", "_n", "_sig")
-    return rows.repartition("_key").sortWithinPartitions("_key", "_last").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    rows = members.join(top, "_key").select("_key", (F.col("comp") == F.col("_top")).cast("int").alias("_last"), "comp", "_n", "_sig")
+    return rows.repartition("_key").sortWithinPartitions("_key", "_last").mapInArrow(run, "u long, w long")
+
+
+def similar(sets_x: list[np.ndarray], sets_y: list[np.ndarray]) -> np.ndarray:
+    """Whether the sets of either list are similar enough, all against all, by products of membership matrices."""
+    flat_x, flat_y = np.concatenate(sets_x), np.concatenate(sets_y)
+    both = np.intersect1d(flat_x, flat_y)
+    count = np.zeros((len(sets_x), len(sets_y)), np.float64)
+    place = [(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.searchsorted(both, f), np.isin(f, both)) for s, f in ((sets_x, flat_x), (sets_y, flat_y))]
+    for lo in range(0, len(both), 8192):
+        m = []
+        for (row, col, known), s in zip(place, (sets_x, sets_y), strict=True):
+            on = known & (col >= lo) & (col < lo + 8192)
+            x = np.zeros((len(s), min(8192, len(both) - lo)), np.float32)
+            x[row[on], col[on] - lo] = 1
+            m.append(x)
+        count += m[0] @ m[1].T
+    size_x, size_y = (np.array([len(x) for x in s]) for s in (sets_x, sets_y))
+    return 100 * count >= PERCENT * (size_x[:, None] + size_y - count)
+
+
+def between(members: DataFrame) -> DataFrame:
+    """Links u, w of components of a cluster, by full sets: all its members against those outside its largest component, in blocks.
+
+    ``members`` (_cluster, comp, _set). A pair of blocks is one group of at most about ``2 * BLOCK`` rows; any
+    number of tasks can share a cluster.
+    """
+    count = members.groupBy("_cluster", "comp").agg(F.count("*").alias("n"))
+    total = count.groupBy("_cluster").agg(F.max(F.struct("n", "comp")).alias("x"), F.sum("n").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    plan = total.select("_cluster", F.col("x.comp").alias("_top"), blocks(F.col("all") - F.col("x.n")).alias("_few"), blocks(F.col("x.n")).alias("_many"))
+    rows = members.join(plan, "_cluster")
+    big = F.col("comp") == F.col("_top")
+    own = F.pmod(F.xxhash64("_c"), F.when(big, F.col("_many")).otherwise(F.col("_few"))).cast("int")
+    few, many = F.sequence(F.lit(0), F.col("_few") - 1), F.sequence(F.lit(0), F.col("_many") - 1)
+    # (i, j, 0): blocks i <= j outside the largest component; (i, j, 1): block i outside, block j of the largest.
+    jobs = F.when(big, F.transform(few, lambda i: F.struct(i.alias("i"), F.col("_own").alias("j"), F.lit(1).alias("k")))).otherwise(
+        F.concat(
+            F.transform(few, lambda i: F.struct(F.least(i, F.col("_own")).alias("i"), F.greatest(i, F.col("_own")).alias("j"), F.lit(0).alias("k"))),
+            F.transform(many, lambda j: F.struct(F.col("_own").alias("i"), j.alias("j"), F.lit(1).alias("k"))),
+        )
+    )
+    dealt = rows.withColumn("_own", own).select("comp", "_set", F.explode(jobs).alias("x"), "_cluster", big.cast("int").alias("_big")).select(F.xxhash64("_cluster", "x.i", "x.j", "x.k").alias("_job"), "_big", "comp", "_set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            x = [r for r in rows if not r[1]]
+            y = [r for r in rows if r[1]] or x
+            out: set[tuple[int, int]] = set()
+            for lo in range(0, len(x), BLOCK):
+                for hi in range(0, len(y), BLOCK):
+                    p, q = x[lo : lo + BLOCK], y[hi : hi + BLOCK]
+                    ok = similar([r[3] for r in p], [r[3] for r in q])
+                    out |= {(min(p[i][2], q[j][2]), max(p[i][2], q[j][2])) for i, j in zip(*np.nonzero(ok), strict=True) if p[i][2] != q[j][2]}
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "w"])
+
+        held: list[tuple] = []
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(3)), (np.frombuffer(z.as_buffer(), np.uint64) for z in b.column(3)), strict=True):
+                if held and held[0][0] != r[0]:
+                    yield from told(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from told(held)
+
+    return dealt.repartition("_job").sortWithinPartitions("_job").mapInArrow(run, "u long, w long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -245,13 +318,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = components(by_id(links), "u", "w")
     failed = star.filter("_key is not null").join(links.withColumn("_ok", F.lit(1)), ["a", "b"], "left").filter("_ok is null").select("_key").distinct()
     open_ = star.join(failed, "_key").select("_key", F.explode(F.array("a", "b")).alias("_c")).distinct()
-    where = classes.join(comp, F.col("_rep") == F.col("v"), "left").select("_c", F.coalesce("component", "_rep").alias("comp"), "_n", "_sig")
-    more = across(open_.join(where, "_c").select("_key", "_c", "comp", "_n", "_sig")).join(asked, ["a", "b"], "left_anti")
-    more = stage(more, "across")
+    where = stage(classes.join(comp, F.col("_rep") == F.col("v"), "left").select("_c", "_rep", F.coalesce("component", "_rep").alias("comp"), "_n", "_sig"), "where")
+    near_comps = stage(across(open_.join(where, "_c").select("_key", "_c", "comp", "_n", "_sig")).distinct(), "across")
     drop(star)
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, classes, docs))
-    final = components(by_id(links).unionByName(own), "u", "w").withColumnsRenamed({"v": "_v"})
+    edges = by_id(links).unionByName(own)
+    if not near_comps.isEmpty():
+        cluster = components(near_comps, "u", "w").select(F.col("v").alias("comp"), F.col("component").alias("_cluster"))
+        inside = stage(where.join(cluster, "comp").select("_c", "_rep", "comp", "_cluster"), "inside")
+        made = sets_of(inside.select("_c", "_rep"), docs)
+        edges = edges.unionByName(stage(between(inside.join(made, "_c").select("_c", "_cluster", "comp", "_set")), "between"))
+    final = components(edges, "u", "w").withColumnsRenamed({"v": "_v"})
     of_class = rep.join(final, F.col("_rep") == F.col("_v"), "left").select("_x", F.coalesce("component", "_rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("_c")).alias("_c")).join(of_class, F.col("_c") == F.col("_x"), "left")
     component = F.coalesce("component", "doc_id")

@@ -154,20 +154,32 @@ def by_minimizer(rows: DataFrame) -> DataFrame:
 def by_path(rows: DataFrame) -> DataFrame:
     """The same for minimizers with many pieces, by distinct paths."""
     rows = stage(rows.withColumn("_p", F.xxhash64("_m", "_edges")), "paths")
-    paths = rows.groupBy("_p").agg(F.count("*").alias("n"), F.first("_edges").alias("_edges"))
+    paths = stage(rows.groupBy("_p").agg(F.count("*").alias("n"), F.first("_edges").alias("_edges")), "classes")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # summed up before they are shuffled
+            for at in range(0, batch.num_rows, 8192):
+                b = batch.slice(at, 8192)
+                edges = b.column(1).to_pylist()
+                flat, where = np.unique(np.frombuffer(b"".join(edges), np.int64), return_inverse=True)
+                n = np.zeros(len(flat), np.int64)
+                np.add.at(n, where, np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in edges]))
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(n)], ["_e", "n"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                edges = b.column(2).to_pylist()
+                edges = b.column(1).to_pylist()
                 lens = np.fromiter(map(len, edges), np.int64, len(edges)) // 8
                 inner = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lens)), pa.array(np.repeat(b.column(1).to_numpy(), lens)), pa.array(np.frombuffer(b"".join(edges), np.int64)), pa.array(inner.astype(np.int32))], ["_p", "n", "_e", "_i"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lens)), pa.array(np.frombuffer(b"".join(edges), np.int64)), pa.array(inner.astype(np.int32))], ["_p", "_e", "_i"])
 
-    edges = paths.select("_p", "n", "_edges").mapInArrow(expand, "_p long, n long, _e long, _i int")
-    often = edges.groupBy("_e").agg(F.sum("n").alias("c")).filter("c > 1").select("_e")
-    marked = edges.join(often, "_e").groupBy("_p").agg(F.collect_list("_i").alias("_at"))
+    often = paths.select("n", "_edges").mapInArrow(counted, "_e long, n long").groupBy("_e").agg(F.sum("n").alias("c")).filter("c > 1").select("_e")
+    # All edges of a path that occurs twice are repeated; the others look theirs up.
+    single = paths.filter("n = 1").select("_p", "_edges").mapInArrow(expand, "_p long, _e long, _i int").join(often, "_e")
+    whole = paths.filter("n > 1").select("_p", F.sequence(F.lit(0), (F.octet_length("_edges") / 8).cast("int") - 1).alias("_at"))
+    marked = single.groupBy("_p").agg(F.collect_list("_i").alias("_at")).unionByName(whole)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.crf import SPAN, Crf, Tagger, lexicon_hits, train
+from skein.llm.crf import SPAN, Crf, Tagger, lexicon_hits, tagger_of, train
 
 #: Labelled documents that the classifier is fitted on at most.
 TOXIC, CLEAN = 1000, 2500
@@ -148,7 +148,7 @@ def score(docs: DataFrame, crf: Crf | None, *more: Column, threshold: float = TH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = model.value
-        tagger = Tagger(crf) if crf else None
+        tagger = tagger_of(crf) if crf else None
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 b = batch.slice(at, 128)
