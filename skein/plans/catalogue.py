@@ -1,2 +1,287 @@
+"""The queries of the engine and, beside each, its DuckDB formulation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein import api
+from skein.functions.lines import lines
+from skein.functions.predicates import log_anomaly, value_anomaly
+from skein.operators import blocks, router
+from skein.operators.align import align
+from skein.operators.code import compress_code
+from skein.operators.jsonlists import crush_json, truncate_list
+from skein.operators.logs import crush_log, islands
+from skein.operators.tabular import crush_table
+from skein.operators.text import collapse_blank_lines, compress_text
+from skein.plans import rendered as R
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+MARK = "regexp_matches(line, '(?i)error|fail|exception|warn|critical|fatal|traceback|caused\\s+by')"
+
+
+def sql_crush(k: int) -> str:
+    return f"""
+WITH l AS ({R.SQL['log_lines']}), a AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS g FROM l WHERE pos > {k} AND pos <= n - {k} AND {MARK}
+), g AS (
+  SELECT user_id, n, min(pos) AS first, max(pos) AS last, string_agg('[Line ' || pos || '] ' || line, chr(10) ORDER BY pos) AS body FROM a GROUP BY user_id, n, g
+), h AS (
+  SELECT *, first - coalesce(lag(last) OVER (PARTITION BY user_id ORDER BY first), {k}) - 1 AS gap FROM g
+), parts AS (
+  SELECT user_id, pos * 2 AS o, line AS s FROM l WHERE pos <= {k} OR pos > n - {k}
+  UNION ALL SELECT user_id, first * 2 - 1, '... [omitted ' || gap || ' lines] ...' FROM h WHERE gap > 0
+  UNION ALL SELECT user_id, first * 2, '--- Preserved anomaly/error lines ' || first || '-' || last || ' ---' || chr(10) || body FROM h
+  UNION ALL SELECT user_id, (n - {k}) * 2 + 1, '... [omitted ' || (n - {k} - last) || ' lines] ...' FROM (SELECT u.user_id, u.n, coalesce(max(h.last), {k}) AS last FROM (SELECT DISTINCT user_id, n FROM l) u LEFT JOIN h USING (user_id) GROUP BY ALL) WHERE n - {k} > last
+)
+SELECT user_id, CASE WHEN max(n) <= {2 * k} THEN (SELECT string_agg(line, chr(10) ORDER BY pos) FROM l x WHERE x.user_id = u.user_id) ELSE (SELECT string_agg(s, chr(10) ORDER BY o) FROM parts p WHERE p.user_id = u.user_id) END AS compressed
+FROM l u GROUP BY user_id"""
+
+
+@query(sql_crush(20))
+def log_crush(spark: SparkSession, d: str) -> DataFrame:
+    return R.logs(spark, d).select("user_id", crush_log(F.col("text"), 20).alias("compressed"))
+
+
+@query(sql_crush(3))
+def log_crush_k3(spark: SparkSession, d: str) -> DataFrame:
+    return R.logs(spark, d).select("user_id", crush_log(F.col("text"), 3).alias("compressed"))
+
+
+@query(sql_crush(0))
+def log_crush_k0(spark: SparkSession, d: str) -> DataFrame:
+    return R.logs(spark, d).select("user_id", crush_log(F.col("text"), 0).alias("compressed"))
+
+
+@query(f"WITH l AS ({R.SQL['log_lines']}) SELECT event_id, {MARK} AS anomaly FROM l")
+def log_anomaly_flags(spark, d):
+    return R.table(spark, d, "events").select("event_id", log_anomaly(R.log_line()).alias("anomaly"))
+
+
+@query(f"WITH l AS ({R.SQL['log_lines']}) SELECT user_id, n::BIGINT AS n_lines, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos <= 5) AS head, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE pos > n - 5) AS tail FROM l GROUP BY user_id, n")
+def log_head_tail(spark, d):
+    from skein.functions.lines import head, tail
+
+    x = R.logs(spark, d).withColumn("l", lines(F.col("text")))
+    return x.select("user_id", F.size("l").cast("bigint").alias("n_lines"), F.array_join(head(F.col("l"), 5), "\n").alias("head"), F.array_join(tail(F.col("l"), 5), "\n").alias("tail"))
+
+
+@query(f"WITH l AS ({R.SQL['log_lines']}), a AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS g FROM l WHERE {MARK}) SELECT user_id, min(pos) AS first, max(pos) AS last, count(*) AS n FROM a GROUP BY user_id, g")
+def log_islands(spark, d):
+    rows = R.logs(spark, d).select("user_id", F.posexplode(lines(F.col("text"))).alias("p", "line")).select("user_id", (F.col("p") + 1).cast("bigint").alias("pos"), log_anomaly(F.col("line")).alias("odd"))
+    return islands(rows, "user_id", "pos", "odd")
+
+
+@query("""WITH t AS (SELECT event_id, md5(event_id::VARCHAR) AS h, sha1(event_id::VARCHAR) AS c, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s FROM events), u AS (
+  SELECT event_id, concat_ws(' ', 'at', s, s[1:10], s[12:19], concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]), c, 'end') AS x FROM t)
+SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\b[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\\b', '[UUID]', 'g'),
+  '\\b\\d{4}-\\d{2}-\\d{2}(T| +)\\d{2}:\\d{2}:\\d{2}\\b', '[DATETIME]', 'g'), '\\b\\d{4}-\\d{2}-\\d{2}\\b', '[DATE]', 'g'), '\\b\\d{2}:\\d{2}:\\d{2}\\b', '[TIME]', 'g'), '\\b[0-9a-fA-F]{40}\\b', '[COMMIT_HASH]', 'g') AS aligned FROM u""")
+def align_events(spark, d):
+    return R.aligned(spark, d).select("event_id", align(F.col("text")).alias("aligned"))
+
+
+PROSE = """p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(x, ' ', '  ') ELSE x END AS text FROM (SELECT doc_id, replace(text, chr(10), '  ' || repeat(chr(10), (doc_id % 3 + 1)::INT)) AS x FROM documents)), l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p), r AS (SELECT doc_id, i, rtrim(raw) AS t FROM l), k AS (
+  SELECT doc_id, i, t, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS before, max(i) OVER (PARTITION BY doc_id) AS n FROM r), s AS (SELECT * FROM k WHERE NOT (i = n AND t = '') AND (t <> '' OR before IS NULL OR before <> ''))"""
+
+
+@query(f"WITH {PROSE} SELECT doc_id, count(s.i)::BIGINT AS n_kept FROM p LEFT JOIN s USING (doc_id) GROUP BY doc_id")
+def text_blank_collapse(spark, d):
+    from skein.functions.lines import right_trim
+
+    return R.prose(spark, d).select("doc_id", F.size(collapse_blank_lines(F.transform(lines(F.col("text")), right_trim))).cast("bigint").alias("n_kept"))
+
+
+@query(f"WITH {PROSE} SELECT p.doc_id, CASE WHEN trim(p.text, ' ' || chr(10)) = '' THEN '' ELSE string_agg(regexp_extract(t, '^ *') || regexp_replace(ltrim(t, ' '), '[ \\t]+', ' ', 'g'), chr(10) ORDER BY i) END AS compressed FROM p LEFT JOIN s USING (doc_id) GROUP BY p.doc_id, p.text")
+def text_compress(spark, d):
+    return R.prose(spark, d).select("doc_id", compress_text(F.col("text")).alias("compressed"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id || ',' || event_type AS row, regexp_matches(event_type, '(?i)error|fail|exception|warn|critical|fatal') AS odd, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events), a AS (
+  SELECT *, pos - coalesce(lag(pos) OVER (PARTITION BY user_id ORDER BY pos), 5) - 1 AS gap FROM r WHERE odd AND pos > 5 AND pos <= n - 5), parts AS (
+  SELECT user_id, pos * 2 AS o, row AS s FROM r WHERE pos <= 5 OR pos > n - 5
+  UNION ALL SELECT user_id, pos * 2 - 1, '... [omitted ' || gap || ' rows] ...,' FROM a WHERE gap > 0
+  UNION ALL SELECT user_id, pos * 2, '[Row ' || (pos + 1) || '],' || row FROM a
+  UNION ALL SELECT user_id, (n - 5) * 2 + 1, '... [omitted ' || (n - 5 - last) || ' rows] ...,' FROM (SELECT u.user_id, u.n, coalesce(max(a.pos), 5) AS last FROM (SELECT DISTINCT user_id, n FROM r) u LEFT JOIN a USING (user_id) GROUP BY ALL) WHERE n - 5 > last)
+SELECT user_id, 'event_id,event_type' || chr(10) || CASE WHEN max(n) <= 10 THEN (SELECT string_agg(row, chr(10) ORDER BY pos) FROM r x WHERE x.user_id = u.user_id) ELSE (SELECT string_agg(s, chr(10) ORDER BY o) FROM parts p WHERE p.user_id = u.user_id) END || chr(10) AS compressed FROM r u GROUP BY user_id""")
+def csv_crush(spark, d):
+    return crush_table(R.tables(spark, d), "text", 5).select("user_id", "compressed")
+
+
+@query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos <= 5) AS head, string_agg(event_id::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos > n - 5) AS tail,
+  coalesce(string_agg((pos - 1)::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos > 5 AND pos <= n - 5 AND event_type LIKE '%error%'), '') AS anomalies, (n - 10)::BIGINT AS omitted FROM r WHERE n > 10 GROUP BY user_id, n""")
+def json_list_truncate(spark, d):
+    x = R.lists(spark, d).select("user_id", truncate_list(F.col("items"), 5).alias("t")).filter("t is not null")
+    ids = lambda c: F.array_join(F.transform(c, lambda y: y["event_id"].cast("string")), ",")
+    return x.select("user_id", ids(F.col("t.head")).alias("head"), ids(F.col("t.tail")).alias("tail"), F.array_join(F.transform("t.anomalies", lambda y: y["original_index"].cast("string")), ",").alias("anomalies"), F.col("t.omitted_count").cast("bigint").alias("omitted"))
+
+
+@query("SELECT event_id, regexp_matches(event_type || ' ' || props, '(?i)error|fail|exception|warn|critical|fatal') AS anomaly FROM events")
+def json_anomaly(spark, d):
+    return R.table(spark, d, "events").select("event_id", value_anomaly(F.to_json(F.struct(F.col("event_type").alias("t"), "props"))).alias("anomaly"))
+
+
+STORE = f"store AS ({R.SQL['store']}), blocks AS ({R.SQL['blocks']})"
+def now():
+    return F.timestamp_seconds(F.lit(1_700_000_500))
+
+
+NOW_SQL = "make_timestamp(1700000500::BIGINT * 1000000)"
+
+
+def _blocks(spark, d):
+    return blocks.make_blocks(R.store(spark, d))
+
+
+@query(f"WITH {STORE} SELECT hash, length(content)::BIGINT AS size, epoch(created_at)::BIGINT AS created FROM blocks")
+def block_hash_dedupe(spark, d):
+    return _blocks(spark, d).select("hash", F.length("content").cast("bigint").alias("size"), F.unix_timestamp("created_at").alias("created"))
+
+
+@query(f"WITH {STORE} SELECT sum(greatest(0, length(content) - 80))::BIGINT AS saved_bytes FROM blocks")
+def block_savings(spark, d):
+    return blocks.saved(_blocks(spark, d))
+
+
+@query(f"WITH {STORE}, again AS (SELECT content, created_at + INTERVAL 1000 SECOND AS created_at FROM store WHERE doc_id % 3 = 0 UNION ALL SELECT content, created_at FROM store) SELECT sha256(content) AS hash, epoch(max(created_at))::BIGINT AS created FROM again WHERE content IS NOT NULL GROUP BY 1")
+def block_upsert(spark, d):
+    more = R.store(spark, d).filter("doc_id % 3 = 0").withColumn("created_at", F.expr("created_at + interval 1000 second"))
+    return blocks.upsert(_blocks(spark, d), blocks.make_blocks(more)).select("hash", F.unix_timestamp("created_at").alias("created"))
+
+
+@query(f"WITH {STORE} SELECT hash FROM blocks WHERE created_at >= {NOW_SQL} - INTERVAL 300 SECOND")
+def ttl_live(spark, d):
+    return blocks.live(_blocks(spark, d), now()).select("hash")
+
+
+@query(f"WITH {STORE}, q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('miss' || doc_id) END AS hash FROM documents) SELECT doc_id, blocks.hash IS NOT NULL AS hit, length(content)::BIGINT AS size FROM q LEFT JOIN blocks USING (hash)")
+def retrieve_join(spark, d):
+    return blocks.retrieve(_asked(spark, d), _blocks(spark, d)).select("doc_id", "hit", F.length("content").cast("bigint").alias("size"))
+
+
+def _asked(spark, d):
+    miss = F.concat(F.lit("miss"), F.col("doc_id").cast("string"))
+    return R.table(spark, d, "documents").select("doc_id", blocks.content_hash(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(miss)).alias("hash"))
+
+
+@query(f"WITH {STORE} SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM store s WHERE s.doc_id % 2 = 0 AND s.content = documents.text)")
+def store_new_rows(spark, d):
+    half = blocks.make_blocks(R.store(spark, d).filter("doc_id % 2 = 0"))
+    return blocks.new_blocks(half, _blocks(spark, d)).select("hash")
+
+
+@query(f"WITH {STORE}, q AS (SELECT CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('miss' || doc_id) END AS hash FROM documents), r AS (SELECT blocks.hash IS NOT NULL AS hit FROM q LEFT JOIN blocks USING (hash)) SELECT (SELECT count(*) FROM blocks) AS count, (SELECT sum(length(content))::BIGINT FROM blocks) AS total_bytes, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, count(*) FILTER (WHERE hit) / count(*)::DOUBLE AS hit_ratio FROM r")
+def store_stats(spark, d):
+    b = _blocks(spark, d)
+    return blocks.stats(b, blocks.retrieve(_asked(spark, d), b))
+
+
+@query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY term")
+def token_counts(spark, d):
+    t = R.table(spark, d, "documents").select("doc_id", F.explode(blocks.tokens(F.col("text"))).alias("term"))
+    each = t.groupBy("term", "doc_id").agg(F.count("*").alias("c"))
+    return each.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+
+
+SQL_BM25 = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM w), m AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT item_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 5)) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), m GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3"""
+
+
+@query(SQL_BM25)
+def bm25_topk(spark, d):
+    five = F.array_join(F.slice(blocks.tokens(F.col("text")), 1, 5), " ")
+    q = R.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), five.alias("query"))
+    s = R.table(spark, d, "documents").select(F.col("doc_id").alias("hash"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    return blocks.bm25(s, q, 3).select(F.col("query_id").alias("item_id"), F.col("hash").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT doc_id, 'see' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '  <<ccr:' || sha256('miss' || doc_id) || ',text,1>>' ELSE '  ' || text END || chr(10) || 'end' AS text FROM documents")
+def decompress_docs(spark, d):
+    h = blocks.content_hash(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("miss"), F.col("doc_id").cast("string"))).otherwise(F.col("text")))
+    size = F.when(F.col("doc_id") % 4 == 0, F.lit(1)).otherwise(F.length("text")).cast("string")
+    docs = R.table(spark, d, "documents").select("doc_id", F.concat(F.lit("see\n  <<ccr:"), h, F.lit(",text,"), size, F.lit(">>\nend")).alias("text"))
+    return api.decompress(docs, _blocks(spark, d), now(), ttl=10**9)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE sha256(text) END AS hash FROM documents")
+def token_parse(spark, d):
+    h = blocks.content_hash(F.col("text"))
+    shape = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<<ccr:"), h, F.lit(",py,3>>"))).when(F.col("doc_id") % 3 == 1, h).otherwise(F.concat(F.lit("x"), h))
+    return R.table(spark, d, "documents").select("doc_id", blocks.parse_token(shape).alias("hash"))
+
+
+@query("SELECT doc_id, ['json','code','code','log','tabular','tabular',NULL,NULL,'code',NULL,NULL,'code'][doc_id % 12 + 1] AS route, [NULL,'python','js',NULL,NULL,NULL,NULL,NULL,'h',NULL,NULL,'rs'][doc_id % 12 + 1] AS lang FROM documents")
+def route_by_ext(spark, d):
+    return R.named(spark, d).select("doc_id", router.by_extension(F.col("filename")).alias("route"), router.language(F.col("filename")).alias("lang"))
+
+
+@query("SELECT doc_id, ['json','log','tabular','tabular','code','code',NULL,'code'][doc_id % 8 + 1] AS route FROM documents")
+def route_by_mime(spark, d):
+    return R.named(spark, d).select("doc_id", router.by_mime(F.col("mime_type")).alias("route"))
+
+
+@query("SELECT 'log' AS kind, 'log' AS route, count(DISTINCT user_id) AS n FROM events UNION ALL SELECT 'table', 'tabular', count(DISTINCT user_id) FROM events UNION ALL SELECT 'json', 'json', count(DISTINCT user_id) FROM events UNION ALL SELECT 'code', 'code', count(*) FROM part")
+def route_by_content(spark, d):
+    kinds = {"log": R.logs(spark, d), "table": R.tables(spark, d), "json": R.lists(spark, d).select(F.to_json("items").alias("text")), "code": R.code(spark, d).select(F.col("py").alias("text"))}
+    out = None
+    for kind, df in kinds.items():
+        part = df.select(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("filename"), F.lit(None).cast("string").alias("mime_type"), "text")
+        out = part if out is None else out.unionByName(part)
+    return router.route(out).groupBy("kind", "route").agg(F.count("*").alias("n"))
+
+
+@query("WITH c AS (SELECT p_partkey, '    name = ''' || p_name || '''' || chr(10) || '    return name * ' || p_size AS body FROM part) SELECT p_partkey, 'def f(x):' || chr(10) || '    <<ccr:' || sha256(body) || ',python,' || length(body) || '>>' || chr(10) AS skeleton, sha256(body) AS hash FROM c")
+def code_python_blocks(spark, d):
+    c = R.code(spark, d).select("p_partkey", compress_code(F.col("py"), F.lit("python")).alias("c"))
+    return c.select("p_partkey", F.col("c.skeleton").alias("skeleton"), F.col("c.blocks")[0]["hash"].alias("hash"))
+
+
+@query("WITH c AS (SELECT p_partkey, ' const s = ''{' || p_name || '}''; return s.repeat(' || p_size || '); ' AS body FROM part) SELECT p_partkey, 'function f(x) {<<ccr:' || sha256(body) || ',js,' || length(body) || '>>}' || chr(10) AS skeleton, sha256(body) AS hash FROM c")
+def code_brace_blocks(spark, d):
+    c = R.code(spark, d).select("p_partkey", compress_code(F.col("js"), F.lit("js")).alias("c"))
+    return c.select("p_partkey", F.col("c.skeleton").alias("skeleton"), F.col("c.blocks")[0]["hash"].alias("hash"))
+
+
+@query("SELECT p_partkey, 'def f(x):' || chr(10) || '    name = ''' || p_name || '''' || chr(10) || '    return name * ' || p_size || chr(10) AS text FROM part")
+def code_round_trip(spark, d):
+    """Compress, store, decompress: the text itself."""
+    rows = R.code(spark, d).select("p_partkey", F.lit("x.py").alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("py").alias("text"))
+    done = router.compress(rows)
+    return api.decompress(done.select("p_partkey", F.col("compressed").alias("text")), api.store(done, now()), now(), key="p_partkey")
+
+
+@query()
+def json_formats(spark, d):
+    x = R.lists(spark, d).select("user_id", F.to_json("items").alias("text"))
+    return x.select("user_id", *[crush_json(F.col("text"), 5, f).alias(f.replace("-", "_")) for f in ("json", "csv-schema", "markdown-kv")])
+
+
+@query()
+def csv_quoted(spark, d):
+    rows = R.table(spark, d, "documents").select("doc_id", F.concat(F.lit("id,note\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(i.cast("string"), F.lit(',"a ""q"", b\nerr'), F.when(i == 8, "or").otherwise(""), F.lit('"'))), "\n")).alias("text"))
+    return crush_table(rows, "text", 3).select("doc_id", "compressed")
+
+
+@query()
+def compress_all(spark, d):
+    out = router.compress(R.named(spark, d), aligned=True)
+    return out.select("doc_id", "route", "compressed", F.coalesce(F.size("blocks"), F.lit(0)).alias("n_blocks"))
