@@ -151,35 +151,47 @@ def by_minimizer(rows: DataFrame) -> DataFrame:
     return rows.repartition("_m").sortWithinPartitions("_m").select("_k1", "_k2", "start", "_m", "_edges").mapInArrow(run, SPANS)
 
 
-def by_path(rows: DataFrame) -> DataFrame:
-    """The same for minimizers with many pieces, by distinct paths."""
+def by_path(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The same for minimizers with many pieces, by distinct paths.
+
+    Paths of a minimizer are dealt to groups of about ``HOT``; a group gives each of its edges once, with
+    its count, and gets those back that are repeated.
+    """
     rows = stage(rows.withColumn("_p", F.xxhash64("_m", "_edges")), "paths")
-    paths = stage(rows.groupBy("_p").agg(F.count("*").alias("n"), F.first("_edges").alias("_edges")), "classes")
+    one = rows.groupBy("_p").agg(F.count("*").alias("n"), F.first("_m").alias("_m"), F.first("_edges").alias("_edges"))
+    part = F.pmod(F.col("_p"), F.ceil(F.col("c") / HOT))
+    paths = stage(one.join(hot, "_m").select("_p", "n", "_edges", F.xxhash64("_m", part).alias("_g")), "classes")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # summed up before they are shuffled
-            for at in range(0, batch.num_rows, 8192):
-                b = batch.slice(at, 8192)
-                edges = b.column(1).to_pylist()
-                flat, where = np.unique(np.frombuffer(b"".join(edges), np.int64), return_inverse=True)
-                n = np.zeros(len(flat), np.int64)
-                np.add.at(n, where, np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in edges]))
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(n)], ["_e", "n"])
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                b = batch.slice(at, 1024)
-                edges = b.column(1).to_pylist()
-                lens = np.fromiter(map(len, edges), np.int64, len(edges)) // 8
-                inner = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lens)), pa.array(np.frombuffer(b"".join(edges), np.int64)), pa.array(inner.astype(np.int32))], ["_p", "_e", "_i"])
+        def told(group: int, n: list[int], edges: list[bytes]) -> pa.RecordBatch:
+            flat, where = np.unique(np.frombuffer(b"".join(edges), np.int64), return_inverse=True)
+            total = np.zeros(len(flat), np.int64)
+            np.add.at(total, where, np.repeat(n, [len(x) // 8 for x in edges]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), group)), pa.array(flat), pa.array(total)], ["_g", "_e", "n"])
+
+        group, n, edges = None, [], []
+        for b in batches:
+            for g, k, e in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if g != group and edges:
+                    yield told(group, n, edges)
+                    n, edges = [], []
+                group = g
+                n.append(k)
+                edges.append(e)
+        if edges:
+            yield told(group, n, edges)
+
+    by_group = paths.select("_g", "n", "_edges").repartition("_g").sortWithinPartitions("_g").mapInArrow(counted, "_g long, _e long, n long")
+    edges = stage(by_group, "group-edges")
+    often = edges.groupBy("_e").agg(F.sum("n").alias("c")).filter("c > 1").select("_e")
+    known = edges.select("_g", "_e").join(often, "_e").groupBy("_g").agg(F.collect_list("_e").alias("_es"))
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [np.flatnonzero(np.isin(np.frombuffer(e.as_buffer(), np.int64), es.values.to_numpy())).astype(np.int32) for e, es in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], ["_p", "_at"])
 
-    often = paths.select("n", "_edges").mapInArrow(counted, "_e long, n long").groupBy("_e").agg(F.sum("n").alias("c")).filter("c > 1").select("_e")
-    # All edges of a path that occurs twice are repeated; the others look theirs up.
-    single = paths.filter("n = 1").select("_p", "_edges").mapInArrow(expand, "_p long, _e long, _i int").join(often, "_e")
-    whole = paths.filter("n > 1").select("_p", F.sequence(F.lit(0), (F.octet_length("_edges") / 8).cast("int") - 1).alias("_at"))
-    marked = single.groupBy("_p").agg(F.collect_list("_i").alias("_at")).unionByName(whole)
+    marked = paths.join(known, "_g").select("_p", "_edges", "_es").mapInArrow(flagged, "_p long, _at array<int>").filter(F.size("_at") > 0)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,7 +216,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     rows = edge_rows(docs.join(wanted, "_k1"), k, m)
     rows = stage(rows, "edges")
     hot = rows.groupBy("_m").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("_m")
-    return by_minimizer(rows.join(hot, "_m", "left_anti")).unionByName(by_path(rows.join(hot, "_m", "left_semi")))
+    return by_minimizer(rows.join(hot, "_m", "left_anti")).unionByName(by_path(rows.join(hot, "_m", "left_semi"), hot))
 
 
 def keep_words(data: bytes, spans: list[tuple[int, int]], k: int) -> tuple[list[bytes], int]:
