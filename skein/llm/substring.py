@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     drop(seen)
     rows = edge_rows(docs.join(wanted, "_k1"), k, m)
     rows = stage(rows, "edges")
-    hot = rows.groupBy("_m").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).select("_m")
+    hot = rows.groupBy("_m").agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
     return by_minimizer(rows.join(hot, "_m", "left_anti")).unionByName(by_path(rows.join(hot, "_m", "left_semi"), hot))
 
 
