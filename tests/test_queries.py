@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.01"
 
 
 def norm(df):
-    plain = lambda x: None if x is None or x is pd.NA or x != x else bool(x) if isinstance(x, bool | np.bool_) else int(x) if isinstance(x, int | np.integer) else float(x) if isinstance(x, float | np.floating) else x
+    plain = lambda x: None if x is None or x is pd.NA or x != x else bool(x) if isinstance(x, bool | np.bool_) else int(x) if isinstance(x, int | np.integer) else (int(x) if x == int(x) else float(x)) if isinstance(x, float | np.floating) else x
     return sorted(repr(tuple(plain(x) for x in r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
