@@ -68,17 +68,21 @@ def groups(texts: list[set[str]], sketch: int = 16, common: float = 0.02) -> lis
 
 def bound_units(texts: list[set[str]], toxic: list[bool]) -> frozenset[str]:
     """Units whose documents are toxic more often than not, and beyond chance; near copies count once."""
-    kind = list(zip(groups(texts), toxic, strict=True))
-    share = sum(y for _, y in set(kind)) / len(set(kind))
-    in_toxic: dict[str, set[int]] = defaultdict(set)
-    in_clean: dict[str, set[int]] = defaultdict(set)
-    for t, (g, y) in zip(texts, kind, strict=True):
-        for u in {u for w in t for u in units(w)}:
-            (in_toxic if y else in_clean)[u].add(g)
-    tested = sum(1 for u, a in in_toxic.items() if len(a) + len(in_clean.get(u, ())) >= 3)
+    merged: dict[tuple[int, bool], set[str]] = defaultdict(set)
+    for t, g, y in zip(texts, groups(texts), toxic, strict=True):
+        merged[g, y] |= t
+    share = sum(y for _, y in merged) / len(merged)
+    in_toxic, in_clean = Counter(), Counter()
+    for (_, y), t in merged.items():
+        if y:
+            in_toxic.update({u for w in t for u in units(w)})
+    for (_, y), t in merged.items():
+        if not y:
+            in_clean.update({u for w in t for u in units(w) if u in in_toxic})
+    tested = sum(1 for u, a in in_toxic.items() if a + in_clean[u] >= 3)
     need, out = np.log(max(tested, 1) / CHANCE), set()
     for u, a in in_toxic.items():
-        a, b = len(a), len(in_clean.get(u, ()))
+        b = in_clean[u]
         p = a / (a + b)
         if a + b >= 3 and p >= max(0.5, share):
             if a * np.log(p / share) + b * np.log(max(1 - p, 1e-9) / (1 - share)) >= need:
