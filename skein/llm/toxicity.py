@@ -97,7 +97,7 @@ def summary(marginals: np.ndarray) -> list[float]:
     return [np.log(top / (1 - top)) / 14, np.log1p(float(p.sum(dtype=np.float64)))]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     """Newton's method; the last weight is the constant."""
     x, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     for _ in range(50):
