@@ -2,7 +2,7 @@
 
 Labels are of documents; words get theirs from them: a word of a toxic training document is toxic
 if it, or its beginning, is bound to toxic documents beyond chance (a likelihood ratio test over
-all units, corrected for their number). The field is trained on these words in context, its
+all units, corrected for their number, and again over the documents left unexplained). The field is trained on these words in context, its
 features (affixes, n-grams, lexicon entries) carry over to unseen words, and forward-backward
 gives each word's marginal. Marginals aggregate to a document's score through a logistic curve
 fitted on the training documents; words with a marginal of a half or more are the offending spans.
@@ -67,16 +67,30 @@ def groups(texts: list[set[str]], sketch: int = 16, common: float = 0.02) -> lis
 
 
 def bound_units(texts: list[set[str]], toxic: list[bool]) -> frozenset[str]:
-    """Units whose documents are toxic more often than not, and beyond chance; near copies count once."""
+    """Units whose documents are toxic more often than not, and beyond chance; near copies count once.
+
+    Documents with a unit found are set aside and the rest is tested again, so that words of a
+    less frequent language are held against what is still unexplained.
+    """
     merged: dict[tuple[int, bool], set[str]] = defaultdict(set)
     for t, g, y in zip(texts, groups(texts), toxic, strict=True):
         merged[g, y] |= t
-    share = sum(y for _, y in merged) / len(merged)
+    left, out = [(t, y) for (_, y), t in merged.items()], set()
+    while new := beyond_chance(left):
+        out |= new
+        left = [(t, y) for t, y in left if not any(lexicon_hits(w, new) for w in t)]
+    return frozenset(out)
+
+
+def beyond_chance(texts: list[tuple[set[str], bool]]) -> set[str]:
+    share = sum(y for _, y in texts) / max(len(texts), 1)
+    if share in (0, 1):
+        return set()
     in_toxic, in_clean = Counter(), Counter()
-    for (_, y), t in merged.items():
+    for t, y in texts:
         if y:
             in_toxic.update({u for w in t for u in units(w)})
-    for (_, y), t in merged.items():
+    for t, y in texts:
         if not y:
             in_clean.update({u for w in t for u in units(w) if u in in_toxic})
     tested = sum(1 for u, a in in_toxic.items() if a + in_clean[u] >= 3)
@@ -87,7 +101,7 @@ def bound_units(texts: list[set[str]], toxic: list[bool]) -> frozenset[str]:
         if a + b >= 3 and p >= max(0.5, share):
             if a * np.log(p / share) + b * np.log(max(1 - p, 1e-9) / (1 - share)) >= need:
                 out.add(u)
-    return frozenset(out)
+    return out
 
 
 def summary(marginals: np.ndarray) -> list[float]:
