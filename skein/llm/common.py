@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _LOCAL: dict[str, str] = {}
+_HELD: dict[Hashable, Any] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,3 +61,11 @@ def text_bytes(value: str | None) -> bytes:
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A Python worker's one model or tokenizer with its cache, held for the next tasks; asking for another lets it go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

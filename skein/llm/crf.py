@@ -15,6 +15,8 @@ from itertools import chain
 
 import numpy as np
 
+from skein.llm.common import held
+
 #: Weights by feature are held in this many slots.
 SLOTS = 1 << 17
 #: Words of a sequence at most.
@@ -147,16 +149,10 @@ def train(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], lex
     return crf
 
 
-_KEPT: dict[str, Tagger] = {}
-
-
 def tagger_of(crf: Crf) -> Tagger:
     """The worker's tagger for a model, which is kept for its next tasks."""
     key = crf.extra.setdefault("key", uuid.uuid4().hex)
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Tagger(crf)
-    return _KEPT[key]
+    return held(("tagger", key), lambda: Tagger(crf))
 
 
 class Tagger:
