@@ -1,4 +1,4 @@
-"""A training corpus from ``documents``: toxic ones go, later repeated line runs go, one of each near-duplicate group stays, sources are mixed, the rest is packed."""
+"""A training corpus from ``documents``: toxic ones go, later repeated lines go, one of each near-duplicate group stays, sources are mixed, the rest is packed."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of line runs go; a document of which nothing but blanks is left goes with them."""
-    out = linededup.dedup(docs)
+    """Later repeats of lines go, of single ones too; a document of which nothing but blanks is left goes with them."""
+    out = linededup.dedup(docs, linededup.EVERY)
     left = out.filter((F.col("_removed") == 0) | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     text = F.when(F.col("_removed") > 0, F.col("_text")).otherwise(F.col("_row.text"))
     new = {"text": text, "n_chars": F.when(F.col("_removed") > 0, F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))}

@@ -9,7 +9,8 @@ end of the window, and compared by all their lines; windows that overlap join in
 
 A line goes if a window that covers it occurs earlier, in the order of ``doc_id`` (null first), the row's
 hash and the line's place. A blank line goes with the line before it. The earliest occurrence
-stays, and so do runs shorter than ``width`` lines.
+stays, and so do runs shorter than ``width`` lines; with ``EVERY`` as the width each line is a run,
+so every later repeat of a line goes.
 
 Nulls and edge cases: a null or empty text is left alone; rows equal in ``doc_id`` and text count
 as one document; an empty table gives an empty result; other columns pass through whatever their
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import row_key, stage
 
-#: Lines of the shortest run that is found.
+#: Lines of the shortest run that is found, as in the SQL of op5_line_dedup.
 WIDTH = 2
+#: The width at which single lines are found too.
+EVERY = 1
 
 
 def _trimmed(c: Column) -> Column:
@@ -52,8 +55,11 @@ def later_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """_k1, _k2 and _at: first and last lines of the windows that occur earlier."""
     w = stage(windows(docs, width), "lines")
     place = F.struct(F.col("doc_id"), F.col("_k1"), F.col("_k2"), F.col("_i"))
-    often = w.groupBy("_f").agg(F.count("*").alias("n")).filter("n > 1").select("_f")
-    known = w.join(often, "_f", "left_semi")
+    if width > 1:
+        often = w.groupBy("_f").agg(F.count("*").alias("n")).filter("n > 1").select("_f")
+        known = w.join(often, "_f", "left_semi")
+    else:  # a line is its own fingerprint
+        known = w
     first = known.groupBy("_w1", "_w2").agg(F.min(place).alias("_first"), F.count("*").alias("n")).filter("n > 1").select("_w1", "_w2", "_first")
     later = known.join(first, ["_w1", "_w2"]).filter(place > F.col("_first"))
     return later.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("_i", "_e")).alias("_at"))

@@ -37,12 +37,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, crf, F.coalesce(held_out, F.lit(False)).alias("held_out"))
 
 
-def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_text."""
-    out = linededup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+def _line_dedup(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    out = linededup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), width)
     return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), F.col("_text").alias("kept_text"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text: without later repeats of runs of two or more lines."""
+    return _line_dedup(spark, sf_dir, linededup.WIDTH)
+
+
+def op5_every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text: without later repeats of any line."""
+    return _line_dedup(spark, sf_dir, linededup.EVERY)
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     log = chat.events_of_turns(turns.unionByName(chat.planted(spark)))
@@ -74,7 +83,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_source_mixing, op4_language_id, op5_line_dedup, op6_chat_formatting, op7_substring_dedup, op8_media_columns, op9_toxicity, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_near_dedup, op3_source_mixing, op4_language_id, op5_line_dedup, op5_every_line_dedup, op6_chat_formatting, op7_substring_dedup, op8_media_columns, op9_toxicity, op10_minhash_near_dedup)}
 
 
 SQL_MIX = """
@@ -140,6 +149,25 @@ SELECT rows.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed,
 FROM rows LEFT JOIN k ON rows.doc_id IS NOT DISTINCT FROM k.doc_id AND rows.text IS NOT DISTINCT FROM k.text LEFT JOIN kept USING (k)
 """
 
+SQL_EVERY_LINE = """
+WITH rows AS (
+  SELECT doc_id, text FROM documents
+), k AS (  -- equal rows are one document
+  SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS k FROM (SELECT DISTINCT doc_id, text FROM documents)
+), l AS (
+  SELECT k, i, line, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS t
+  FROM (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM k WHERE text IS NOT NULL)
+), gone AS (
+  SELECT k, i, row_number() OVER (PARTITION BY t ORDER BY k, i) > 1 AS again FROM l WHERE t <> ''
+), fate AS (  -- a blank line goes with the line before it
+  SELECT l.k, l.i, l.line, coalesce(last_value(again IGNORE NULLS) OVER (PARTITION BY l.k ORDER BY l.i), false) AS again FROM l LEFT JOIN gone USING (k, i)
+), kept AS (
+  SELECT k, count(*) AS n_lines, count(*) FILTER (WHERE again) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT again) AS kept_text FROM fate GROUP BY k
+)
+SELECT rows.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN rows.text IS NOT NULL THEN coalesce(kept_text, '') END AS kept_text
+FROM rows LEFT JOIN k ON rows.doc_id IS NOT DISTINCT FROM k.doc_id AND rows.text IS NOT DISTINCT FROM k.text LEFT JOIN kept USING (k)
+"""
+
 SQL_CHAT = """
 WITH c AS (
   SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
@@ -155,4 +183,4 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(lost)::BIGINT AS l
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": SQL_MIX, "op5_line_dedup": SQL_LINES, "op6_chat_formatting": SQL_CHAT}
+    return {"op3_source_mixing": SQL_MIX, "op5_line_dedup": SQL_LINES, "op5_every_line_dedup": SQL_EVERY_LINE, "op6_chat_formatting": SQL_CHAT}

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from skein.llm import linededup, minhash, substring, vectors
 from skein.llm.components import components
 from tests.llm import brute
@@ -97,6 +98,19 @@ def test_lines(spark, documents, width):
     assert linededup.dedup(rows_of(spark).limit(0)).count() == 0
 
 
+def test_single_lines(spark, documents):
+    """Every later repeat of a line goes, between unlike neighbours and as a whole document too, in the pipeline's stage as well."""
+    odd = [(None, "n\n\nr"), (2_000_001, "a\none\nb"), (2_000_002, "c\n one \n\nd\nd"), (2_000_003, "alone"), (2_000_004, "alone"), (2_000_005, "alone\n"), (2_000_006, ""), (2_000_007, None), (2_000_007, None), (2_000_008, "\nr\n")]
+    docs = documents + odd
+    got = linededup.dedup(rows_of(spark, *docs), linededup.EVERY).select("_row.doc_id", "_row.text", "_lines", "_removed", "_text").collect()
+    want = brute.line_dedup(docs, 1)
+    assert {(r[0], r[1]): (r[2], r[3], r[4]) for r in got} == want and len(got) == len(docs)
+    assert [want[x][1] for x in odd] == [0, 0, 3, 0, 1, 2, 0, 0, 0, 2]
+    left = corpus_pipeline.dedup_lines(spark, rows_of(spark, *docs), DATA).select("doc_id", "text").collect()
+    stay = [(i, want[i, t][2]) for i, t in docs if not want[i, t][1] or want[i, t][2].strip()]
+    assert sorted(map(tuple, left), key=repr) == sorted(stay, key=repr)
+
+
 def brute_vectors(rows):
     ok = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = []
