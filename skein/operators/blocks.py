@@ -84,18 +84,26 @@ def tokens(text: Column) -> Column:
 K1, B = 1.5, 0.75
 
 
+#: Pairs of query and term that go to every task, so that hits stay with their block; more are joined by term.
+ASKED = 200_000
+
+
 def bm25(store: DataFrame, queries: DataFrame, top: int = 1) -> DataFrame:
     """query_id, hash and score of the best blocks (hash, content, seq) for queries (query_id, query); ties go to the smaller seq.
 
-    Only postings of terms that queries ask for are joined; N and the mean length are one row.
+    Only postings of terms that queries ask for are joined; N and the mean length are one row. Postings
+    are dealt by hash, so where the queries fit a task the hits, many for each block, are not shuffled.
     """
     words = store.select("hash", "seq", tokens(F.col("content")).alias("w")).withColumn("dl", F.size("w"))
     whole = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     postings = words.select("hash", "seq", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = postings.groupBy("hash", "seq", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(whole))  # the last has one row
+    df = tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))  # reads tf, so both read one shuffle
+    terms = asked.join(df, "term")
+    if asked.limit(ASKED + 1).count() <= ASKED:
+        terms, tf = F.broadcast(terms), tf.repartition("hash")
+    hits = tf.join(terms, "term").crossJoin(F.broadcast(whole))  # the last has one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "hash", "seq").agg(F.sum(F.col("qtf") * idf * part).alias("score")).filter("score > 0")

@@ -1,5 +1,7 @@
 """Each query against its SQL."""
 
+import math
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -26,3 +28,24 @@ def test_query(spark, name):
         want = con.execute(catalogue.ORACLES[name]).fetchdf()
         assert sorted(got.columns) == sorted(want.columns)
         assert norm(got) == norm(want)
+
+
+def test_bm25_whole_text(spark, tmp_path):
+    """Words beyond the fifth of a benchmark text count, repeated ones as often as they occur."""
+    docs = [(1, "a b c d e"), (2, "f g f"), (3, "g"), (4, None), (5, "x y")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "n1 n2 n3 n4 n5 F g g"), (8, "a b c d e x y x"), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["item_id"], r["rank"]): (r["doc_id"], r["score"]) for r in catalogue.QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()}
+    words = {i: t.split() for i, t in docs if t}
+    mean = sum(map(len, words.values())) / len(words)
+
+    def score(query, w):
+        held = lambda x: sum(x in v for v in words.values())
+        return sum(math.log((len(docs) - held(x) + 0.5) / (held(x) + 0.5) + 1) * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for x in query.split() if x in w)
+
+    want = {}
+    for item, query in ((7, "f g g"), (8, "a b c d e x y x")):
+        best = sorted((-round(score(query, w), 9), i) for i, w in words.items() if score(query, w) > 0)[:3]
+        want |= {(item, k + 1): (i, round(-s, 6)) for k, (s, i) in enumerate(best)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(want) == 4
+    assert all(got[k][1] == pytest.approx(v[1], abs=2e-6) for k, v in want.items())
