@@ -3,7 +3,7 @@
 Every word of a text gets marginal probabilities of the languages by forward-backward, so a text
 may switch its language; the text's language is the one with the most probability over all its
 words, and the score is that share. The model is fitted on at most ``PER_LANG`` whole training
-texts of a language (the first by hash of their id); words that are much more frequent in one
+texts of every language that the labels name (the first by hash of their id); words that are much more frequent in one
 language than in the others make up the lexicon.
 
 Nulls and edge cases: a text that is null or has no letter is ``und`` with score 0; ties go to the
@@ -27,8 +27,6 @@ from skein.llm.crf import Crf, tagger_of, train
 
 #: Training texts of a language at most, and of their characters all.
 PER_LANG = 250
-#: Languages that are learned at most: the most frequent.
-LANGS = 64
 #: Lexicon entries of a language.
 LEXICON = 300
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -59,13 +57,13 @@ def lexicon(texts: list[list[str]], langs: list[str]) -> frozenset[str]:
 def fit(docs: DataFrame, training: Column, label: str = "lang", per_label: int = PER_LANG) -> Crf | None:
     """Learns from ``text`` and ``label`` of the rows for which ``training`` holds."""
     known = docs.filter(training & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).cast("string").alias("_y"))
-    top = [r["_y"] for r in known.groupBy("_y").count().orderBy(F.desc("count"), "_y").limit(LANGS).collect()]
+    labels = sorted(r["_y"] for r in known.select("_y").distinct().collect())
     chosen = []
-    for y in sorted(top):  # each a small sorted take; ids only
+    for y in labels:  # each a small sorted take; ids only
         chosen += [r[0] for r in known.filter(F.col("_y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
     if not chosen:
         return None
-    rows = docs.filter(F.col("doc_id").isin(chosen) & training & F.col(label).isin(top) & F.col("text").isNotNull()).select("doc_id", F.col(label).cast("string"), "text").collect()
+    rows = docs.filter(F.col("doc_id").isin(chosen) & training & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).cast("string"), "text").collect()
     rows = sorted(set(map(tuple, rows)), key=lambda r: (r[0], r[1], r[2]))
     texts, langs = [words(r[2]) for r in rows], [r[1] for r in rows]
     labels = sorted(set(langs))

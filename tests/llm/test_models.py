@@ -60,6 +60,17 @@ def test_langid_odd_rows(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_langid_every_label(spark):
+    """Each of many labels is learned, the rarest too."""
+    names = [f"l{i:02d}" for i in range(70)]
+    word = lambda i: chr(97 + i % 26) * 3 + chr(97 + i // 26) * 4
+    rows = [(100 * i + k, " ".join([word(i)] * 20), y) for i, y in enumerate(names) for k in range(2 if i else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = langid.fit(docs, F.lit(True))
+    assert model.labels == names
+    assert {(r[0], r[1]) for r in langid.predict(docs, model).collect()} == {(i, y) for i, _, y in rows}
+
+
 def test_toxicity_held_out(spark):
     out = queries.op9_toxicity(spark, DATA)
     both = out.join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out").select("toxic", "score", "predicted").toPandas()
