@@ -1,0 +1,70 @@
+"""The pipeline's stages against plain versions, and all of it on small tables."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tests.llm import brute
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts():
+    rng = np.random.default_rng(3)
+    prose = [" ".join(f"w{chr(97 + x % 26)}{chr(97 + x // 26)}" for x in rng.integers(0, 600, 80)) for _ in range(60)]
+    rows = [(i, f"{t}\nshared line\n{t[::-1]}" + (" zorgish zorgish" if i % 3 == 0 else "")) for i, t in enumerate(prose)]
+    rows += [(100, prose[1] + " more"), (101, prose[1] + " more"), (101, prose[1] + " more"), (102, None), (102, None), (103, ""), (104, "alone"), (105, "alone"), (None, "no id")]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t) if t is not None else None) for k, (i, t) in enumerate(rows)], DOCS)
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    def write(rows):
+        d = f"{tmp_path}/{len(rows)}"
+        frame(spark, rows).write.parquet(f"{d}/documents.parquet")
+        labels = [(i, 1, int("zorgish" in t)) for i, t in rows if i is not None and i < 60]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        return d
+
+    return write
+
+
+def lines_left(rows):
+    kept = brute.line_dedup(rows, 1)
+    return [(i, kept[i, t][2]) for i, t in rows if not kept[i, t][1] or kept[i, t][2].strip()]
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_drop_toxic(spark, table):
+    rows = texts()
+    got = pairs(corpus_pipeline.drop_toxic(spark, frame(spark, rows), table(rows)))
+    assert got == sorted(((i, t) for i, t in rows if "zorgish" not in (t or "")), key=repr)
+
+
+def test_dedup_lines(spark):
+    rows = texts()
+    out = corpus_pipeline.dedup_lines(spark, frame(spark, rows), "")
+    assert pairs(out) == sorted(lines_left(rows), key=repr)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
+
+
+def test_drop_near_duplicates(spark):
+    rows = [x for x in texts() if x[0] is not None]
+    first = brute.near_duplicates(sorted(set(rows), key=repr))
+    want = sorted({(i, t) for i, t in rows if first[i][1] == i}, key=repr)
+    assert pairs(corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")) == want
+
+
+def test_run(spark, table):
+    rows = texts()
+    left = {i for i, _ in lines_left([(i, t) for i, t in rows if "zorgish" not in (t or "")])}
+    got = corpus_pipeline.run(spark, table(rows))
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} <= left and got.count() > 10
+    assert corpus_pipeline.run(spark, table([])).count() == 0
