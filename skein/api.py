@@ -1,14 +1,16 @@
-"""The four calls of the engine, over DataFrames."""
+"""The calls of the engine, over DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import blocks
+from skein.operators.logs import crush_log
 from skein.operators.router import compress
+from skein.sources.corpus import run_command
 
-__all__ = ["compress", "decompress", "retrieve", "stats", "store"]
+__all__ = ["clean", "clear", "compress", "compress_output", "decompress", "retrieve", "stats", "store"]
 
 
 def store(compressed: DataFrame, now: Column) -> DataFrame:
@@ -17,16 +19,45 @@ def store(compressed: DataFrame, now: Column) -> DataFrame:
     return blocks.make_blocks(rows)
 
 
-def retrieve(asked: DataFrame, snapshot: DataFrame, now: Column, ttl: int = blocks.TTL) -> DataFrame:
-    """``asked`` has token (a token or bare hash); a query has priority and goes through ``blocks.bm25``."""
-    return blocks.retrieve(asked.withColumn("hash", blocks.parse_token(F.col("token"))), blocks.live(snapshot, now, ttl))
+def compress_output(spark: SparkSession, command: str | list[str], k_lines: int = 20, shell: bool = False) -> tuple[DataFrame, int]:
+    """A command's output, crushed as a log whatever it holds, and the command's exit code."""
+    rows, code = run_command(spark, command, shell)
+    return rows.select("filename", crush_log(F.col("text"), k_lines).alias("compressed")), code
 
 
-def decompress(df: DataFrame, snapshot: DataFrame, now: Column, key: str = "doc_id", text: str = "text", ttl: int = blocks.TTL, max_passes: int = 1) -> DataFrame:
+def retrieve(asked: DataFrame, snapshot: DataFrame, now: Column, ttl: int = blocks.TTL) -> DataFrame:
+    """``asked`` (token, query, or both) with hash, content and hit.
+
+    token is a token or a bare hash. A query that isn't null or empty has priority and gets the
+    best block by ``blocks.bm25``; a row with neither has a null hit.
+    """
+    kept = blocks.live(snapshot, now, ttl)
+    rows = asked.select(F.struct(*[F.col(f"`{c}`") for c in asked.columns]).alias("_row"), *[(F.col(f"`{c}`") if c in asked.columns else F.lit(None)).cast("string").alias(f"_{c}") for c in ("token", "query")])
+    rows = rows.withColumn("_search", F.coalesce(F.col("_query") != "", F.lit(False)))
+    direct = blocks.retrieve(rows.filter("not _search").withColumn("hash", blocks.parse_token(F.col("_token"))), kept)
+    direct = direct.withColumn("hit", F.when(F.col("_token").isNotNull(), F.col("hit")))
+    searched = rows.filter("_search")
+    best = blocks.retrieve_query(searched.select(F.col("_query").alias("query_id"), F.col("_query").alias("query")).distinct(), kept).select(F.col("query_id").alias("_q"), "hash", "content", "hit")
+    found = searched.join(best, F.col("_query") == F.col("_q"), "left")
+    names = [c for c in asked.columns if c not in ("hash", "content", "hit")]
+    both = direct.select("_row", "hash", "content", "hit").unionByName(found.select("_row", "hash", "content", "hit"))
+    return both.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "hash", "content", "hit")
+
+
+def decompress(df: DataFrame, snapshot: DataFrame, now: Column, text: str = "text", ttl: int = blocks.TTL, max_passes: int = 1) -> DataFrame:
     for _ in range(max_passes):
-        df = blocks.decompress(df, blocks.live(snapshot, now, ttl), key, text)
+        df = blocks.decompress(df, blocks.live(snapshot, now, ttl), text)
     return df
 
 
-def stats(snapshot: DataFrame, retrieved: DataFrame, now: Column, ttl: int = blocks.TTL) -> DataFrame:
-    return blocks.stats(blocks.live(snapshot, now, ttl), retrieved)
+def stats(snapshot: DataFrame, retrieved: DataFrame, now: Column, ttl: int = blocks.TTL, stored: DataFrame | None = None) -> DataFrame:
+    return blocks.stats(blocks.live(snapshot, now, ttl), retrieved, stored)
+
+
+def clean(snapshot: DataFrame, now: Column, ttl: int = blocks.TTL) -> DataFrame:
+    """The snapshot without the blocks that are too old."""
+    return blocks.live(snapshot, now, ttl)
+
+
+def clear(snapshot: DataFrame) -> DataFrame:
+    return blocks.clear(snapshot)

@@ -10,23 +10,33 @@ from pyspark.sql import functions as F
 
 #: Characters that a token is taken to cost, and seconds that a block lives. Fixed values.
 TOKEN_COST, TTL = 80, 300
-TOKEN = r"<<ccr:([a-f0-9]{64}),([^,>]*),(\d+)>>"
+TOKEN = r"<<ccr:([a-f0-9]{64}),([^,>]+),(\d+)>>"
 
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    """One row a hash, stored last at created_at; ``seq`` is that time in microseconds, the order in which a snapshot is read."""
+    each = rows.groupBy("hash").agg(F.max_by("content", "created_at").alias("content"), F.max("created_at").alias("created_at"))
+    return each.withColumn("seq", F.unix_micros("created_at"))
+
+
 def make_blocks(df: DataFrame, content: str = "content", created_at: str = "created_at") -> DataFrame:
     """Distinct blocks, the latest time of each."""
-    rows = df.filter(F.col(content).isNotNull()).select(content_hash(F.col(content)).alias("hash"), F.col(content).alias("content"), F.col(created_at).alias("created_at"))
-    return rows.groupBy("hash").agg(F.max_by("content", "created_at").alias("content"), F.max("created_at").alias("created_at"))
+    rows = df.filter(F.col(content).isNotNull()).select(content_hash(F.col(content)).alias("hash"), F.col(content).alias("content"), F.col(created_at).cast("timestamp").alias("created_at"))
+    return _latest(rows)
 
 
 def upsert(store: DataFrame, blocks: DataFrame) -> DataFrame:
-    """A block that is stored again lives anew. The order of a snapshot is that of (created_at, hash)."""
-    both = store.select("hash", "content", "created_at").unionByName(blocks.select("hash", "content", "created_at"))
-    return both.groupBy("hash").agg(F.max_by("content", "created_at").alias("content"), F.max("created_at").alias("created_at"))
+    """A block that is stored again lives anew. The order of a snapshot is that of (seq, hash)."""
+    return _latest(store.select("hash", "content", "created_at").unionByName(blocks.select("hash", "content", "created_at")))
+
+
+def clear(store: DataFrame) -> DataFrame:
+    """The snapshot without its blocks; counters begin anew with an empty log of retrievals and of new blocks."""
+    return store.filter(F.lit(False))
 
 
 def new_blocks(store: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -48,11 +58,16 @@ def retrieve(asked: DataFrame, store: DataFrame) -> DataFrame:
     return asked.join(store.select("hash", "content"), "hash", "left").withColumn("hit", F.col("content").isNotNull())
 
 
-def stats(store: DataFrame, retrieved: DataFrame) -> DataFrame:
+def stats(store: DataFrame, retrieved: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """One row of figures; a retrieval whose ``hit`` is null counts as neither hit nor miss.
+
+    ``stored`` (content) has the blocks that were new when they were stored; with it there is saved_bytes.
+    """
     a = store.agg(F.count("*").alias("count"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("bigint").alias("total_bytes"))
     b = retrieved.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
     ratio = F.coalesce(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), F.lit(0.0)).cast("double")
-    return a.crossJoin(b).select("count", "total_bytes", "hits", "misses", ratio.alias("hit_ratio"))  # one row each
+    out = a.crossJoin(b).select("count", "total_bytes", "hits", "misses", ratio.alias("hit_ratio"))  # one row each
+    return out if stored is None else out.crossJoin(saved(stored))
 
 
 def parse_token(token: Column) -> Column:
@@ -60,20 +75,33 @@ def parse_token(token: Column) -> Column:
     return F.nullif(F.regexp_extract(token, r"^\s*(?:<<ccr:)?([a-f0-9]{64})(?:,[^>]*>>)?\s*$", 1), F.lit(""))
 
 
-def decompress(df: DataFrame, store: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the text with known tokens replaced by their content; one pass, unknown tokens stay.
+def decompress(df: DataFrame, store: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with known tokens of ``text`` replaced by their content; one pass, unknown tokens stay.
 
-    Texts are cut at their tokens, so only tokens meet the store; ``key`` is unique.
+    Texts are cut at their tokens, so only tokens meet the store; texts without a token are not
+    shuffled. Rows need no key: each is told by its place, equal rows and nulls included. A null
+    text becomes the empty one.
     """
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"([ \t]*{TOKEN})", "\x00$1\x00"), "\x00", -1)
-    parts = df.select(key, F.posexplode(cut).alias("pos", "part"))
-    parts = parts.withColumn("hash", F.nullif(F.regexp_extract("part", r"\A[ \t]*" + TOKEN + r"\z", 1), F.lit("")))
-    plain = parts.filter("hash is null").select(key, "pos", "part")
+    pattern = f"[ \t]*{TOKEN}"
+    col = f"`{text}`"
+    whole = df.withColumn(text, F.coalesce(F.col(col), F.lit("")))
+    plain, open_ = whole.filter(~F.col(col).rlike(TOKEN)), whole.filter(F.col(col).rlike(TOKEN))
+    found = F.regexp_extract_all(F.col(col), F.lit(f"({pattern})"), F.lit(1))
+    between = F.split(F.col(col), pattern, -1)
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text], F.lit(0).alias("_"))
+    parts = F.concat(
+        F.transform(between, lambda x, i: F.struct((2 * i).alias("pos"), x.alias("part"), F.lit(None).cast("string").alias("hash"))),
+        F.transform(found, lambda x, i: F.struct((2 * i + 1).alias("pos"), x.alias("part"), F.regexp_extract(x, TOKEN, 1).alias("hash"))),
+    )
+    told = open_.select(F.monotonically_increasing_id().alias("_id"), rest.alias("_rest"), parts.alias("_parts"))
+    cut = told.select("_id", "_rest", F.explode("_parts").alias("p"))
+    rows = cut.select("_id", F.when(F.col("p.pos") == 0, F.col("_rest")).alias("_rest"), "p.*")
+    known = rows.join(store.select("hash", "content"), "hash", "left")
     indent = F.regexp_extract("part", r"\A[ \t]*", 0)
-    known = parts.filter("hash is not null").join(store.select("hash", "content"), "hash", "left")
     body = F.when(F.col("content").isNull(), F.col("part")).when(F.col("content").startswith(indent), F.col("content")).otherwise(F.concat(indent, "content"))
-    whole = plain.unionByName(known.select(key, "pos", body.alias("part")))
-    return whole.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias(text))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", body.alias("b")))), lambda x: x["b"]), "")
+    done = known.groupBy("_id").agg(F.first("_rest", ignorenulls=True).alias("_rest"), joined.alias("_text"))
+    return plain.unionByName(done.select(*[F.col("_text").alias(c) if c == text else F.col(f"_rest.`{c}`").alias(c) for c in df.columns]))
 
 
 def tokens(text: Column) -> Column:
@@ -88,24 +116,50 @@ K1, B = 1.5, 0.75
 ASKED = 200_000
 
 
-def bm25(store: DataFrame, queries: DataFrame, top: int = 1) -> DataFrame:
-    """query_id, hash and score of the best blocks (hash, content, seq) for queries (query_id, query); ties go to the smaller seq.
-
-    Only postings of terms that queries ask for are joined; N and the mean length are one row. Postings
-    are dealt by hash, so where the queries fit a task the hits, many for each block, are not shuffled.
-    """
+def _terms(store: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """asked (query_id, term, qtf), tf (hash, seq, dl, term, tf), df (term, df) of the terms that are asked for, and the row (n, avgdl)."""
     words = store.select("hash", "seq", tokens(F.col("content")).alias("w")).withColumn("dl", F.size("w"))
     whole = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     postings = words.select("hash", "seq", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = postings.groupBy("hash", "seq", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))  # reads tf, so both read one shuffle
+    return asked, tf, tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df")), whole  # df reads tf, so both read one shuffle
+
+
+def _idf() -> Column:
+    return F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+
+
+def bm25_terms(store: DataFrame, queries: DataFrame) -> DataFrame:
+    """term, df and idf of the terms that queries ask for and the store holds."""
+    _, _, df, whole = _terms(store, queries)
+    return df.crossJoin(F.broadcast(whole)).select("term", "df", _idf().alias("idf"))
+
+
+def bm25(store: DataFrame, queries: DataFrame, top: int = 1) -> DataFrame:
+    """query_id, hash, score and rank of the best blocks of a snapshot for queries (query_id, query); ties go to the smaller (seq, hash).
+
+    Only postings of terms that queries ask for are joined; N and the mean length are one row. Postings
+    are dealt by hash, so where the queries fit a task the hits, many for each block, are not shuffled.
+    """
+    asked, tf, df, whole = _terms(store, queries)
     terms = asked.join(df, "term")
     if asked.limit(ASKED + 1).count() <= ASKED:
         terms, tf = F.broadcast(terms), tf.repartition("hash")
     hits = tf.join(terms, "term").crossJoin(F.broadcast(whole))  # the last has one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "hash", "seq").agg(F.sum(F.col("qtf") * idf * part).alias("score")).filter("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "seq")
+    scores = hits.groupBy("query_id", "hash", "seq").agg(F.sum(F.col("qtf") * _idf() * part).alias("score")).filter("score > 0")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "seq", "hash")
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "hash", "score", "rank")
+
+
+def retrieve_query(queries: DataFrame, store: DataFrame) -> DataFrame:
+    """``queries`` (query_id, query) with hash, content and hit of the best block.
+
+    hit is null, so that it counts as neither hit nor miss, where the store is empty or the query has no word.
+    """
+    best = bm25(store, queries, 1).select(F.col("query_id").alias("_q"), "hash").join(store.select("hash", "content"), "hash")
+    some = store.limit(1).agg(F.count("*").alias("_some"))  # one row
+    counted = (F.col("_some") > 0) & (F.size(tokens(F.coalesce(F.col("query"), F.lit("")))) > 0)
+    joined = queries.join(best, F.col("query_id") == F.col("_q"), "left").crossJoin(F.broadcast(some))
+    return joined.withColumn("hit", F.when(counted, F.col("content").isNotNull())).drop("_q", "_some")

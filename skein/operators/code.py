@@ -5,16 +5,19 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TYPE = "struct<skeleton:string,blocks:array<struct<hash:string,lang:string,size:int,content:string>>>"
-#: Words with which an identifier before a bracket may not begin, and characters that a body needs. Fixed values.
+#: Words with which an identifier before a bracket may not begin, words that open a function, and characters that a body needs. Fixed values.
 NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch", "class")
+OPENERS = ("func", "function")
 LEAST = 10
-SIGNATURE = re.compile(r"\b(?:func|function)\s+\w+.*?\{|\b(?!" + "|".join(NOT_FUNCTIONS) + r")\w+\s*\([^)]*\)\s*[^{]*?\{")
+WORD = re.compile(r"\w+")
+SPACE = re.compile(r"\s*")
 PIECES = re.compile(r"""(["'`])(?:\\.|(?!\1)[^\\])*(?:\1|\Z)|//[^\n]*|/\*.*?(?:\*/|\Z)|[{}]""", re.DOTALL)
 
 
@@ -33,21 +36,66 @@ def closing(text: str, at: int) -> int:
     return -1
 
 
+class Finder:
+    """Where a sign stands next; what was found is kept, so that asking in order reads a text once."""
+
+    def __init__(self, text: str, sign: str) -> None:
+        self.text, self.sign, self.at, self.found = text, sign, 0, -2
+
+    def after(self, at: int) -> int:
+        """-1 if nowhere."""
+        if self.found == -2 or at < self.at or -1 < self.found < at:
+            self.at, self.found = at, self.text.find(self.sign, at)
+        return self.found
+
+
+def signatures(text: str) -> Iterator[tuple[int, int]]:
+    """(first brace, place after the signature's brace) of what looks like a function's head, in order.
+
+    A head is ``func`` or ``function`` and a name with a brace on the name's line, or an identifier,
+    a bracket up to the first closing one and the next brace, wherever that is. What is sent back
+    is the place from which to go on.
+    """
+    opening, closing_, ends = Finder(text, "{"), Finder(text, ")"), Finder(text, "\n")
+    at = 0
+    while m := WORD.search(text, at):
+        at, first = m.end(), opening.after(m.start())
+        if first < 0:
+            return
+        head = -1
+        after = SPACE.match(text, at).end()
+        if m[0] in OPENERS and after > at and (name := WORD.match(text, after)):
+            brace, line = opening.after(name.end()), ends.after(name.end())
+            head = brace if brace >= 0 and not -1 < line < brace else -1
+            first = opening.after(m.start())
+        if head < 0 and text[after : after + 1] == "(" and not m[0].startswith(NOT_FUNCTIONS):
+            close = closing_.after(after)
+            head = opening.after(close) if close >= 0 else -1
+            first = opening.after(m.start())
+        if head >= 0:
+            at = (yield first, head + 1) or head + 1
+
+
 def braces(text: str, lang: str) -> tuple[str, list[dict]]:
-    out, blocks, done, at = [], [], 0, 0
-    while m := SIGNATURE.search(text, at):
-        first = text.index("{", m.start())
-        last = closing(text, first)
-        if last < 0:
-            at = m.end()
-            continue
-        body, at = text[first + 1 : last], last + 1
-        if len(body.strip()) > LEAST:
-            token, block = token_of(body, lang)
-            out += [text[done : first + 1], token]
-            blocks.append(block)
-            done = last
-    return "".join([*out, text[done:]]), blocks
+    """Bodies between braces, outermost first found; short ones stay."""
+    pieces, blocks, done = [], [], 0
+    heads = signatures(text)
+    found = next(heads, None)
+    while found:
+        opened, after = found
+        end = closing(text, opened)
+        if end >= 0:
+            after, body = end + 1, text[opened + 1 : end]
+            if len(body.strip()) > LEAST:
+                token, block = token_of(body, lang)
+                blocks.append(block)
+                pieces += [text[done : opened + 1], token]
+                done = end
+        try:
+            found = heads.send(after)
+        except StopIteration:
+            found = None
+    return "".join(pieces) + text[done:], blocks
 
 
 def bodies(nodes: list, keep_docstring: bool = False) -> list[tuple[int, int]]:

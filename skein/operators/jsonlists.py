@@ -81,7 +81,10 @@ def leaves(x, path: str = ""):
 
 
 def bullets(x, level: int = 0):
-    """Nested bullets, two blanks a level; what a bullet holds stands a level deeper, in a cut list three."""
+    """Nested bullets, two blanks a level; what a bullet holds stands a level deeper, in a cut list three.
+
+    The titles and labels are fixed values.
+    """
     pad = "  " * level
     if isinstance(x, Cut):
         first = len(x["head"])
@@ -109,7 +112,7 @@ def bullets(x, level: int = 0):
 
 
 def render(text: str, k: int, output: str = "json", sort_keys: bool = False) -> str | None:
-    """None if the text isn't JSON."""
+    """None if the text isn't JSON. Lone surrogates, which no UTF-8 text can hold, come out as their escapes."""
     try:
         x = crush(json.loads(text), max(0, k))
         if output == "csv-schema":
@@ -117,22 +120,29 @@ def render(text: str, k: int, output: str = "json", sort_keys: bool = False) ->
             w = csv.writer(out)
             w.writerow(["Path", "Type", "Value"])
             w.writerows(leaves(x))
-            return out.getvalue()
-        if output == "markdown-kv":
-            return "\n".join(bullets(x))
-        return json.dumps(x, indent=2, sort_keys=sort_keys)
+            made = out.getvalue()
+        elif output == "markdown-kv":
+            made = "\n".join(bullets(x))
+        else:
+            made = json.dumps(x, indent=2, sort_keys=sort_keys)
     except (ValueError, RecursionError):
         return None
+    return made.encode("utf-8", "backslashreplace").decode()
 
 
-def crush_json(text: Column, k: int = 5, output: str = "json", sort_keys: bool = False) -> Column:
-    """What isn't JSON is compressed as prose."""
+def render_json(text: Column, k: int = 5, output: str = "json", sort_keys: bool = False) -> Column:
+    """The crushed JSON, null for what isn't JSON; each text is parsed once."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else render(t, k, output, sort_keys) for t in texts.to_pylist()], pa.string())
 
-    return F.when(is_blank(text), "").otherwise(F.coalesce(run(text), compress_text(text)))
+    return run(text)
+
+
+def crush_json(text: Column, k: int = 5, output: str = "json", sort_keys: bool = False) -> Column:
+    """What isn't JSON is compressed as prose."""
+    return F.when(is_blank(text), "").otherwise(F.coalesce(render_json(text, k, output, sort_keys), compress_text(text)))
 
 
 @F.arrow_udf(T.BooleanType())

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from skein.functions.lines import is_blank, lines
 from skein.operators.align import align
 from skein.operators.code import compress_code
-from skein.operators.jsonlists import crush_json, is_json
+from skein.operators.jsonlists import is_json, render_json
 from skein.operators.logs import crush_log
-from skein.operators.tabular import crush_table
+from skein.operators.tabular import crush_rows
 from skein.operators.text import compress_text
 
 #: Extensions, MIME parts and log marks. Fixed values.
@@ -57,28 +57,34 @@ def by_content(text: Column) -> Column:
     return F.when(_even(text, ",") | _even(text, "\t"), "tabular").when(code, "code").when((F.size(marks) >= 2) | F.lower(text).contains("traceback"), "log").otherwise("text")
 
 
+def named(df: DataFrame) -> Column:
+    """The route that blankness, file name or type tells, else null."""
+    return F.when(is_blank(F.col("text")), "empty").otherwise(F.coalesce(by_extension(F.col("filename")), by_mime(F.col("mime_type"))))
+
+
 def route(df: DataFrame) -> DataFrame:
     """``df`` (filename, mime_type, text) with its route; only documents that neither name nor type tells are parsed as JSON."""
-    first = F.when(is_blank(F.col("text")), "empty").otherwise(F.coalesce(by_extension(F.col("filename")), by_mime(F.col("mime_type"))))
-    named = df.withColumn("route", first)
-    open_ = named.filter("route is null").withColumn("route", F.when(is_json(F.col("text")), "json").otherwise(by_content(F.col("text"))))
-    return named.filter("route is not null").unionByName(open_)
+    first = df.withColumn("route", named(df))
+    told = F.when(is_json(F.when(F.col("route").isNull(), F.col("text"))), "json").otherwise(by_content(F.col("text")))
+    return first.withColumn("route", F.coalesce("route", told))
 
 
 def compress(df: DataFrame, k_elements: int = 5, k_lines: int = 20, k_rows: int = 5, output: str = "json", aligned: bool = False) -> DataFrame:
-    """``df`` with route, compressed and blocks. Each branch holds its own documents, so that no Python meets the others."""
+    """``df`` with route, compressed and blocks, in one pass over it.
+
+    A Python function is handed null for a document that isn't its own; a document that may be
+    JSON is parsed once, for its route and its result.
+    """
+    text = F.col("text")
     if aligned:
-        df = df.withColumn("text", align(F.col("text")))
-    routed = route(df)
-    text, none = F.col("text"), F.lit(None).cast("array<struct<hash:string,lang:string,size:int,content:string>>")
-    of = lambda name: routed.filter(F.col("route") == name)
-    code = of("code").withColumn("_c", compress_code(text, language(F.col("filename"))))
-    parts = [
-        of("empty").withColumn("compressed", F.lit("")),
-        of("json").withColumn("compressed", crush_json(text, k_elements, output)),
-        of("log").withColumn("compressed", crush_log(text, k_lines)),
-        of("text").withColumn("compressed", compress_text(text)),
-        crush_table(of("tabular"), "text", k_rows),
-    ]
-    parts = [p.withColumn("blocks", none) for p in parts] + [code.withColumn("compressed", F.col("_c.skeleton")).withColumn("blocks", F.col("_c.blocks")).drop("_c")]
-    return reduce(DataFrame.unionByName, parts)
+        df = df.withColumn("text", align(text))
+    first = df.withColumn("_named", named(df))
+    read = first.withColumn("_json", render_json(F.when(F.col("_named").isNull() | (F.col("_named") == "json"), text), k_elements, output))
+    routed = read.withColumn("route", F.coalesce("_named", F.when(F.col("_json").isNotNull(), "json").otherwise(by_content(text))))
+    is_ = lambda name: F.col("route") == name
+    code = routed.withColumn("_code", compress_code(F.when(is_("code"), text), language(F.col("filename"))))
+    made = (
+        F.when(is_("empty"), "").when(is_("json"), F.coalesce("_json", compress_text(text))).when(is_("code"), F.col("_code.skeleton"))
+        .when(is_("log"), crush_log(text, k_lines)).when(is_("tabular"), crush_rows(F.when(is_("tabular"), text), k_rows)).otherwise(compress_text(text))
+    )
+    return code.withColumn("compressed", made).withColumn("blocks", F.when(is_("code"), F.col("_code.blocks"))).drop("_named", "_json", "_code")

@@ -14,12 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.lines import head, is_blank, let, middle, tail
+from skein.functions.lines import LINE_END, head, is_blank, let, middle, tail
 from skein.functions.predicates import value_anomaly
 
 
+#: Characters of a cell at most; a table with a longer one stays as it is. Fixed value.
+LONGEST = 131072
+
+
 def delimiter_of(text: Column) -> Column:
-    return F.when(F.substring_index(text, "\n", 1).contains("\t"), "\t").otherwise(",")
+    return F.when(F.split(text, LINE_END, 2)[0].contains("\t"), "\t").otherwise(",")
 
 
 def _cell(c: Column, delimiter: Column) -> Column:
@@ -28,18 +32,18 @@ def _cell(c: Column, delimiter: Column) -> Column:
 
 
 def write_row(row: Column, delimiter: Column) -> Column:
-    line = F.concat_ws("", F.array_join(F.transform(row, lambda c: _cell(c, F.lit(","))), ","))
-    tabbed = F.array_join(F.transform(row, lambda c: _cell(c, F.lit("\t"))), "\t")
-    text = F.when(delimiter == "\t", tabbed).otherwise(line)
+    text = F.concat_ws("", F.call_function("array_join", F.transform(row, lambda c: _cell(c, delimiter)), delimiter))
     return F.when((F.size(row) == 1) & (row[0] == ""), '""').otherwise(text)
 
 
 def parse_plain(text: Column, delimiter: Column) -> Column:
-    """Rows of cells of a text without quotes; a blank line is a row without cells."""
+    """Rows of cells of a text without quotes; a blank line is a row without cells. Null if a cell is too long."""
     flat = F.regexp_replace(text, "\r\n", "\n")
     parts = F.split(F.regexp_replace(flat, "\n\\z", ""), "\n", -1)
     cells = lambda x: F.when(delimiter == "\t", F.split(x, "\t", -1)).otherwise(F.split(x, ",", -1))
-    return F.transform(parts, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(cells(x)))
+    rows = F.transform(parts, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(cells(x)))
+    long = (F.length(text) > LONGEST) & F.exists(rows, lambda r: F.exists(r, lambda c: F.length(c) > LONGEST))
+    return F.when(~long, rows)
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
@@ -47,7 +51,7 @@ def parse_quoted(text: pa.Array, delimiter: pa.Array) -> pa.Array:
     out = []
     for t, d in zip(text.to_pylist(), delimiter.to_pylist(), strict=True):
         try:
-            out.append(None if t is None else list(csv.reader(io.StringIO(t, newline=""), delimiter=d)))
+            out.append(None if t is None else list(csv.reader(io.StringIO(t, newline="\n"), delimiter=d)))
         except csv.Error:
             out.append(None)
     return pa.array(out, pa.list_(pa.list_(pa.string())))
@@ -77,10 +81,14 @@ def render(rows: Column, text: Column, delimiter: Column, k: int) -> Column:
     return F.when(is_blank(text), "").otherwise(let(rows, crushed))
 
 
+def crush_rows(text: Column, k: int = 5, delimiter: str | None = None) -> Column:
+    """The crushed table as a column. Only texts with quotes, lone carriage returns or other delimiters meet Python."""
+    k, sep = max(0, k), F.lit(delimiter) if delimiter else delimiter_of(text)
+    odd = F.coalesce(text.rlike('"|\r(?!\n)'), F.lit(False)) | F.lit(delimiter not in (None, ",", "\t"))
+    rows = F.when(odd, parse_quoted(F.when(odd, text), sep)).otherwise(parse_plain(text, sep))
+    return render(rows, text, sep, k)
+
+
 def crush_table(df: DataFrame, text: str = "text", k: int = 5, delimiter: str | None = None, out: str = "compressed") -> DataFrame:
-    """``df`` with the column ``out``. Only texts with quotes or lone carriage returns meet Python."""
-    k, sep = max(0, k), F.lit(delimiter) if delimiter else delimiter_of(F.col(text))
-    odd = F.coalesce(F.col(text).rlike('"|\r(?!\n)'), F.lit(False)) | F.lit(delimiter not in (None, ",", "\t"))
-    plain = df.filter(~odd).withColumn(out, render(parse_plain(F.col(text), sep), F.col(text), sep, k))
-    quoted = df.filter(odd).withColumn("_rows", parse_quoted(F.col(text), sep)).withColumn(out, render(F.col("_rows"), F.col(text), sep, k)).drop("_rows")
-    return plain.unionByName(quoted)
+    """``df`` with the column ``out``."""
+    return df.withColumn(out, crush_rows(F.col(f"`{text}`"), k, delimiter))

@@ -94,6 +94,14 @@ def align_events(spark, d):
     return R.aligned(spark, d).select("event_id", align(F.col("text")).alias("aligned"))
 
 
+@query("SELECT doc_id, regexp_replace('at ' || sha1(doc_id::VARCHAR) || ' of ' || sha256(doc_id::VARCHAR) || ' ' || sha1(doc_id::VARCHAR)[1:39] || ' ' || sha1(doc_id::VARCHAR) || 'a 2024-01-02T03:04:05.678Z 2024-01-02 03:04:05+02:00 12:34:56.7', '^at [0-9a-f]{40} of ([0-9a-f]{64} [0-9a-f]{39} [0-9a-f]{40}a) .*$', 'at [COMMIT_HASH] of \\1 [DATETIME] [DATETIME] [TIME]') AS aligned FROM documents")
+def align_commit_docs(spark, d):
+    """Hashes of 39, 40, 41 and 64 digits, fractions, zones and bare times."""
+    key = F.col("doc_id").cast("string").cast("binary")
+    text = F.concat(F.lit("at "), F.sha1(key), F.lit(" of "), F.sha2(key, 256), F.lit(" "), F.substring(F.sha1(key), 1, 39), F.lit(" "), F.sha1(key), F.lit("a 2024-01-02T03:04:05.678Z 2024-01-02 03:04:05+02:00 12:34:56.7"))
+    return R.table(spark, d, "documents").select("doc_id", align(text).alias("aligned"))
+
+
 PROSE = """p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(x, ' ', '  ') ELSE x END AS text FROM (SELECT doc_id, replace(text, chr(10), '  ' || repeat(chr(10), (doc_id % 3 + 1)::INT)) AS x FROM documents)), l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p), r AS (SELECT doc_id, i, rtrim(raw) AS t FROM l), k AS (
   SELECT doc_id, i, t, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS before, max(i) OVER (PARTITION BY doc_id) AS n FROM r), s AS (SELECT * FROM k WHERE NOT (i = n AND t = '') AND (t <> '' OR before IS NULL OR before <> ''))"""
@@ -123,12 +131,14 @@ def csv_crush(spark, d):
 
 
 @query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos <= 5) AS head, string_agg(event_id::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos > n - 5) AS tail,
-  coalesce(string_agg((pos - 1)::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos > 5 AND pos <= n - 5 AND event_type LIKE '%error%'), '') AS anomalies, (n - 10)::BIGINT AS omitted FROM r WHERE n > 10 GROUP BY user_id, n""")
+SELECT user_id, n > 10 AS cut, CASE WHEN n > 10 THEN string_agg(event_id::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos <= 5) END AS head, CASE WHEN n > 10 THEN string_agg(event_id::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos > n - 5) END AS tail,
+  CASE WHEN n > 10 THEN coalesce(string_agg((pos - 1)::VARCHAR, ',' ORDER BY pos) FILTER (WHERE pos > 5 AND pos <= n - 5 AND event_type LIKE '%error%'), '') END AS anomalies, CASE WHEN n > 10 THEN n - 10 END::BIGINT AS omitted FROM r GROUP BY user_id, n""")
 def json_list_truncate(spark, d):
-    x = R.lists(spark, d).select("user_id", truncate_list(F.col("items"), 5).alias("t")).filter("t is not null")
+    """Lists of ten items or fewer stay whole: they are not cut, and have null parts."""
+    x = R.lists(spark, d).select("user_id", truncate_list(F.col("items"), 5).alias("t"))
     ids = lambda c: F.array_join(F.transform(c, lambda y: y["event_id"].cast("string")), ",")
-    return x.select("user_id", ids(F.col("t.head")).alias("head"), ids(F.col("t.tail")).alias("tail"), F.array_join(F.transform("t.anomalies", lambda y: y["original_index"].cast("string")), ",").alias("anomalies"), F.col("t.omitted_count").cast("bigint").alias("omitted"))
+    anomalies = F.array_join(F.transform("t.anomalies", lambda y: y["original_index"].cast("string")), ",")
+    return x.select("user_id", F.col("t").isNotNull().alias("cut"), ids(F.col("t.head")).alias("head"), ids(F.col("t.tail")).alias("tail"), anomalies.alias("anomalies"), F.col("t.omitted_count").cast("bigint").alias("omitted"))
 
 
 @query("SELECT event_id, regexp_matches(event_type || ' ' || props, '(?i)error|fail|exception|warn|critical|fatal') AS anomaly FROM events")
@@ -191,6 +201,21 @@ def store_stats(spark, d):
     return blocks.stats(b, blocks.retrieve(_asked(spark, d), b))
 
 
+@query(f"WITH {STORE}, old AS (SELECT DISTINCT content FROM store WHERE doc_id % 2 = 0), l AS (SELECT * FROM blocks WHERE created_at >= {NOW_SQL} - INTERVAL 300 SECOND) SELECT count(*) AS count, coalesce(sum(length(content)), 0)::BIGINT AS total_bytes, 0::BIGINT AS hits, 0::BIGINT AS misses, 0.0::DOUBLE AS hit_ratio, (SELECT coalesce(sum(greatest(0, length(content) - 80)), 0)::BIGINT FROM blocks WHERE content NOT IN (SELECT content FROM old WHERE content IS NOT NULL)) AS saved_bytes FROM l")
+def store_stats_saved(spark, d):
+    """Figures of the live blocks with the savings of what was new; nothing has been retrieved, so the ratio is 0."""
+    every, half = _blocks(spark, d), blocks.make_blocks(R.store(spark, d).filter("doc_id % 2 = 0"))
+    log = spark.createDataFrame([], "hit boolean")
+    return api.stats(every, log, now(), stored=blocks.new_blocks(half, every))
+
+
+@query(f"WITH {STORE} SELECT 0::BIGINT AS count, 0::BIGINT AS total_bytes, 0::BIGINT AS hits, 0::BIGINT AS misses, 0.0::DOUBLE AS hit_ratio, 0::BIGINT AS saved_bytes")
+def store_clear(spark, d):
+    """An emptied store with counters that begin anew."""
+    left = api.clear(_blocks(spark, d))
+    return api.stats(left, spark.createDataFrame([], "hit boolean"), now(), stored=left)
+
+
 @query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY term")
 def token_counts(spark, d):
     t = R.table(spark, d, "documents").select("doc_id", F.explode(blocks.tokens(F.col("text"))).alias("term"))
@@ -198,32 +223,40 @@ def token_counts(spark, d):
     return each.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
-SQL_BM25 = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM w), m AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+SQL_TERMS = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM w), m AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT item_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 5)) AS term FROM benchmark),
-s AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), m GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0)
-SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3"""
+q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark)"""
+SQL_BEST = SQL_TERMS + """,
+s AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), m GROUP BY 1, 2)"""
 
 
-def _bm25(spark, d, asked):
-    q = R.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("query"))
-    s = R.table(spark, d, "documents").select(F.col("doc_id").alias("hash"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
-    return blocks.bm25(s, q, 3).select(F.col("query_id").alias("item_id"), F.col("hash").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+def _searched(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Documents as a store whose order is that of doc_id, and the benchmark's whole texts as queries."""
+    q = R.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.table(spark, d, "documents").select(F.col("doc_id").alias("hash"), F.col("doc_id").alias("seq"), F.col("text").alias("content")), q
 
 
-@query(SQL_BM25)
+@query(f"""{SQL_BEST},
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3""")
 def bm25_topk(spark, d):
-    """Queries of the first five words, as its SQL has them; ``bm25_topk_whole`` has all words."""
-    return _bm25(spark, d, F.array_join(F.slice(blocks.tokens(F.col("text")), 1, 5), " "))
+    """The three best documents for each whole text of the benchmark."""
+    out = blocks.bm25(*_searched(spark, d), 3)
+    return out.select(F.col("query_id").alias("item_id"), F.col("hash").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-SQL_BM25_WHOLE = SQL_BM25.replace("unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 5))", "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))")
+@query(f"{SQL_TERMS} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 9) AS idf FROM df, m WHERE term IN (SELECT term FROM q)")
+def bm25_df_idf(spark, d):
+    return blocks.bm25_terms(*_searched(spark, d)).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-@query(SQL_BM25_WHOLE)
-def bm25_topk_whole(spark, d):
-    return _bm25(spark, d, F.col("text"))
+@query(f"""{SQL_BEST}, t AS (SELECT sha256(text) AS hash, max(doc_id) AS last FROM documents WHERE text IS NOT NULL GROUP BY 1), one AS (
+  SELECT item_id, sha256(text) AS hash, score FROM s JOIN documents USING (doc_id) JOIN t ON t.last = s.doc_id)
+SELECT benchmark.item_id, count(one.hash) > 0 AS hit FROM benchmark LEFT JOIN one ON one.item_id = benchmark.item_id AND score > 0 GROUP BY 1""")
+def retrieve_best(spark, d):
+    """The facade's search over the engine's own snapshot: whether each benchmark text finds a block."""
+    asked = R.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    return api.retrieve(asked, _blocks(spark, d), now(), ttl=10**9).select("item_id", "hit")
 
 
 @query("SELECT doc_id, 'see' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '  <<ccr:' || sha256('miss' || doc_id) || ',text,1>>' ELSE '  ' || text END || chr(10) || 'end' AS text FROM documents")
@@ -278,21 +311,82 @@ def code_round_trip(spark, d):
     """Compress, store, decompress: the text itself."""
     rows = R.code(spark, d).select("p_partkey", F.lit("x.py").alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("py").alias("text"))
     done = router.compress(rows)
-    return api.decompress(done.select("p_partkey", F.col("compressed").alias("text")), api.store(done, now()), now(), key="p_partkey")
+    return api.decompress(done.select("p_partkey", F.col("compressed").alias("text")), api.store(done, now()), now())
 
 
-@query()
+def sql_items(item: str, sep: str, where: str) -> str:
+    return f"coalesce(string_agg({item}, {sep} ORDER BY pos) FILTER (WHERE {where}), '')"
+
+
+def sql_formats() -> str:
+    nl, crlf = "chr(10)", "chr(13) || chr(10)"
+
+    def obj(pad: int) -> str:
+        x = " " * pad
+        return f"'{{' || chr(10) || '{x}  \"event_id\": ' || event_id || ',' || chr(10) || '{x}  \"event_type\": \"' || event_type || '\"' || chr(10) || '{x}}}'"
+
+    def listed(item: str, pad: int, where: str) -> str:
+        x = " " * pad
+        some = sql_items(f"'{x}  ' || {item}", "',' || chr(10)", where)
+        return f"CASE WHEN {some} = '' THEN '[]' ELSE '[' || chr(10) || {some} || chr(10) || '{x}]' END"
+
+    head, tail, odd = "pos <= 5", "pos > n - 5", "pos > 5 AND pos <= n - 5 AND event_type LIKE '%error%'"
+    found = f"'{{' || chr(10) || '      \"original_index\": ' || (pos - 1) || ',' || chr(10) || '      \"value\": ' || {obj(6)} || chr(10) || '    }}'"
+    whole = " || ',' || chr(10) || ".join(f"'  \"{name}\": ' || {value}" for name, value in (("__type__", "'\"truncated_list\"'"), ("head", listed(obj(4), 2, head)), ("tail", listed(obj(4), 2, tail)), ("anomalies", listed(found, 2, odd)), ("omitted_count", "(n - 10)")))
+    rows = lambda at: f"{at} || '.event_id,int,' || event_id || {crlf} || {at} || '.event_type,str,' || event_type || {crlf}"
+    table = f"',truncated_list,(' || (n - 10) || ' items omitted)' || {crlf} || " + " || ".join(sql_items(rows(at), "''", w) for at, w in (("'[' || (pos - 1) || ']'", head), ("'[' || (pos - 1) || '] (ANOMALY)'", odd), ("'[tail_' || (pos - n + 4) || ']'", tail)))
+    bullet = lambda at, pad: f"{at} || {nl} || '{pad}* **event_id**: ' || event_id || {nl} || '{pad}* **event_type**: ' || event_type"
+    kept = {w: sql_items(bullet(f"'    * [' || {at} || ']:'", " " * 6), nl, w) for at, w in (("(pos - 1)", head), ("'Index ' || (pos - 1)", odd), ("(pos - 1)", tail))}
+    marked = f"'* **List (Truncated)**: ' || (n - 10) || ' items omitted' || {nl} || '  * **Head (First 5 items):**' || {nl} || {kept[head]} || {nl} || CASE WHEN {kept[odd]} = '' THEN '' ELSE '  * **Anomalies Found:**' || {nl} || {kept[odd]} || {nl} END || '  * **Tail (Last 5 items):**' || {nl} || {kept[tail]}"
+    flat = sql_items(bullet("'* [' || (pos - 1) || ']:'", "  "), nl, "true")
+    short = sql_items(rows("'[' || (pos - 1) || ']'"), "''", "true")
+    return f"""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, CASE WHEN n > 10 THEN '{{' || chr(10) || {whole} || chr(10) || '}}' ELSE {listed(obj(2), 0, "true")} END AS json,
+  'Path,Type,Value' || {crlf} || CASE WHEN n > 10 THEN {table} ELSE {short} END AS csv_schema, CASE WHEN n > 10 THEN {marked} ELSE {flat} END AS markdown_kv
+FROM r GROUP BY user_id, n"""
+
+
+@query(sql_formats())
 def json_formats(spark, d):
     x = R.lists(spark, d).select("user_id", F.to_json("items").alias("text"))
     return x.select("user_id", *[crush_json(F.col("text"), 5, f).alias(f.replace("-", "_")) for f in ("json", "csv-schema", "markdown-kv")])
 
 
-@query()
+SQL_QUOTED = """WITH r AS (SELECT doc_id, i, i || ',"a ""q"", b' || chr(10) || 'err' || CASE WHEN i = 8 THEN 'or' ELSE '' END || '"' AS row FROM documents, range(1, 16) t(i))
+SELECT doc_id, 'id,note' || chr(10) || string_agg(row, chr(10) ORDER BY i) FILTER (WHERE i <= 3) || chr(10) || '... [omitted 4 rows] ...,' || chr(10) || '[Row 9],' || max(row) FILTER (WHERE i = 8) || chr(10)
+  || '... [omitted 4 rows] ...,' || chr(10) || string_agg(row, chr(10) ORDER BY i) FILTER (WHERE i > 12) || chr(10) AS compressed FROM r GROUP BY doc_id"""
+
+
+@query(SQL_QUOTED)
 def csv_quoted(spark, d):
     rows = R.table(spark, d, "documents").select("doc_id", F.concat(F.lit("id,note\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(i.cast("string"), F.lit(',"a ""q"", b\nerr'), F.when(i == 8, "or").otherwise(""), F.lit('"'))), "\n")).alias("text"))
     return crush_table(rows, "text", 3).select("doc_id", "compressed")
 
 
+@query("""WITH c AS (SELECT p_partkey, 'def f(x):' || chr(10) AS head, '    name = ''' || p_name || '''' || chr(10) || '    return name * ' || p_size AS py, ' const s = ''{' || p_name || '}''; return s.repeat(' || p_size || '); ' AS js FROM part)
+SELECT p_partkey || '.' || kind AS name, route, compressed, n_blocks FROM (
+  SELECT p_partkey, 'py' AS kind, 'code' AS route, head || '    <<ccr:' || sha256(py) || ',python,' || length(py) || '>>' || chr(10) AS compressed, 1::BIGINT AS n_blocks FROM c
+  UNION ALL SELECT p_partkey, 'js', 'code', 'function f(x) {<<ccr:' || sha256(js) || ',js,' || length(js) || '>>}' || chr(10), 1 FROM c
+  UNION ALL SELECT p_partkey, 'json', 'json', '{' || chr(10) || '  "size": ' || p_size || chr(10) || '}', 0 FROM part
+  UNION ALL SELECT p_partkey, 'csv', 'tabular', 'a,b' || chr(10) || p_size || ',' || p_partkey || chr(10), 0 FROM part
+  UNION ALL SELECT p_partkey, 'log', 'log', string_agg('line ' || i, chr(10) ORDER BY i) FILTER (WHERE i <= 20) || chr(10) || '... [omitted 10 lines] ...' || chr(10) || string_agg('line ' || i, chr(10) ORDER BY i) FILTER (WHERE i > 30), 0 FROM part, range(1, 51) t(i) GROUP BY p_partkey
+  UNION ALL SELECT p_partkey, 'txt', 'text', 'part ' || p_partkey || chr(10) || '  is of size ' || p_size, 0 FROM part
+  UNION ALL SELECT p_partkey, 'none', 'empty', '', 0 FROM part)""")
+def compress_routes(spark, d):
+    """Each route's documents through one pass of the router."""
+    c, key, size = R.code(spark, d), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    texts = {
+        "py": F.col("py"), "js": F.col("js"), "json": F.concat(F.lit('{"size": '), size, F.lit("}")), "csv": F.concat(F.lit("a,b\n"), size, F.lit(","), key, F.lit("\n")),
+        "log": F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n"),
+        "txt": F.concat(F.lit("part "), key, F.lit("  \n  is   of size "), size, F.lit("\n")), "none": F.lit(" \n"),
+    }
+    known = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in texts.items()])
+    rows = R.table(spark, d, "part").select("p_partkey", "p_size").join(c, "p_partkey").select(key.alias("key"), F.explode(known).alias("x"))
+    name = F.concat("key", F.lit("."), F.col("x.kind"))
+    out = router.compress(rows.select(name.alias("name"), F.when(F.col("x.kind").isin("py", "js", "log", "csv"), name).alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("x.text").alias("text")))
+    return out.select("name", "route", "compressed", F.coalesce(F.size("blocks"), F.lit(0)).cast("bigint").alias("n_blocks"))
+
+
 @query()
 def compress_all(spark, d):
     out = router.compress(R.named(spark, d), aligned=True)

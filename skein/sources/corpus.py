@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import shlex
 import subprocess
 import sys
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "filename string, mime_type string, text string"
 #: Signs that a command without a shell may not hold. Fixed values.
 SHELL_SIGNS = ("|", ";", "&&", "||", ">", "<", "&", "$", "`")
 
 
+@F.arrow_udf(T.StringType())
+def _decoded(content: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else x.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n") for x in content.to_pylist()], pa.string())
+
+
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """A row for each file: base name and text; bytes that aren't UTF-8 go, line ends become line feeds."""
-    raw = spark.read.format("binaryFile").load(list(paths))
-    text = F.regexp_replace(F.decode("content", F.lit("utf-8")), "�", "")
-    return raw.select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.regexp_replace(text, "\r\n?", "\n").alias("text"))
+    """A row for each file: base name and text; bytes that aren't UTF-8 go, line ends become line feeds.
+
+    An empty file has no row, as Spark lists none.
+
+    Files that are UTF-8 are decoded by expressions; Python meets the others alone.
+    """
+    raw = spark.read.format("binaryFile").load(list(paths)).select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "content")
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    own = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
+    text = F.when(good, own).otherwise(_decoded(F.when(~good, F.col("content"))))
+    return raw.select("filename", F.lit(None).cast("string").alias("mime_type"), text.alias("text"))
 
 
 def read_stdin(spark: SparkSession, stream=None) -> DataFrame:
@@ -29,7 +44,7 @@ def run_command(spark: SparkSession, command: str | list[str], shell: bool = Fal
     line = command if isinstance(command, str) else " ".join(command)
     if not shell and any(x in line for x in SHELL_SIGNS):
         raise ValueError("the command holds shell signs; ask for a shell to run it")
-    done = subprocess.run(line if shell else (command.split() if isinstance(command, str) else command), shell=shell, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, errors="ignore", check=False)
+    done = subprocess.run(line if shell else (shlex.split(command) if isinstance(command, str) else command), shell=shell, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, encoding="utf-8", errors="ignore", check=False)
     return spark.createDataFrame([("command.log", None, done.stdout)], SCHEMA), done.returncode
 
 
@@ -40,3 +55,17 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 def write_blocks(store: DataFrame, path: str) -> None:
     """A snapshot goes to a folder of its own; an old one is never written over."""
     store.write.mode("error").parquet(path)
+
+
+def write_text(df: DataFrame, path: str, column: str = "compressed") -> None:
+    """A line-separated text file of the column; null rows are empty."""
+    df.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias("value")).write.mode("error").text(path)
+
+
+def write_stdout(df: DataFrame, column: str = "compressed", stream=None) -> int:
+    """The column's texts on the driver's standard output, each with a line end; a partition at a time is held. Gives their number."""
+    out, n = stream or sys.stdout, 0
+    for row in df.select(F.col(f"`{column}`").cast("string")).toLocalIterator():
+        out.write(f"{row[0] or ''}\n")
+        n += 1
+    return n

@@ -35,7 +35,7 @@ def test_bm25_whole_text(spark, tmp_path):
     docs = [(1, "a b c d e"), (2, "f g f"), (3, "g"), (4, None), (5, "x y")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "n1 n2 n3 n4 n5 F g g"), (8, "a b c d e x y x"), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r["item_id"], r["rank"]): (r["doc_id"], r["score"]) for r in catalogue.QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["item_id"], r["rank"]): (r["doc_id"], r["score"]) for r in catalogue.QUERIES["bm25_topk"](spark, str(tmp_path)).collect()}
     words = {i: t.split() for i, t in docs if t}
     mean = sum(map(len, words.values())) / len(words)
 
