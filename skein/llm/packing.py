@@ -17,18 +17,23 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import held, stage
 
 CAPACITY = 4096
-#: Nodes of the branch-and-bound search after which the best incumbent stands.
-MAX_NODES = 200
+#: Nodes of the branch-and-bound searches after which the best incumbent stands: a budget of the driver's time, not of what is packed.
+MAX_NODES = 8_000
+#: Nodes from one packing of the rest by best fit to the next.
+EVERY = 32
+#: Texts that are tokenized at once.
+TEXTS = 2048
 #: Words in either half of a worker's token cache.
 CACHE_WORDS = 1_000_000
 #: Words longer than this aren't cached.
@@ -38,17 +43,17 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how often), lengths descending
 
 
 def lower_bound(hist: dict[int, int], capacity: int) -> int:
-    """Waste bound L2: items that can't share a sequence, plus what the others overflow."""
-    lengths = sorted(hist)
-    best = -(-sum(n * c for n, c in hist.items()) // capacity)
-    for a in [0, *(n for n in lengths if 2 * n <= capacity)]:
-        big = sum(hist[n] for n in lengths if n > capacity - a)
-        mid = [n for n in lengths if capacity < 2 * n and n <= capacity - a]
-        n_mid = sum(hist[n] for n in mid)
-        room = n_mid * capacity - sum(n * hist[n] for n in mid)
-        small = sum(n * hist[n] for n in lengths if a <= n and 2 * n <= capacity)
-        best = max(best, big + n_mid + max(0, -(-(small - room) // capacity)))
-    return best
+    """Waste bound L2: items that can't share a sequence, plus what the others overflow; the best over all lengths that may count as small."""
+    count = np.zeros(capacity + 1, np.int64)
+    count[list(hist)] = list(hist.values())
+    many, total = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.arange(half + 1)  # shorter ones are left out; items over capacity - a stand alone, those over a half don't meet
+    alone = many[capacity] - many[capacity - a]
+    mid, mid_total = many[capacity - a] - many[half], total[capacity - a] - total[half]
+    small = total[half] - np.where(a > 0, total[a - 1], 0)
+    over = -(-(small - (mid * capacity - mid_total)) // capacity)
+    return max(int((alone + mid + np.maximum(over, 0)).max()), -(-int(total[capacity]) // capacity))
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> dict[Pattern, int]:
@@ -93,108 +98,137 @@ def best_fit(hist: dict[int, int], capacity: int) -> dict[Pattern, int]:
     return dict(out)
 
 
-def fillings(hist: dict[int, int], largest: int, capacity: int, max_waste: int, most: int) -> list[tuple[int, Pattern]]:
-    """Undominated fillings around one ``largest`` item, by waste; at most ``most`` are looked at.
+def with_copies(sums: int, n: int, copies: int, full: int) -> int:
+    """The bitset of sums, with up to ``copies`` items of length ``n`` added to each."""
+    step = 1
+    while copies > 0:
+        step = min(step, copies)
+        sums |= (sums << (n * step)) & full
+        copies -= step
+        step *= 2
+    return sums
 
-    A filling is dominated if an item left out could take the place of some of its items and
-    still fit: the other filling then leaves the easier items for later.
-    """
-    lengths = sorted((n for n, c in hist.items() if c - (n == largest) > 0), reverse=True)
-    free = lambda n: hist[n] - (n == largest)
-    rising = lengths[::-1]
-    tail = [0] * (len(lengths) + 1)
-    for i in range(len(lengths) - 1, -1, -1):
-        tail[i] = tail[i + 1] + lengths[i] * free(lengths[i])
-    found: list[tuple[int, Pattern]] = []
-    looked = 0
-    stack: list[tuple[int, int, Pattern]] = [(0, capacity - largest, ())]
-    while stack and looked < most:
-        i, room, chosen = stack.pop()
-        looked += 1
-        while i < len(lengths) and lengths[i] > room:
-            i += 1
-        if i == len(lengths):
-            if room <= max_waste and not dominated(chosen, room, rising, free):
-                found.append((room, chosen))
-            continue
-        if room - tail[i] > max_waste:
-            continue
-        n = lengths[i]
-        for c in range(min(free(n), room // n) + 1):  # the fullest is looked at first
-            stack.append((i + 1, room - c * n, (*chosen, (n, c)) if c else chosen))
-    return sorted(found, key=lambda x: (x[0], [-n for n, _ in x[1]]))
 
+def fillings(hist: dict[int, int], largest: int, capacity: int, max_waste: int) -> Iterator[tuple[int, Pattern | None]]:
+    """Every undominated filling around one ``largest`` item, by waste, larger items first; None in the place of a dominated one.
 
-def dominated(chosen: Pattern, waste: int, rising: list[int], free) -> bool:
+    They are made one at a time: bitsets of the sums that the shorter lengths can still make lead
+    straight to a filling, so a caller that stops early pays for no others.
+    """
+    room = capacity - largest
+    free = {n: c - (n == largest) for n, c in hist.items() if n <= room}
+    lengths = sorted((n for n, c in free.items() if c > 0), reverse=True)
+    full, made = (1 << (room + 1)) - 1, [1]
+    for n in reversed(lengths):
+        made.append(with_copies(made[-1], n, min(free[n], room // n), full))
+    made.reverse()  # made[i]: sums of lengths[i:]
+    for waste in range(min(room, max_waste) + 1):
+        if not made[0] >> (room - waste) & 1:
+            continue
+        stack: list[tuple[int, int, Pattern]] = [(0, room - waste, ())]
+        while stack:
+            i, left, chosen = stack.pop()
+            while left:
+                i = bisect_left(lengths, -left, lo=i, key=neg)
+                n = lengths[i]
+                counts = [c for c in range(min(free[n], left // n), -1, -1) if made[i + 1] >> (left - c * n) & 1]
+                stack += [(i + 1, left - c * n, (*chosen, (n, c)) if c else chosen) for c in counts[:0:-1]]
+                if counts[0]:
+                    chosen = (*chosen, (n, counts[0]))
+                i, left = i + 1, left - counts[0] * n
+            yield waste, None if dominated(chosen, waste, room, free) else chosen
+
+
+def dominated(chosen: Pattern, waste: int, room: int, free: dict[int, int]) -> bool:
+    """Whether an item left out fits in the place of some of the chosen ones, or beside them: the filling with it leaves the easier items for later."""
     used = dict(chosen)
-    items = [n for n, c in chosen for _ in range(c)][:8]
-    for k in range(1, len(items) + 1):
-        for part in combinations(items, k):
-            s = sum(part)
-            at = bisect_left(rising, s + (k == 1))
-            while at < len(rising) and rising[at] <= s + waste:
-                if free(rising[at]) > used.get(rising[at], 0):
-                    return True
-                at += 1
+    left_out = sum(1 << n for n, c in free.items() if c > used.get(n, 0))
+    sums, low = 1, 0  # of chosen items of at most `low`
+    for n, c in [*chosen[::-1], (room, 0)]:
+        fits, reach = sums, 0  # lengths from a sum to the sum and the waste
+        while reach < waste:
+            step = min(reach + 1, waste - reach)
+            fits |= fits << step
+            reach += step
+        if left_out & fits & ((1 << (n + 1)) - (1 << (low + 1))):
+            return True
+        sums, low = with_copies(sums, n, c, (1 << (room + 1)) - 1), n
     return False
 
 
+def search(hist: dict[int, int], capacity: int, target: int, best: dict[Pattern, int], max_nodes: int) -> tuple[dict[Pattern, int], int]:
+    """A packing at least as good as ``best``, of ``target`` sequences if one is found, and the nodes used.
+
+    Branch and bound: the sequence of the largest item is completed by each undominated filling in
+    turn, as often as the counts allow at first; what would waste more than the target leaves, or
+    whose rest has too high a bound, is cut off. On the way down, best fit packs what is left:
+    the best of these packings is the incumbent.
+    """
+    spare = target * capacity - sum(n * c for n, c in hist.items())
+    counts, chosen, placed, nodes, count = dict(hist), [], 0, 0, sum(best.values())
+
+    def options(spare: int) -> Iterator[tuple[int, Pattern, int] | None]:
+        largest, now = max(counts), dict(counts)
+        for waste, filling in fillings(now, largest, capacity, spare):
+            if filling is None:
+                yield None
+                continue
+            pattern: dict[int, int] = defaultdict(int)
+            pattern[largest] += 1
+            for n, c in filling:
+                pattern[n] += c
+            most = min(now[n] // c for n, c in pattern.items())
+            most = min(most, spare // waste) if waste else most
+            for times in range(most, 0, -1):
+                yield waste, tuple(sorted(pattern.items(), reverse=True)), times
+
+    stack = [options(spare)] if counts and spare >= 0 else []
+    while stack and nodes < max_nodes and count > target:
+        nodes += 1
+        step = next(stack[-1], ())
+        if step is None:
+            continue
+        if not step:
+            stack.pop()
+            if chosen:
+                waste, pattern, times = chosen.pop()
+                spare, placed = spare + waste * times, placed - times
+                for n, c in pattern:
+                    counts[n] = counts.get(n, 0) + c * times
+            continue
+        waste, pattern, times = step
+        chosen.append(step)
+        spare, placed = spare - waste * times, placed + times
+        for n, c in pattern:
+            counts[n] -= c * times
+            if not counts[n]:
+                del counts[n]
+        if nodes % EVERY == 0 or len(counts) < EVERY:
+            rest = best_fit(counts, capacity)
+            if placed + sum(rest.values()) < count:
+                out: dict[Pattern, int] = defaultdict(int, rest)
+                for _, done, many in chosen:
+                    out[done] += many
+                best, count = dict(out), sum(out.values())
+        stack.append(options(spare) if counts and placed + lower_bound(counts, capacity) <= target else iter(()))
+    return best, nodes
+
+
 def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> dict[Pattern, int]:
     """Patterns and multiplicities that hold every item of ``hist`` in few sequences.
 
-    The incumbent is best-fit decreasing. Where it misses the bound, branch and bound completes
-    the sequence of the largest item, waste bound by waste bound, as often as the counts allow.
+    The first incumbent is best-fit decreasing. Where it misses the bound, bin completion looks
+    for a packing at the bound, then halfway to the incumbent, and so on; each search gets half of
+    the nodes that are left.
     """
     best = best_fit(hist, capacity)
-    total, nodes = sum(n * c for n, c in hist.items()), 0
-    bound, count = lower_bound(hist, capacity), sum(best.values())
-    while count > bound and nodes < max_nodes:
-        spare = (count - 1) * capacity - total  # the waste that a better packing may have
-        counts, chosen = dict(hist), []
-        stack: list[Iterator] = []
-
-        def options(counts: dict[int, int], spare: int) -> Iterator:
-            largest = max(counts)
-            for waste, filling in fillings(counts, largest, capacity, spare, 500):
-                pattern: dict[int, int] = defaultdict(int)
-                pattern[largest] += 1
-                for n, c in filling:
-                    pattern[n] += c
-                times = min(counts[n] // c for n, c in pattern.items())
-                if waste:
-                    times = min(times, spare // waste)
-                yield waste, tuple(sorted(pattern.items(), reverse=True)), times
-
-        stack.append(options(counts, spare))
-        better = None
-        while stack and nodes < max_nodes:
-            nodes += 1
-            step = next(stack[-1], None)
-            if step is None:
-                stack.pop()
-                if chosen:
-                    waste, pattern, times = chosen.pop()
-                    spare += waste * times
-                    for n, c in pattern:
-                        counts[n] = counts.get(n, 0) + c * times
-                continue
-            waste, pattern, times = step
-            chosen.append(step)
-            spare -= waste * times
-            for n, c in pattern:
-                counts[n] -= c * times
-                if not counts[n]:
-                    del counts[n]
-            if not counts:
-                better = chosen
-                break
-            stack.append(options(dict(counts), spare))
-        if better is None:
-            break
-        best = defaultdict(int)
-        for _, pattern, times in better:
-            best[pattern] += times
-        best, count = dict(best), sum(best.values())
+    low, left = lower_bound(hist, capacity), max_nodes
+    target = low
+    while low < sum(best.values()) and left > 0:
+        best, nodes = search(hist, capacity, target, best, -(-left // 2))
+        left -= nodes
+        low = max(low, target + 1)
+        target = (low + sum(best.values()) - 1) // 2
     return best
 
 
@@ -227,7 +261,7 @@ class Ids:
         self.tok, self.known, self.old, self.most = Tokenizer.from_file(path), {}, {}, cache_words
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.stops = {x: array("I", self.tok.encode(x, add_special_tokens=False).ids).tobytes() for x in ("", ",", ".")}
+        self.stops = {x: array("I", self.tok.encode(x, add_special_tokens=False).ids).tobytes() for x in (",", ".")}
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         # For lower-case letters nothing is left to normalise, and blanks part the words.
         self.plain = Tokenizer.from_file(path)
@@ -241,49 +275,60 @@ class Ids:
     def add(self, words: list[str]) -> None:
         """Words of letters, with or without a final comma or full stop, are put together from their
         parts; those parts are tokenized in one go and parted where a token ends a word."""
-        parts: dict[str, tuple[str, str]] = {}
+        known, old = self.known, self.old
+        parts: list[tuple[str, str, bytes]] = []
+        rest: list[str] = []
         for w in words:
-            core, stop = (w[:-1], w[-1]) if w[-1:] in (",", ".") else (w, "")
-            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                parts[w] = core.lower(), stop
+            core, stop = (w, b"") if w.isalpha() else (w[:-1], self.stops.get(w[-1:], b""))
+            if (stop or core is w) and core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                parts.append((w, core.lower(), stop))
+            else:
+                rest.append(w)
         plain = []
-        for w in {core for core, _ in parts.values()}:
-            if w not in self.known:
-                x = self.old.get(w)
+        for core in {core for _, core, _ in parts}:
+            if core not in known:
+                x = old.get(core)
                 if x is None:
-                    plain.append(w)
+                    plain.append(core)
                 else:
-                    self.known[w] = x
-        if len(parts) < len(words):
-            rest = [w for w in words if w not in parts]
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True))
-        made: dict[str, bytes] = {}
+                    known[core] = x
+        if rest:
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True))
         if plain:
             ids = np.array(self.plain.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(plain):
                 raise ValueError("the tokenizer doesn't take runs of letters as words")
-            data = ids.tobytes()
-            made = {w: data[4 * a : 4 * b] for w, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
-        self.known.update(made)
-        self.known.update({w: self.known[core] + self.stops[stop] for w, (core, stop) in parts.items()})
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        open_ = [i for i, ids in enumerate(found) if None in ids]
-        need = {w for i in open_ for w, x in zip(split[i], found[i], strict=True) if x is None}
-        again = {w: self.old[w] for w in need if w in self.old}
-        self.known.update(again)
-        self.add([w for w in need if w not in again])
-        for i in open_:
-            found[i] = list(map(self.known.__getitem__, split[i]))
-        for w in need:
-            if len(w) > CACHE_CHARS:
-                del self.known[w]
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(plain, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for w, core, stop in parts:
+            known[w] = known[core] + stop if stop else known[core]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and where each text's begin and end. Python sees each distinct word once."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = list(map(self.known.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        need = [words[i] for i in gaps]
+        if need:
+            again = {w: x for w in need if (x := self.old.get(w)) is not None}
+            self.known.update(again)
+            self.add([w for w in need if w not in again] if again else need)
+            for i, w in zip(gaps, need, strict=True):
+                found[i] = self.known[w]
+                if len(w) > CACHE_CHARS:
+                    del self.known[w]
         if len(self.known) > self.most:  # words that are met again come back from the older half
             self.old, self.known = self.known, {}
-        return [b"".join(ids) for ids in found]
+        many = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(many) - many
+        each = many[at]
+        before = np.r_[0, np.cumsum(each)]
+        place = np.repeat(first[at] - before[:-1], each)
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(found), "<u4")[place], before[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 def tokenizer_pieces(path: str, capacity: int = CAPACITY, end_id: int = 1, cache_words: int = CACHE_WORDS):
@@ -296,11 +341,12 @@ def tokenizer_pieces(path: str, capacity: int = CAPACITY, end_id: int = 1, cache
         seen: dict[int, int] = defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                b = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, TEXTS):
+                b = batch.slice(at, TEXTS)
                 rows = []
-                for i, data in enumerate(ids.texts([t or "" for t in b.column(1).to_pylist()])):
-                    data += end
+                flat, ends = ids.texts(b.column(1))
+                for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                    data = flat[lo:hi].tobytes() + end
                     for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                         x = data[start : start + 4 * capacity]
                         n = len(x) // 4

@@ -90,6 +90,43 @@ def test_best_fit_counts():
     assert held == hist and sum(plan.values()) <= packing.lower_bound(hist, 4096) * 1.0005
 
 
+def test_bin_completion_beats_best_fit(spark):
+    """Lengths that best fit packs badly at full capacity; the query's packing is that of the search."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(700, 2500, 400).tolist()
+    hist = {int(n): int(c) for n, c in zip(*np.unique(sizes, return_counts=True), strict=True)}
+    plan, first = packing.bin_completion(hist), packing.best_fit(hist, 4096)
+    assert packing.lower_bound(hist, 4096) <= sum(plan.values()) < sum(first.values())
+    got = packing.pack(docs_of(spark, [(i, "the " * (n - 1), "s") for i, n in enumerate(sizes)]), queries.tokenizer_path())
+    assert sorted(r["length"] for r in got.collect()) == sorted(sizes) and got.select("sequence_id").distinct().count() == sum(plan.values())
+
+
+def test_fillings():
+    """All undominated fillings, by waste, against enumeration."""
+    rng = random.Random(3)
+    for _ in range(200):
+        items = [rng.randint(1, 20) for _ in range(rng.randint(2, 8))]
+        hist, room = {n: items.count(n) for n in items}, 25
+        rest = list(items)
+        largest = max(items)
+        rest.remove(largest)
+        every = {tuple(sorted(rest[i] for i in range(len(rest)) if mask >> i & 1)) for mask in range(1 << len(rest))}
+        fits = {f for f in every if sum(f) <= room - largest}
+
+        def worse(f, fits=fits, rest=rest):
+            """An item left out is as large as some of the chosen together, or more, and still fits in their place."""
+            left = list(rest)
+            for n in f:
+                left.remove(n)
+            parts = [[f[i] for i in range(len(f)) if mask >> i & 1] for mask in range(1 << len(f))]
+            return any(sum(p) <= n <= sum(p) + room - largest - sum(f) and n not in p for n in left for p in parts)
+
+        want = {f for f in fits if not worse(f)}
+        got = [(w, tuple(sorted(n for n, c in f for _ in range(c)))) for w, f in packing.fillings(hist, largest, room, room) if f is not None]
+        assert {f for _, f in got} == want and len(got) == len(want)
+        assert [w for w, _ in got] == sorted(room - largest - sum(f) for _, f in got)
+
+
 def plain_targets(sizes, weights):
     capped: set = set()
     while True:
