@@ -17,6 +17,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 from operator import neg
 
 import numpy as np
@@ -32,10 +33,12 @@ CAPACITY = 4096
 MAX_NODES = 8_000
 #: Nodes from one packing of the rest by best fit to the next.
 EVERY = 32
+#: Nodes that hold their fillings; those further up make them again when the search comes back.
+OPEN = 64
 #: Texts that are tokenized at once.
-TEXTS = 2048
+TEXTS = 1024
 #: Words in either half of a worker's token cache.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 #: Words longer than this aren't cached.
 CACHE_CHARS = 64
 
@@ -182,10 +185,15 @@ def search(hist: dict[int, int], capacity: int, target: int, best: dict[Pattern,
             for times in range(most, 0, -1):
                 yield waste, tuple(sorted(pattern.items(), reverse=True)), times
 
-    stack = [options(spare)] if counts and spare >= 0 else []
+    # Of each open node: the waste it may still have, the options taken, and their iterator, which only the last OPEN nodes hold.
+    stack: list[list] = [[spare, 0, options(spare)]] if counts and spare >= 0 else []
     while stack and nodes < max_nodes and count > target:
         nodes += 1
-        step = next(stack[-1], ())
+        top = stack[-1]
+        if top[2] is None:
+            top[2] = islice(options(top[0]), top[1], None)
+        step = next(top[2], ())
+        top[1] += 1
         if step is None:
             continue
         if not step:
@@ -210,7 +218,9 @@ def search(hist: dict[int, int], capacity: int, target: int, best: dict[Pattern,
                 for _, done, many in chosen:
                     out[done] += many
                 best, count = dict(out), sum(out.values())
-        stack.append(options(spare) if counts and placed + lower_bound(counts, capacity) <= target else iter(()))
+        stack.append([spare, 0, options(spare) if counts and placed + lower_bound(counts, capacity) <= target else iter(())])
+        if len(stack) > OPEN:
+            stack[-OPEN - 1][2] = None
     return best, nodes
 
 
