@@ -1,18 +1,24 @@
 """Substring dedup over token k-mers, by compaction of the corpus's De Bruijn graph.
 
-The edges of the graph are windows of ``K`` consecutive words. A text is a path; it is cut into
-pieces of consecutive edges that share a minimizer (the least hash of ``M`` words in the window),
-and as equal windows have equal minimizers, each piece of the graph can be handled on its own:
-
-1. Minimizers that occur once can't lie in a repeated window. Their pieces go before any edge is made.
-2. The pieces of a minimizer are compared edge by edge in one place, if there are at most ``HOT`` of them.
-3. Pieces of other minimizers are compacted first: equal nonbranching pieces are one path with a
-   count, whatever its number of copies, and only distinct paths expand into edges, which are
-   counted with partial sums and joined back to the paths.
-4. Repeated edges return to their source coordinates, where those next to each other join into
-   maximal repeated spans.
-
-Windows are told apart by two hashes of 64 bits, the minimizer's and the edge's.
+The edges of the graph are windows of ``K`` consecutive words. A text is a walk; it is cut into
+pieces, runs of consecutive edges that share a minimizer (the least hash of ``M`` words in the
+window). Equal windows have equal minimizers, so a minimizer's pieces hold all copies of its edges.
+
+1. Minimizers that occur once can't lie in a repeated window: their pieces go before any edge is made.
+2. Pieces of the same words are one path, whatever its number of copies, with a count and the
+   source coordinates of one copy. A minimizer with one path needs no edges: all of them are
+   repeated if the path is.
+3. Other paths are read again at their source coordinates, and each of their edges is a row, named
+   by its minimizer and a 128-bit digest of its source words. Rows of an edge are summed.
+4. Repeated edges that follow each other in a path are joined unless a branch lies between them (an
+   edge with more than one successor, or predecessor): what is left are the nonbranching runs,
+   one row each.
+5. Runs are joined back to all source coordinates of their paths; a text's spans next to each
+   other form its repeated passages.
+
+Hashes of 64 bits only choose minimizers, so their collisions cost time and no correctness:
+paths and edges are told apart by digests of their words. No group is held in one task: paths and
+edges are summed before they are shuffled, and joins on a frequent key are ones that adaptive execution can split.
 
 Nulls and edge cases: a null or empty text has no words; texts shorter than a window keep all;
 rows equal in ``doc_id`` and text each count as a place of their own, so their windows repeat; an
@@ -26,18 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import drop, row_key, stage, text_bytes
 from skein.llm.shingles import runs, window_minima, word_hashes
 
 K, M = 35, 6
-#: Pieces of a minimizer that one task compares at most; more are compacted by joins.
-HOT = 1000
 #: Edges of a piece at most.
 LONGEST = 1024
-SPANS = "_k1 long, _k2 long, start int, edges int"
 
 
 def pieces(words: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,137 +90,109 @@ def minimizers(docs: DataFrame, k: int, m: int) -> DataFrame:
     return docs.mapInArrow(run, "_k1 long, _m long, _n byte")
 
 
-def edge_rows(found: DataFrame, k: int, m: int) -> DataFrame:
-    """From _k1, _k2, text and the minimizers to look at (_ms): their pieces with the hashes of the edges."""
+def parts_of(data: bytes) -> tuple[bytes, np.ndarray]:
+    """The words joined by single blanks, and where each begins (and where one more would)."""
+    words = data.split()
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return b" ".join(words), np.r_[0, ends]
+
+
+def digests(joined: bytes, begin: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """128-bit digests, as two columns, of runs of words given by their first word and number."""
+    whole = memoryview(joined)
+    cut = zip(begin[start].tolist(), (begin[start + words] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[x:y]) for x, y in cut]), np.int64).reshape(-1, 2)
+
+
+def path_rows(found: DataFrame, k: int, m: int) -> DataFrame:
+    """From _k1, _k2, text, _ms (minimizers to look at) and _w (equal rows): their pieces, with the digest of their words (_p1, _p2) and whether an edge stands in one twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 b = batch.slice(at, 64)
                 out = []
-                for k1, k2, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                    words = word_hashes(text_bytes(text))
+                for row, text, wanted in zip(range(b.num_rows), b.column(2).to_pylist(), b.column(3), strict=True):
+                    data = text_bytes(text)
+                    words, (joined, begin) = word_hashes(data), parts_of(data)
                     start, n, least = pieces(words, k, m)
                     want = np.isin(least, wanted.values.to_numpy())
                     if want.any():
+                        start, n, least = start[want], n[want], least[want]
                         edges = runs(words, k)
-                        out += [(k1, k2, s, x, edges[s : s + c].tobytes()) for s, c, x in zip(start[want].tolist(), n[want].tolist(), least[want].tolist(), strict=True)]
-                for lo in range(0, len(out), 4096):
-                    k1, k2, s, x, e = zip(*out[lo : lo + 4096], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(s, pa.int32()), pa.array(x), pa.array(e, pa.binary())], ["_k1", "_k2", "start", "_m", "_edges"])
-
-    return found.select("_k1", "_k2", "text", "_ms").mapInArrow(run, "_k1 long, _k2 long, start int, _m long, _edges binary")
-
+                        twice = [len(np.unique(edges[x : x + c])) < c for x, c in zip(start.tolist(), n.tolist(), strict=True)]
+                        out.append((np.full(len(n), row), start.astype(np.int32), n.astype(np.int32), least, *digests(joined, begin, start, n + k - 1).T, np.array(twice)))
+                if out:
+                    row, *cols = (np.concatenate(x) for x in zip(*out, strict=True))
+                    keys = [b.column(i).take(pa.array(row)) for i in (0, 1, 4)]
+                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(x) for x in cols)], ["_k1", "_k2", "_w", "start", "n", "_m", "_p1", "_p2", "_twice"])
 
-def spans_of(flags: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, start and number of edges of each run of flagged edges of pieces laid end to end."""
-    piece = np.repeat(np.arange(len(lens)), lens)
-    inner = np.arange(len(piece)) - np.repeat(np.cumsum(lens) - lens, lens)
-    on = np.flatnonzero(flags)
-    new = np.r_[True, (np.diff(on) > 1) | (piece[on[1:]] != piece[on[:-1]])] if len(on) else np.zeros(0, bool)
-    first = on[new]
-    n = np.diff(np.r_[np.flatnonzero(new), len(on)])
-    return piece[first], starts[piece[first]] + inner[first], n
+    return found.select("_k1", "_k2", "text", "_ms", "_w").mapInArrow(run, "_k1 long, _k2 long, _w long, start int, n int, _m long, _p1 long, _p2 long, _twice boolean")
 
 
-def by_minimizer(rows: DataFrame) -> DataFrame:
-    """Spans of repeated edges among the pieces of each minimizer, which arrive together."""
+def edge_rows(found: DataFrame, k: int) -> DataFrame:
+    """From text and _paths (start, n, _m, _p1, _p2, c): a row for each edge of the paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(k1, k2, start, m, edges) -> Iterator[pa.RecordBatch]:
-            if len(m):
-                lens = np.fromiter(map(len, edges), np.int64, len(edges)) // 8
-                flat = np.frombuffer(b"".join(edges), np.int64)
-                group = np.repeat(np.cumsum(np.r_[True, m[1:] != m[:-1]]), lens)
-                order = np.lexsort((flat, group))
-                f, g = flat[order], group[order]
-                same = (f[1:] == f[:-1]) & (g[1:] == g[:-1])
-                flags = np.zeros(len(flat), bool)
-                flags[order] = np.r_[same, False] | np.r_[False, same]
-                p, s, n = spans_of(flags, start, lens)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[p]), pa.array(k2[p]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["_k1", "_k2", "start", "edges"])
-
-        held = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                new = [*(b.column(i).to_numpy() for i in range(4)), np.array(b.column(4).to_pylist() + [None], object)[:-1]]
-                all_ = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
-                cut = int(np.searchsorted(all_[3], all_[3][-1]))
-                yield from told(*(x[:cut] for x in all_))
-                held = [x[cut:] for x in all_]
-        if held is not None:
-            yield from told(*held)
-
-    return rows.repartition("_m").sortWithinPartitions("_m").select("_k1", "_k2", "start", "_m", "_edges").mapInArrow(run, SPANS)
-
-
-def by_path(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """The same for minimizers with many pieces, by distinct paths.
-
-    Paths of a minimizer are dealt to groups of about ``HOT``; a group gives each of its edges once, with
-    its count, and gets those back that are repeated.
-    """
-    rows = stage(rows.withColumn("_p", F.xxhash64("_m", "_edges")), "paths")
-    one = rows.groupBy("_p").agg(F.count("*").alias("n"), F.first("_m").alias("_m"), F.first("_edges").alias("_edges"))
-    part = F.pmod(F.col("_p"), F.ceil(F.col("c") / HOT))
-    paths = stage(one.join(hot, "_m").select("_p", "n", "_edges", F.xxhash64("_m", part).alias("_g")), "classes")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(group: int, n: list[int], edges: list[bytes]) -> pa.RecordBatch:
-            flat, where = np.unique(np.frombuffer(b"".join(edges), np.int64), return_inverse=True)
-            total = np.zeros(len(flat), np.int64)
-            np.add.at(total, where, np.repeat(n, [len(x) // 8 for x in edges]))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), group)), pa.array(flat), pa.array(total)], ["_g", "_e", "n"])
-
-        group, n, edges = None, [], []
-        for b in batches:
-            for g, k, e in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if g != group and edges:
-                    yield told(group, n, edges)
-                    n, edges = [], []
-                group = g
-                n.append(k)
-                edges.append(e)
-        if edges:
-            yield told(group, n, edges)
-
-    by_group = paths.select("_g", "n", "_edges").repartition("_g").sortWithinPartitions("_g").mapInArrow(counted, "_g long, _e long, n long")
-    edges = stage(by_group, "group-edges")
-    often = edges.groupBy("_e").agg(F.sum("n").alias("c")).filter("c > 1").select("_e")
-    known = edges.select("_g", "_e").join(often, "_e").groupBy("_g").agg(F.collect_list("_e").alias("_es"))
-
-    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [np.flatnonzero(np.isin(np.frombuffer(e.as_buffer(), np.int64), es.values.to_numpy())).astype(np.int32) for e, es in zip(b.column(1), b.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], ["_p", "_at"])
-
-    marked = paths.join(known, "_g").select("_p", "_edges", "_es").mapInArrow(flagged, "_p long, _at array<int>").filter(F.size("_at") > 0)
-
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k1, k2, start = (b.column(i).to_numpy() for i in range(3))
-            at = [np.sort(x.values.to_numpy()) for x in b.column(3)]
-            if at:
-                lens = np.array([x[-1] + 1 for x in at])
-                flags = np.zeros(int(lens.sum()), bool)
-                flags[np.concatenate(at) + np.repeat(np.cumsum(lens) - lens, [len(x) for x in at])] = True
-                p, s, n = spans_of(flags, start, lens)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[p]), pa.array(k2[p]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["_k1", "_k2", "start", "edges"])
-
-    return rows.select("_p", "_k1", "_k2", "start").join(marked, "_p").select("_k1", "_k2", "start", "_at").mapInArrow(back, SPANS)
+            for at in range(0, batch.num_rows, 64):
+                b = batch.slice(at, 64)
+                for text, paths in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    joined, begin = parts_of(text_bytes(text))
+                    start, n, m, p1, p2, c = (x.to_numpy() for x in paths.values.flatten())
+                    for lo in range(0, len(n), 1024):
+                        s, many = start[lo : lo + 1024], n[lo : lo + 1024]
+                        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        e = digests(joined, begin, np.repeat(s, many) + inner, np.full(len(inner), k))
+                        cols = [np.repeat(x[lo : lo + 1024], many) for x in (m, p1, p2, c)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (*cols, inner.astype(np.int32), *e.T)], ["_m", "_p1", "_p2", "c", "pos", "_e1", "_e2"])
+
+    return found.select("text", "_paths").mapInArrow(run, "_m long, _p1 long, _p2 long, c long, pos int, _e1 long, _e2 long")
+
+
+def nonbranching(edges: DataFrame) -> DataFrame:
+    """_p1, _p2, pos and n of the runs of repeated edges without a branch in each path; ``edges`` as ``edge_rows`` makes them."""
+    name = ["_m", "_e1", "_e2"]
+    often = edges.groupBy(*name).agg(F.sum("c").alias("n")).filter("n > 1").select(*name)
+    repeated = stage(edges.join(often, name).select("_p1", "_p2", "pos", *name), "repeated")
+    walk = Window.partitionBy("_p1", "_p2").orderBy("pos")  # at most LONGEST rows
+    follow = lambda x: F.lead(x).over(walk)
+    steps = repeated.select("*", F.when(follow("pos") == F.col("pos") + 1, F.struct(follow("_e1").alias("x"), follow("_e2").alias("y"))).alias("_next"))
+    pairs = steps.filter("_next is not null").select("_m", "_e1", "_e2", F.col("_next.x").alias("_x"), F.col("_next.y").alias("_y")).distinct()
+    links = stage(pairs, "links")
+    fork = links.groupBy("_m", "_e1", "_e2").agg(F.count("*").alias("n")).filter("n > 1").select("_m", "_e1", "_e2", F.lit(True).alias("_out"))
+    meet = links.groupBy("_m", "_x", "_y").agg(F.count("*").alias("n")).filter("n > 1").select("_m", F.col("_x").alias("_e1"), F.col("_y").alias("_e2"), F.lit(True).alias("_in"))
+    marked = repeated.join(fork, name, "left").join(meet, name, "left")
+    before = lambda x: F.lag(x).over(walk)
+    begins = before("pos").isNull() | (before("pos") != F.col("pos") - 1) | F.coalesce(before("_out"), F.lit(False)) | F.coalesce("_in", F.lit(False))
+    runs_ = marked.select("_p1", "_p2", "pos", begins.cast("int").alias("_new")).withColumn("_run", F.sum("_new").over(walk))
+    return runs_.groupBy("_p1", "_p2", "_run").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("n")).drop("_run")
 
 
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """_k1, _k2 and the spans (start, edges) of windows that start elsewhere too; documents have _k1, _k2 and text."""
+    key = ["_k1", "_k2"]
     seen = stage(minimizers(docs.select("_k1", "text"), k, m), "minimizers")
     often = seen.groupBy("_m").agg(F.sum(F.col("_n").cast("long")).alias("c")).filter("c > 1").select("_m")
     wanted = stage(seen.join(often, "_m").groupBy("_k1").agg(F.collect_set("_m").alias("_ms")), "wanted")
     drop(seen)
-    rows = edge_rows(docs.join(wanted, "_k1"), k, m)
-    rows = stage(rows, "edges")
-    hot = rows.groupBy("_m").agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
-    return by_minimizer(rows.join(hot, "_m", "left_anti")).unionByName(by_path(rows.join(hot, "_m", "left_semi"), hot))
+    # Equal rows are read once, with their number as weight.
+    copies = stage(docs.groupBy(*key).agg(F.count("*").alias("_w")).filter("_w > 1"), "copies")
+    known = docs.join(wanted, "_k1")
+    single = known.join(copies, key, "left_anti").withColumn("_w", F.lit(1).cast("long"))
+    texts = single.unionByName(known.join(copies, key).dropDuplicates(key))
+    places = stage(path_rows(texts, k, m), "places")
+    path = ["_p1", "_p2"]
+    one = F.min(F.struct("_k1", "_k2", "start"))
+    paths = stage(places.groupBy(*path).agg(F.sum("_w").alias("c"), F.first("_m").alias("_m"), F.first("n").alias("n"), F.max("_twice").alias("_twice"), one.alias("_at")), "paths")
+    open_ = paths.groupBy("_m").agg(F.count("*").alias("x"), F.max("_twice").alias("y")).filter("x > 1 or y").select("_m")
+    whole = paths.join(open_, "_m", "left_anti").filter("c > 1").select(*path, F.lit(0).alias("pos"), "n")
+    asked = paths.join(open_, "_m", "left_semi").groupBy(F.col("_at._k1").alias("_k1"), F.col("_at._k2").alias("_k2"))
+    asked = asked.agg(F.collect_list(F.struct(F.col("_at.start").alias("start"), "n", "_m", "_p1", "_p2", "c")).alias("_paths"))
+    edges = stage(edge_rows(texts.select(*key, "text").join(asked, key), k), "edges")
+    runs_ = stage(whole.unionByName(nonbranching(edges)), "runs")
+    drop(edges)
+    return places.select(*key, "start", *path).join(runs_, path).select(*key, (F.col("start") + F.col("pos")).alias("start"), F.col("n").alias("edges"))
 
 
 def keep_words(data: bytes, spans: list[tuple[int, int]], k: int) -> tuple[list[bytes], int]:

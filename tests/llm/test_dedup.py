@@ -73,12 +73,42 @@ def test_minhash_repeated_rows(spark):
     assert minhash.near_duplicates(rows_of(spark).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_substring(spark, documents, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT", hot)
-    for docs in (documents, hard_texts()):
-        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(rows_of(spark, *docs)).collect()}
-        assert got == dict(zip([i for i, _ in docs], brute.repeated_words([t for _, t in docs]), strict=True))
+def check_substring(spark, docs):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(rows_of(spark, *docs)).collect()}
+    assert got == dict(zip([i for i, _ in docs], brute.repeated_words([t for _, t in docs]), strict=True))
+
+
+def test_substring_documents(spark, documents):
+    check_substring(spark, documents)
+
+
+def test_substring_hard(spark):
+    check_substring(spark, hard_texts())
+
+
+def test_substring_branches(spark):
+    """Passages that leave a common stem for different ends, meet again, and cross each other."""
+    stem, ends = prose(20, 60), [prose(21 + i, 50) for i in range(4)]
+    texts = [[*stem, *e] for e in ends] + [[*e, *stem] for e in ends] + [[*ends[0], *stem, *ends[1]], [*ends[2], *stem[5:50], *ends[3]], stem[10:50] * 3, stem[:36], stem[24:]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    check_substring(spark, docs)
+    rows = [(p, 1, i, 1, 0, e) for p, walk in ((1, "abcdx"), (2, "abcdy"), (3, "zcd")) for i, e in enumerate(map(ord, walk))]
+    edges = spark.createDataFrame([(7, p, q, c, i, e, e) for p, q, i, c, _, e in rows], "_m long, _p1 long, _p2 long, c long, pos int, _e1 long, _e2 long")
+    got = sorted(tuple(r) for r in substring.nonbranching(edges).select("_p1", "pos", "n").collect())
+    assert got == [(1, 0, 4), (2, 0, 4), (3, 1, 2)]  # z, x and y aren't repeated
+    more = edges.unionByName(edges.selectExpr("_m", "_p1 + 10", "_p2", "c", "pos", "_e1", "_e2").toDF(*edges.columns))
+    got = sorted(tuple(r) for r in substring.nonbranching(more).filter("_p1 < 10").select("_p1", "pos", "n").collect())
+    assert got == [(1, 0, 2), (1, 2, 2), (1, 4, 1), (2, 0, 2), (2, 2, 2), (2, 4, 1), (3, 0, 1), (3, 1, 2)]  # cut before c, where two walks meet, and after d, where they part
+
+
+def test_substring_hash_collisions(spark, monkeypatch):
+    """Words whose hashes are all the same few values: nothing but unequal texts keeps windows apart."""
+    weak = lambda data: np.fromiter((len(w) % 3 for w in data.split()), np.uint64)
+    monkeypatch.setattr(substring, "word_hashes", weak)
+    base = prose(30, 200)
+    texts = [base[:120], base[20:100] + prose(31, 80), [w[:-1] + "q" for w in base[:100]], prose(32, 150), base[60:]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    check_substring(spark, docs)
 
 
 def test_substring_repeated_rows(spark):
