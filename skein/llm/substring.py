@@ -8,8 +8,9 @@ window). Equal windows have equal minimizers, so a minimizer's pieces hold all c
 2. Pieces of the same words are one path, whatever its number of copies, with a count and the
    source coordinates of one copy. A minimizer with one path needs no edges: all of them are
    repeated if the path is.
-3. Other paths are read again at their source coordinates, and each of their edges is a row, named
-   by its minimizer and a 128-bit digest of its source words. Rows of an edge are summed.
+3. Other paths are read again at their source coordinates. Each edge is named by its minimizer and
+   a 128-bit digest of its source words. A minimizer's paths are dealt to groups of bounded size,
+   which sum their edges; the sums of all groups are joined.
 4. Repeated edges that follow each other in a path are joined unless a branch lies between them (an
    edge with more than one successor, or predecessor): what is left are the nonbranching runs,
    one row each.
@@ -42,6 +43,8 @@ from skein.llm.shingles import runs, window_minima, word_hashes
 K, M = 35, 6
 #: Edges of a piece at most.
 LONGEST = 1024
+#: Edges of a group of paths, about, and bytes of groups that are handled at once.
+GROUP, AT_ONCE = 1 << 16, 4 << 20
 
 
 def pieces(words: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,8 +133,8 @@ def path_rows(found: DataFrame, k: int, m: int) -> DataFrame:
     return found.select("_k1", "_k2", "text", "_ms", "_w").mapInArrow(run, "_k1 long, _k2 long, _w long, start int, n int, _m long, _p1 long, _p2 long, _twice boolean")
 
 
-def edge_rows(found: DataFrame, k: int) -> DataFrame:
-    """From text and _paths (start, n, _m, _p1, _p2, c): a row for each edge of the paths."""
+def path_edges(found: DataFrame, k: int) -> DataFrame:
+    """From text and _paths (start, n, _m, _p1, _p2, c): each path with the digests of its edges, 16 bytes an edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,28 +142,109 @@ def edge_rows(found: DataFrame, k: int) -> DataFrame:
                 b = batch.slice(at, 64)
                 for text, paths in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     joined, begin = parts_of(text_bytes(text))
-                    start, n, m, p1, p2, c = (x.to_numpy() for x in paths.values.flatten())
-                    for lo in range(0, len(n), 1024):
-                        s, many = start[lo : lo + 1024], n[lo : lo + 1024]
-                        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                        e = digests(joined, begin, np.repeat(s, many) + inner, np.full(len(inner), k))
-                        cols = [np.repeat(x[lo : lo + 1024], many) for x in (m, p1, p2, c)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (*cols, inner.astype(np.int32), *e.T)], ["_m", "_p1", "_p2", "c", "pos", "_e1", "_e2"])
-
-    return found.select("text", "_paths").mapInArrow(run, "_m long, _p1 long, _p2 long, c long, pos int, _e1 long, _e2 long")
-
-
-def nonbranching(edges: DataFrame) -> DataFrame:
-    """_p1, _p2, pos and n of the runs of repeated edges without a branch in each path; ``edges`` as ``edge_rows`` makes them."""
+                    start, n, *cols = paths.values.flatten()
+                    e = []
+                    for x, many in zip(start.to_pylist(), n.to_pylist(), strict=True):
+                        e.append(digests(joined, begin, np.arange(x, x + many), np.full(many, k)).tobytes())
+                    yield pa.RecordBatch.from_arrays([*cols, n, pa.array(e, pa.binary())], ["_m", "_p1", "_p2", "c", "n", "_edges"])
+
+    return found.select("text", "_paths").mapInArrow(run, "_m long, _p1 long, _p2 long, c long, n int, _edges binary")
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], ids: tuple[str, str] = ("_m", "_g")) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about AT_ONCE bytes that end where a group ends; rows arrive by group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            b = batch.slice(at, 4096)
+            m, g = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ids)
+            last = b.num_rows - int(np.argmin(((m == m[-1]) & (g == g[-1]))[::-1])) if ((m != m[-1]) | (g != g[-1])).any() else 0
+            if last:
+                held.append(b.slice(0, last))
+                if sum(x.nbytes for x in held) > AT_ONCE:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held = []
+            if last < b.num_rows:
+                held.append(b.slice(last))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def group_numbers(b: pa.RecordBatch) -> np.ndarray:
+    m, g = b.column(b.schema.get_field_index("_m")).to_numpy(), b.column(b.schema.get_field_index("_g")).to_numpy()
+    return np.cumsum(np.r_[False, (m[1:] != m[:-1]) | (g[1:] != g[:-1])])
+
+
+def repeated_edges(paths: DataFrame) -> DataFrame:
+    """_p1, _p2, pos, _m, _e1 and _e2 of the edges of ``paths`` (as ``path_edges`` makes them) that occur more than once.
+
+    A minimizer's paths are dealt to as many groups as its edges need. A group sums its edges, the
+    sums of all groups are added up, and each group gets back those of its edges that are repeated.
+    An edge that a minimizer's only group has once is dropped there.
+    """
+    name = ["_m", "_e1", "_e2"]
+    parts = paths.groupBy("_m").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("_parts"))
+    dealt = paths.join(parts, "_m").withColumn("_g", F.pmod("_p1", "_parts").cast("int"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_groups(batches):
+            m, g, alone, c = (b.column(i).to_numpy() for i in range(4))
+            e = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int64).reshape(-1, 2)
+            n = np.fromiter((len(x.as_buffer()) // 16 for x in b.column(4)), np.int64, b.num_rows)
+            row, group = np.repeat(np.arange(b.num_rows), n), group_numbers(b)
+            order = np.lexsort((e[:, 1], e[:, 0], group[row]))
+            x, of = e[order], group[row[order]]
+            first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(1) | (of[1:] != of[:-1])])
+            total = np.add.reduceat(c[row[order]], first)
+            row = row[order[first]]
+            on = (total > 1) | (alone[row] == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(y[on])) for y in (m[row], g[row], *x[first].T, total)], ["_m", "_g", "_e1", "_e2", "c"])
+
+    by_group = dealt.select("_m", "_g", (F.col("_parts") == 1).cast("int").alias("_alone"), "c", "_edges").repartition("_m", "_g").sortWithinPartitions("_m", "_g")
+    sums = stage(by_group.mapInArrow(summed, "_m long, _g int, _e1 long, _e2 long, c long"), "sums")
+    often = sums.groupBy(*name).agg(F.sum("c").alias("n")).filter("n > 1").select(*name)
+    known = sums.join(often, name).groupBy("_m", "_g").agg(F.collect_list(F.struct("_e1", "_e2")).alias("_es"))  # at most the group's edges
+    none = F.lit(None)
+    both = known.select("_m", "_g", F.lit(0).alias("_kind"), none.cast("long").alias("_p1"), none.cast("long").alias("_p2"), none.cast("binary").alias("_edges"), "_es")
+    both = both.unionByName(dealt.select("_m", "_g", F.lit(1).alias("_kind"), "_p1", "_p2", "_edges", none.cast("array<struct<_e1:long,_e2:long>>").alias("_es")))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_groups(batches):
+            group, kind = group_numbers(b), b.column(2).to_numpy()
+            m, paths = b.column(0).to_numpy(), np.flatnonzero(kind)
+            sets = b.column(6).take(pa.array(np.flatnonzero(kind == 0)))
+            old = np.stack([x.to_numpy() for x in sets.flatten().flatten()], 1) if len(sets) else np.zeros((0, 2), np.int64)
+            rows = b.column(5).take(pa.array(paths))
+            new = np.frombuffer(b"".join(rows.to_pylist()), np.int64).reshape(-1, 2)
+            n = np.fromiter((len(x.as_buffer()) // 16 for x in rows), np.int64, len(rows))
+            pos = np.arange(len(new)) - np.repeat(np.cumsum(n) - n, n)
+            of = np.repeat(paths, n)
+            e = np.concatenate([old, new])
+            where = np.concatenate([np.repeat(group[kind == 0], sets.value_lengths().to_numpy()), group[of]])
+            order = np.lexsort((np.arange(len(e)), e[:, 1], e[:, 0], where))  # what is known stands first among equals
+            x, w = e[order], where[order]
+            first = np.r_[True, (x[1:] != x[:-1]).any(1) | (w[1:] != w[:-1])] if len(e) else np.zeros(0, bool)
+            on = np.zeros(len(e), bool)
+            on[order] = (order[first] < len(old))[np.cumsum(first) - 1]
+            on = on[len(old) :]
+            p1, p2 = (b.column(i).take(pa.array(of[on])) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([p1, p2, pa.array(pos[on].astype(np.int32)), *(pa.array(np.ascontiguousarray(y)) for y in (m[of[on]], *new[on].T))], ["_p1", "_p2", "pos", "_m", "_e1", "_e2"])
+
+    again = both.repartition("_m", "_g").sortWithinPartitions("_m", "_g", "_kind")
+    out = stage(again.mapInArrow(found, "_p1 long, _p2 long, pos int, _m long, _e1 long, _e2 long"), "repeated")
+    drop(sums)
+    return out
+
+
+def nonbranching(repeated: DataFrame) -> DataFrame:
+    """_p1, _p2, pos and n of the runs without a branch in each path; ``repeated`` as ``repeated_edges`` makes them."""
     name = ["_m", "_e1", "_e2"]
-    often = edges.groupBy(*name).agg(F.sum("c").alias("n")).filter("n > 1").select(*name)
-    repeated = stage(edges.join(often, name).select("_p1", "_p2", "pos", *name), "repeated")
     walk = Window.partitionBy("_p1", "_p2").orderBy("pos")  # at most LONGEST rows
     follow = lambda x: F.lead(x).over(walk)
     steps = repeated.select("*", F.when(follow("pos") == F.col("pos") + 1, F.struct(follow("_e1").alias("x"), follow("_e2").alias("y"))).alias("_next"))
-    pairs = steps.filter("_next is not null").select("_m", "_e1", "_e2", F.col("_next.x").alias("_x"), F.col("_next.y").alias("_y")).distinct()
-    links = stage(pairs, "links")
-    fork = links.groupBy("_m", "_e1", "_e2").agg(F.count("*").alias("n")).filter("n > 1").select("_m", "_e1", "_e2", F.lit(True).alias("_out"))
+    links = steps.filter("_next is not null").select(*name, F.col("_next.x").alias("_x"), F.col("_next.y").alias("_y")).distinct()
+    links = stage(links, "links")
+    fork = links.groupBy(*name).agg(F.count("*").alias("n")).filter("n > 1").select(*name, F.lit(True).alias("_out"))
     meet = links.groupBy("_m", "_x", "_y").agg(F.count("*").alias("n")).filter("n > 1").select("_m", F.col("_x").alias("_e1"), F.col("_y").alias("_e2"), F.lit(True).alias("_in"))
     marked = repeated.join(fork, name, "left").join(meet, name, "left")
     before = lambda x: F.lag(x).over(walk)
@@ -189,9 +273,11 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     whole = paths.join(open_, "_m", "left_anti").filter("c > 1").select(*path, F.lit(0).alias("pos"), "n")
     asked = paths.join(open_, "_m", "left_semi").groupBy(F.col("_at._k1").alias("_k1"), F.col("_at._k2").alias("_k2"))
     asked = asked.agg(F.collect_list(F.struct(F.col("_at.start").alias("start"), "n", "_m", "_p1", "_p2", "c")).alias("_paths"))
-    edges = stage(edge_rows(texts.select(*key, "text").join(asked, key), k), "edges")
-    runs_ = stage(whole.unionByName(nonbranching(edges)), "runs")
+    edges = stage(path_edges(texts.select(*key, "text").join(asked, key), k), "edges")
+    repeated = repeated_edges(edges)
     drop(edges)
+    runs_ = stage(whole.unionByName(nonbranching(repeated)), "runs")
+    drop(repeated)
     return places.select(*key, "start", *path).join(runs_, path).select(*key, (F.col("start") + F.col("pos")).alias("start"), F.col("n").alias("edges"))
 
 

@@ -92,13 +92,18 @@ def test_substring_branches(spark):
     texts = [[*stem, *e] for e in ends] + [[*e, *stem] for e in ends] + [[*ends[0], *stem, *ends[1]], [*ends[2], *stem[5:50], *ends[3]], stem[10:50] * 3, stem[:36], stem[24:]]
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
     check_substring(spark, docs)
-    rows = [(p, 1, i, 1, 0, e) for p, walk in ((1, "abcdx"), (2, "abcdy"), (3, "zcd")) for i, e in enumerate(map(ord, walk))]
-    edges = spark.createDataFrame([(7, p, q, c, i, e, e) for p, q, i, c, _, e in rows], "_m long, _p1 long, _p2 long, c long, pos int, _e1 long, _e2 long")
-    got = sorted(tuple(r) for r in substring.nonbranching(edges).select("_p1", "pos", "n").collect())
-    assert got == [(1, 0, 4), (2, 0, 4), (3, 1, 2)]  # z, x and y aren't repeated
-    more = edges.unionByName(edges.selectExpr("_m", "_p1 + 10", "_p2", "c", "pos", "_e1", "_e2").toDF(*edges.columns))
-    got = sorted(tuple(r) for r in substring.nonbranching(more).filter("_p1 < 10").select("_p1", "pos", "n").collect())
-    assert got == [(1, 0, 2), (1, 2, 2), (1, 4, 1), (2, 0, 2), (2, 2, 2), (2, 4, 1), (3, 0, 1), (3, 1, 2)]  # cut before c, where two walks meet, and after d, where they part
+    table = lambda *walks: spark.createDataFrame([(p, 1, i, 7, ord(e), ord(e)) for p, at, walk in walks for i, e in enumerate(walk, at)], "_p1 long, _p2 long, pos int, _m long, _e1 long, _e2 long")
+    found = lambda df: sorted(tuple(r) for r in substring.nonbranching(df).select("_p1", "pos", "n").collect())
+    assert found(table((1, 0, "abcd"), (2, 0, "abcd"), (3, 1, "cd"))) == [(1, 0, 4), (2, 0, 4), (3, 1, 2)]
+    # cut before c, where two walks meet, and after d, where they part
+    assert found(table((1, 0, "abcdx"), (2, 0, "abcdy"), (3, 0, "zcd"))) == [(1, 0, 2), (1, 2, 2), (1, 4, 1), (2, 0, 2), (2, 2, 2), (2, 4, 1), (3, 0, 1), (3, 1, 2)]
+
+
+@pytest.mark.parametrize("group", [1 << 16, 40])
+def test_substring_groups(spark, monkeypatch, group):
+    """A minimizer's paths dealt to one group and to many."""
+    monkeypatch.setattr(substring, "GROUP", group)
+    check_substring(spark, hard_texts())
 
 
 def test_substring_hash_collisions(spark, monkeypatch):
