@@ -176,7 +176,7 @@ def group_numbers(b: pa.RecordBatch) -> np.ndarray:
 
 
 def repeated_edges(paths: DataFrame) -> DataFrame:
-    """_p1, _p2, pos, _m, _e1 and _e2 of the edges of ``paths`` (as ``path_edges`` makes them) that occur more than once.
+    """_p1, _p2, pos, _m, _e1 and _e2 of the edges of ``paths`` (as ``path_edges`` makes them) that occur more than once; _x and _y: the next edge, if it is one of them.
 
     A minimizer's paths are dealt to as many groups as its edges need. A group sums its edges, the
     sums of all groups are added up, and each group gets back those of its edges that are repeated.
@@ -184,7 +184,8 @@ def repeated_edges(paths: DataFrame) -> DataFrame:
     """
     name = ["_m", "_e1", "_e2"]
     parts = paths.groupBy("_m").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("_parts"))
-    dealt = paths.join(parts, "_m").withColumn("_g", F.pmod("_p1", "_parts").cast("int"))
+    several = stage(parts.filter("_parts > 1"), "parts")  # as a table of known size; Spark chooses the join by that
+    dealt = paths.join(several, "_m", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_g", F.pmod("_p1", "_parts").cast("int"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_groups(batches):
@@ -228,10 +229,13 @@ def repeated_edges(paths: DataFrame) -> DataFrame:
             on[order] = (order[first] < len(old))[np.cumsum(first) - 1]
             on = on[len(old) :]
             p1, p2 = (b.column(i).take(pa.array(of[on])) for i in (3, 4))
-            yield pa.RecordBatch.from_arrays([p1, p2, pa.array(pos[on].astype(np.int32)), *(pa.array(np.ascontiguousarray(y)) for y in (m[of[on]], *new[on].T))], ["_p1", "_p2", "pos", "_m", "_e1", "_e2"])
+            alone = ~np.r_[on[1:] & (of[1:] == of[:-1]), False] if len(on) else on
+            follow = np.roll(new, -1, 0)[on].T
+            cols = [pa.array(np.ascontiguousarray(y)) for y in (m[of[on]], *new[on].T)] + [pa.array(np.ascontiguousarray(y), mask=alone[on]) for y in follow]
+            yield pa.RecordBatch.from_arrays([p1, p2, pa.array(pos[on].astype(np.int32)), *cols], ["_p1", "_p2", "pos", "_m", "_e1", "_e2", "_x", "_y"])
 
     again = both.repartition("_m", "_g").sortWithinPartitions("_m", "_g", "_kind")
-    out = stage(again.mapInArrow(found, "_p1 long, _p2 long, pos int, _m long, _e1 long, _e2 long"), "repeated")
+    out = stage(again.mapInArrow(found, "_p1 long, _p2 long, pos int, _m long, _e1 long, _e2 long, _x long, _y long"), "repeated")
     drop(sums)
     return out
 
@@ -240,13 +244,11 @@ def nonbranching(repeated: DataFrame) -> DataFrame:
     """_p1, _p2, pos and n of the runs without a branch in each path; ``repeated`` as ``repeated_edges`` makes them."""
     name = ["_m", "_e1", "_e2"]
     walk = Window.partitionBy("_p1", "_p2").orderBy("pos")  # at most LONGEST rows
-    follow = lambda x: F.lead(x).over(walk)
-    steps = repeated.select("*", F.when(follow("pos") == F.col("pos") + 1, F.struct(follow("_e1").alias("x"), follow("_e2").alias("y"))).alias("_next"))
-    links = steps.filter("_next is not null").select(*name, F.col("_next.x").alias("_x"), F.col("_next.y").alias("_y")).distinct()
+    links = repeated.filter("_x is not null").select(*name, "_x", "_y").distinct()
     links = stage(links, "links")
     fork = links.groupBy(*name).agg(F.count("*").alias("n")).filter("n > 1").select(*name, F.lit(True).alias("_out"))
     meet = links.groupBy("_m", "_x", "_y").agg(F.count("*").alias("n")).filter("n > 1").select("_m", F.col("_x").alias("_e1"), F.col("_y").alias("_e2"), F.lit(True).alias("_in"))
-    marked = repeated.join(fork, name, "left").join(meet, name, "left")
+    marked = repeated.select("_p1", "_p2", "pos", *name).join(fork, name, "left").join(meet, name, "left")
     before = lambda x: F.lag(x).over(walk)
     begins = before("pos").isNull() | (before("pos") != F.col("pos") - 1) | F.coalesce(before("_out"), F.lit(False)) | F.coalesce("_in", F.lit(False))
     runs_ = marked.select("_p1", "_p2", "pos", begins.cast("int").alias("_new")).withColumn("_run", F.sum("_new").over(walk))

@@ -92,7 +92,8 @@ def test_substring_branches(spark):
     texts = [[*stem, *e] for e in ends] + [[*e, *stem] for e in ends] + [[*ends[0], *stem, *ends[1]], [*ends[2], *stem[5:50], *ends[3]], stem[10:50] * 3, stem[:36], stem[24:]]
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
     check_substring(spark, docs)
-    table = lambda *walks: spark.createDataFrame([(p, 1, i, 7, ord(e), ord(e)) for p, at, walk in walks for i, e in enumerate(walk, at)], "_p1 long, _p2 long, pos int, _m long, _e1 long, _e2 long")
+    rows = lambda walks: [(p, 1, i, 7, ord(e), ord(e), *([ord(w[k + 1])] * 2 if k + 1 < len(w) else [None] * 2)) for p, at, w in walks for k, (i, e) in enumerate(enumerate(w, at))]
+    table = lambda *walks: spark.createDataFrame(rows(walks), "_p1 long, _p2 long, pos int, _m long, _e1 long, _e2 long, _x long, _y long")
     found = lambda df: sorted(tuple(r) for r in substring.nonbranching(df).select("_p1", "pos", "n").collect())
     assert found(table((1, 0, "abcd"), (2, 0, "abcd"), (3, 1, "cd"))) == [(1, 0, 4), (2, 0, 4), (3, 1, 2)]
     # cut before c, where two walks meet, and after d, where they part
