@@ -31,13 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Spark's setting that lets shuffle files go when the query that made them has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    Once the table is there, the shuffle files that led to it are of no more use.
+    """
     path = f"{shared_dir(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names hold."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a staged table that no later step reads."""
     jvm = df.sparkSession._jvm

@@ -17,7 +17,7 @@ from itertools import cycle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WORD, stage
+from skein.llm.common import WORD, columns, stage
 
 #: Weights by source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -108,7 +108,7 @@ def repeats(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; documents without words stay as they are."""
     took = mix(docs, weights, most).select(F.col("doc_id").alias("_id"), F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div size")).cast("int").alias("_n"), F.col("size").alias("_size"))
     took = took.groupBy("_id").agg(F.max(F.when(F.col("_size") > 0, F.col("_n"))).alias("_n"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(columns(docs).alias("_row"))
     n = F.when(F.coalesce(F.regexp_count(F.col("_row.text"), F.lit(WORD)), F.lit(0)) == 0, F.lit(1)).otherwise(F.coalesce(F.col("_n"), F.lit(0)))
     joined = rows.join(took, F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left")
     return joined.select("_row", F.explode(F.array_repeat(F.lit(0), n)).alias("_i")).select("_row.*")
