@@ -191,6 +191,42 @@ def test_vectors_hard(spark):
     assert got[9001] == (0, 9001) and got[9007] == got[9009] == (3, 9007)
 
 
+def test_vectors_recall(spark):
+    """Pairs planted at the threshold in 64 dimensions, among unrelated vectors: all that brute force finds but for one in a hundred."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(600):
+        side = rng.standard_normal(64)
+        side -= side @ x[i] * x[i]
+        c = 0.900001 + 0.0001 * (i % 20)
+        x[1000 + i] = c * x[i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    rows = [(i, [float(z) for z in v * rng.uniform(0.1, 9)]) for i, v in enumerate(x)]
+    got = {r[0]: (r[1], r[2]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = brute_vectors(rows)
+    links = sum(w[0] for w in want.values())
+    found = sum(g[0] for g in got.values())
+    print("recall", found / links)
+    assert links >= 1190 and 0.99 * links <= found <= links and all(g[0] <= want[i][0] for i, g in got.items())
+
+
+def test_vectors_blocks(spark, monkeypatch):
+    """Balls that the triangle inequality doesn't decide, member by member in many blocks."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    center = np.eye(16)[0]
+    rows = []
+    for k, angle in enumerate((0.0, 0.44, 0.47)):  # two balls of which some members link
+        lead = np.cos(angle) * center + np.sin(angle) * np.eye(16)[k + 1]
+        for _ in range(90):
+            side = rng.standard_normal(16)
+            rows.append(lead + 0.08 * side / np.linalg.norm(side))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    got = {r[0]: (r[1], r[2]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = brute_vectors(rows)
+    assert {i: w[0] for i, w in want.items()} == {i: g[0] for i, g in got.items()} and {g[1] for g in got.values()} == {w[1] for w in want.values()}
+
+
 def test_vectors_odd_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (4, [1.0, 0.1])], "vec_id long, embedding array<float>")
     assert sorted((r[0] or 0, r[1], r[2] or 0, r[3]) for r in vectors.near_duplicates(df).collect()) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (4, 1, 1, False)]
