@@ -8,7 +8,7 @@ from collections.abc import Callable, Hashable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: anything but ASCII white space.
@@ -91,3 +91,17 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def sample(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """Of ``rows`` (doc_id and a label), at most ``most`` of each label: the first by hash of doc_id.
+
+    A bound on the hash, from each label's number of rows, leaves somewhat more than ``most`` rows;
+    only those are ranked. The driver holds one row a label.
+    """
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    held = rows.select("doc_id", label, share.alias("_h"))
+    bound = held.groupBy(label).agg(F.count("*").alias("_n")).select(F.col(label).alias("_label"), ((most + 8 * most**0.5 + 20) / F.col("_n")).alias("_most"))
+    near = held.join(bound, F.col(label) == F.col("_label")).filter("_h <= _most")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id"))
+    return near.withColumn("_r", rank).filter(F.col("_r") <= most).select("doc_id", label)

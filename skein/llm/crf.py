@@ -2,8 +2,9 @@
 
 A word's features are hashed: the word, its affixes, its character n-grams and the lexicon
 entries that it hits. A sequence of words has a score from each word's features and from learned
-transitions; forward-backward gives each word's marginal probabilities. Texts are cut into
-sequences of at most ``SPAN`` words, so that many are run side by side; no word is left out.
+transitions; forward-backward gives each word's marginal probabilities over the whole text. Long
+texts run as pieces of ``SPAN`` words side by side: each piece's product of transfer matrices
+carries what stands before and after it exactly, so no transition is cut.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from skein.llm.common import held
 
 #: Weights by feature are held in this many slots.
 SLOTS = 1 << 17
-#: Words of a sequence at most.
+#: Words of a piece of a text that runs beside others; the results don't depend on it.
 SPAN = 64
 #: Words whose scores a worker keeps from task to task; it starts anew beyond that.
 CACHE_WORDS = 500_000
-#: Bytes of a word from either end that its affixes and n-grams are taken from.
-REACH = 24
+#: Words of the texts of a training step, about.
+STEP = 8192
 
 
 crc = zlib.crc32
@@ -32,11 +33,10 @@ crc = zlib.crc32
 
 def features(word: str, lexicon: frozenset[str] = frozenset()) -> list[int]:
     """Hashes of a word's features: itself, prefixes and suffixes up to 5, bigrams and trigrams, lexicon hits."""
-    data = word.encode("utf-8", "surrogatepass")
-    w = data if len(data) <= 2 * REACH else data[:REACH] + data[-REACH:]
+    w = word.encode("utf-8", "surrogatepass")
     n = len(w)
     marked = b"^" + w + b"$"
-    out = [crc(data), crc(b"%d" % min(n, 12), 1)]  # the checksum's start value keeps the kinds apart
+    out = [crc(w), crc(b"%d" % min(n, 12), 1)]  # the checksum's start value keeps the kinds apart
     out += [crc(w[:k], 2) for k in range(1, min(n, 5) + 1)]
     out += [crc(w[-k:], 3) for k in range(1, min(n, 5) + 1)]
     out += [crc(marked[i : i + 2], 4) for i in range(n + 1)]
@@ -79,70 +79,101 @@ def spans(counts: np.ndarray, span: int = SPAN) -> np.ndarray:
     return out
 
 
-def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, starts: np.ndarray, pairs: bool = False):
+def normed(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(tuple(range(1, x.ndim)), keepdims=True)
+
+
+def forward_backward(emit: np.ndarray, lens: np.ndarray, moves: np.ndarray, starts: np.ndarray, pairs: bool = False, span: int = SPAN):
     """Marginals of each word (rows of ``emit``: exp of scores) in sequences of the given lengths, and expected transitions."""
-    order = np.argsort(-lens, kind="stable")
-    first, n_at = (np.cumsum(lens) - lens)[order], np.searchsorted(-lens[order], -np.arange(1, (lens.max() if len(lens) else 0) + 1), "right")
     step, begin = np.exp(moves), np.exp(starts)
+    pieces = -(-lens // span)
+    size = spans(lens, span)
+    first = np.cumsum(size) - size
+    nth = np.arange(len(size)) - np.repeat(np.cumsum(pieces) - pieces, pieces)  # of its sequence
+    more = np.repeat(pieces, pieces) - nth  # pieces from it to the sequence's end
+    order = np.argsort(-size, kind="stable")
+    n_at = np.searchsorted(-size[order], -np.arange(1, (size.max() if len(size) else 0) + 1), "right")
+    left, right = np.tile(begin.astype(emit.dtype), (len(size), 1)), np.ones((len(size), emit.shape[1]), emit.dtype)
+    if len(pieces) and pieces.max() > 1:
+        through = np.zeros((len(size), *step.shape), emit.dtype)  # from what comes before a piece's first word to its last word
+        for t, n in enumerate(n_at):
+            at, on = order[:n], emit[first[order[:n]] + t][:, None, :]
+            through[at] = normed(np.eye(step.shape[0], dtype=emit.dtype) * on if t == 0 else (through[at] @ step) * on)
+        for k in range(1, int(pieces.max())):
+            at = np.flatnonzero(nth == k) if k == 1 else at[more[at] > 1] + 1
+            left[at] = normed((left[at - 1][:, None, :] @ through[at - 1] @ step)[:, 0])
+        for k in range(2, int(pieces.max()) + 1):
+            at = np.flatnonzero(more == k) if k == 2 else at[nth[at] > 0] - 1
+            right[at] = normed((step @ (through[at + 1] @ right[at + 1][:, :, None]))[:, :, 0])
     alpha, beta = np.empty_like(emit), np.empty_like(emit)
     for t, n in enumerate(n_at):
-        at = first[:n] + t
-        a = emit[at] * (begin if t == 0 else alpha[at - 1] @ step)
-        alpha[at] = a / a.sum(1, keepdims=True)
-    expected = np.zeros_like(step)
+        at = first[order[:n]] + t
+        alpha[at] = normed(emit[at] * (left[order[:n]] if t == 0 else alpha[at - 1] @ step))
+    expected = np.zeros(step.shape)
+
+    def add(x: np.ndarray, nxt: np.ndarray) -> None:
+        joint = alpha[x][:, :, None] * step[None] * nxt[:, None, :]
+        expected[:] += normed(joint).sum(0)
+
     for t in range(len(n_at) - 1, -1, -1):
         n, longer = n_at[t], n_at[t + 1] if t + 1 < len(n_at) else 0
-        at = first[:n] + t
-        b = np.ones((n, emit.shape[1]), emit.dtype)
+        at = first[order[:n]] + t
+        b = right[order[:n]].copy()
         if longer:
             nxt = emit[at[:longer] + 1] * beta[at[:longer] + 1]
             b[:longer] = nxt @ step.T
             if pairs:
-                joint = alpha[at[:longer]][:, :, None] * step[None] * nxt[:, None, :]
-                expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        beta[at] = b / b.sum(1, keepdims=True)
-    out = alpha * beta
-    out /= out.sum(1, keepdims=True)
+                add(at[:longer], nxt)
+        beta[at] = normed(b)
+    if pairs and (nth > 0).any():
+        head = first[nth > 0]
+        add(head - 1, emit[head] * beta[head])
+    out = normed(alpha * beta)
     return (out, expected) if pairs else out
 
 
-def train(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], lexicon: frozenset[str] = frozenset(), epochs: int = 6, rate: float = 0.3, decay: float = 1e-5, batch: int = 128, seed: int = 7) -> Crf:
-    """Maximum likelihood by AdaGrad over batches of sequences; the same input gives the same weights."""
+def columns_of(where: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by place."""
+    return np.stack([np.bincount(where, rows[:, k], n) for k in range(rows.shape[1])], 1)
+
+
+def train(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], lexicon: frozenset[str] = frozenset(), epochs: int = 6, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> Crf:
+    """Maximum likelihood by AdaGrad over batches of whole texts; the same input gives the same weights."""
     n_labels, rng = len(labels), np.random.default_rng(seed)
     crf = Crf(labels, np.zeros((SLOTS, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels), lexicon)
     vocab: dict[str, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t], np.int64) for t in texts]
-    slots = [np.array(features(w, lexicon), np.int64) % SLOTS for w in vocab]
-    segments = [(x[i : i + SPAN], y[i : i + SPAN]) for x, y in zip(ids, tags, strict=True) for i in range(0, len(x), SPAN)]
+    whole = [(np.array([vocab.setdefault(w, len(vocab)) for w in t], np.int64), y) for t, y in zip(texts, tags, strict=True) if t]
+    slots = [features(w, lexicon) for w in vocab]
+    n_of = np.fromiter(map(len, slots), np.int64, len(slots))
+    every = np.fromiter(chain.from_iterable(slots), np.int64, int(n_of.sum())) % SLOTS
+    first_of = np.cumsum(n_of) - n_of
     g_w, g_m, g_s = np.full_like(crf.weights, 1e-6), np.full_like(crf.moves, 1e-6), np.full_like(crf.starts, 1e-6)
-    for _ in range(epochs if segments else 0):
-        order = rng.permutation(len(segments))
-        for lo in range(0, len(order), batch):
-            part = [segments[i] for i in order[lo : lo + batch]]
+    for _ in range(epochs if whole else 0):
+        order = rng.permutation(len(whole))
+        step = np.cumsum([len(whole[i][0]) for i in order]) // STEP
+        for part in np.split(order, np.flatnonzero(np.diff(step)) + 1):
+            part = [whole[i] for i in part]
             lens = np.array([len(x) for x, _ in part])
             x, y = np.concatenate([x for x, _ in part]), np.concatenate([y for _, y in part])
             words, at = np.unique(x, return_inverse=True)
-            flat = np.concatenate([slots[w] for w in words])
-            n = np.array([len(slots[w]) for w in words])
-            score = np.add.reduceat(crf.weights[flat], np.r_[0, np.cumsum(n)[:-1]], axis=0) / np.sqrt(n)[:, None]
+            n = n_of[words]
+            flat = every[np.repeat(first_of[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            score = np.add.reduceat(crf.weights[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
             score = score[at]
-            marginals, moved = forward_backward(np.exp(score - score.max(1, keepdims=True)), lens, crf.moves, crf.starts, True)
-            diff = marginals
+            diff, moved = forward_backward(np.exp(score - score.max(1, keepdims=True)), lens, crf.moves, crf.starts, True)
             diff[np.arange(len(y)), y] -= 1
             inner = np.ones(len(y), bool)
             heads = np.cumsum(lens) - lens
             inner[heads] = False
             seen = np.zeros_like(crf.moves)
             np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
-            by_word = np.zeros((len(words), n_labels))
-            np.add.at(by_word, at, diff)
+            by_word = columns_of(at, diff, len(words)) / np.sqrt(n)[:, None]
             touched, where = np.unique(flat, return_inverse=True)
-            grad = np.zeros((len(touched), n_labels))
-            np.add.at(grad, where, np.repeat(by_word / np.sqrt(n)[:, None], n, axis=0))
-            grad = grad / len(part) + decay * crf.weights[touched]
+            units = len(y) / SPAN  # the gradient is one of a span of words
+            grad = columns_of(where, np.repeat(by_word, n, axis=0), len(touched)) / units + decay * crf.weights[touched]
             g_w[touched] += grad**2
             crf.weights[touched] -= rate * grad / np.sqrt(g_w[touched])
-            for w, g, acc in ((crf.moves, (moved - seen) / len(part), g_m), (crf.starts, diff[heads].mean(0), g_s)):
+            for w, g, acc in ((crf.moves, (moved - seen) / units, g_m), (crf.starts, diff[heads].mean(0), g_s)):
                 acc += g**2
                 w -= rate * g / np.sqrt(acc)
     crf.weights = crf.weights.astype(np.float32)
@@ -179,5 +210,5 @@ class Tagger:
         ids = np.fromiter(map(look.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
         if not len(ids):
             return [np.zeros((0, len(self.crf.labels)), np.float32) for _ in texts]
-        out = forward_backward(self.table[ids], spans(counts), self.crf.moves.astype(np.float32), self.crf.starts.astype(np.float32))
+        out = forward_backward(self.table[ids], counts, self.crf.moves.astype(np.float32), self.crf.starts.astype(np.float32))
         return np.split(out, np.cumsum(counts)[:-1])

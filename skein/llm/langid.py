@@ -15,21 +15,30 @@ false); an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import sample, stage
 from skein.llm.crf import Crf, tagger_of, train
 
 #: Training texts of a language at most, and of their characters all.
 PER_LANG = 250
 #: Lexicon entries of a language.
 LEXICON = 300
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@cache
+def letters() -> re.Pattern:
+    """Runs of characters of the Unicode category L: of what the word class holds, digits and numerals such as halves go."""
+    others = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{others}]+")
 
 
 def remainder(parts: int) -> Column:
@@ -37,7 +46,7 @@ def remainder(parts: int) -> Column:
 
 
 def words(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    return letters().findall((text or "").lower())
 
 
 def lexicon(texts: list[list[str]], langs: list[str]) -> frozenset[str]:
@@ -56,14 +65,11 @@ def lexicon(texts: list[list[str]], langs: list[str]) -> frozenset[str]:
 
 def fit(docs: DataFrame, training: Column, label: str = "lang", per_label: int = PER_LANG) -> Crf | None:
     """Learns from ``text`` and ``label`` of the rows for which ``training`` holds."""
-    known = docs.filter(training & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).cast("string").alias("_y"))
-    labels = sorted(r["_y"] for r in known.select("_y").distinct().collect())
-    chosen = []
-    for y in labels:  # each a small sorted take; ids only
-        chosen += [r[0] for r in known.filter(F.col("_y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
-    if not chosen:
+    known = docs.filter(training & F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("string").alias("_y"), F.col("text").cast("string").alias("_t"))
+    chosen = stage(sample(known.select("doc_id", "_y").distinct(), "_y", per_label), "sample")
+    rows = known.join(chosen, ["doc_id", "_y"], "left_semi").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t")).collect()  # the sample, a text each
+    if not rows:
         return None
-    rows = docs.filter(F.col("doc_id").isin(chosen) & training & F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).cast("string"), "text").collect()
     rows = sorted(set(map(tuple, rows)), key=lambda r: (r[0], r[1], r[2]))
     texts, langs = [words(r[2]) for r in rows], [r[1] for r in rows]
     labels = sorted(set(langs))

@@ -2,15 +2,14 @@
 
 Labels are of documents; words get theirs from them: a word of a toxic training document is toxic
 if it, or its beginning, is bound to toxic documents beyond chance (a likelihood ratio test over
-all units, corrected for their number, and again over the documents left unexplained). The field is trained on these words in context, its
-features (affixes, n-grams, lexicon entries) carry over to unseen words, and forward-backward
-gives each word's marginal. Marginals aggregate to a document's score through a logistic curve
+all units, corrected for their number, and again over the documents left unexplained). That gives
+the labelled tokens and no more: the field, trained on these texts, has no list of words to look
+at, only its own features (the word, affixes, n-grams), which carry over to unseen words, and its
+transitions; forward-backward gives each word's marginal. Marginals aggregate to a document's score through a logistic curve
 fitted on the training documents; words with a marginal of a half or more are the offending spans.
 
 The classifier is fitted on at most ``TOXIC`` and ``CLEAN`` whole labelled documents, the first by
-hash of their id; of those, the field learns from every sequence with a toxic word and, of each
-clean document, from some sequences at even distances. Only what is fitted is sampled, never what
-is scored.
+hash of their id. Only what is fitted is sampled, never what is scored.
 
 Nulls and edge cases: a null or empty text has no words and the score of a text without findings;
 labels that are null, and labels without a document, teach nothing; a document with several
@@ -31,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.crf import SPAN, Crf, Tagger, lexicon_hits, tagger_of, train
+from skein.llm.common import sample, stage
+from skein.llm.crf import Crf, Tagger, lexicon_hits, tagger_of, train
 
 #: Labelled documents that the classifier is fitted on at most.
 TOXIC, CLEAN = 1000, 2500
@@ -127,28 +127,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic", most: tuple[int, int] = (TOXIC, CLEAN)) -> Crf | None:
     """Learns from the texts of ``docs`` and ``label`` (1: toxic) of ``labels``, of ids for which ``training`` holds."""
-    known = labels.filter(training & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_y"))
-    chosen = {}
-    for y, n in ((1, most[0]), (0, most[1])):
-        chosen |= {r[0]: y for r in known.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()}
-    if 1 not in chosen.values() or 0 not in chosen.values():
-        return None
-    rows = docs.filter(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull()).select("doc_id", "text").collect()
-    rows = sorted(set(map(tuple, rows)))
-    texts, toxic = [words(t) for _, t in rows], [chosen[i] == 1 for i, _ in rows]
+    known = labels.filter(training & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(F.col(label).cast("int")) == 1).cast("int").alias("_y"))
+    some = sample(known.filter("_y = 1"), "_y", most[0]).unionByName(sample(known.filter("_y = 0"), "_y", most[1]))
+    chosen = stage(some, "sample")
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("_t"))
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t")).collect()  # the sample, a text each
+    rows = sorted((r["doc_id"], r["_t"], r["_y"]) for r in rows)
+    return learn([words(t) for _, t, _ in rows], [y == 1 for _, _, y in rows])
+
+
+def learn(texts: list[list[str]], toxic: list[bool]) -> Crf | None:
+    """The field and the curve from whole labelled texts; None without toxic or without clean ones."""
     if not any(toxic) or all(toxic):
         return None
-    lexicon = bound_units([set(t) for t in texts], toxic)
-    tags, x, y = [], [], []
+    found = bound_units([set(t) for t in texts], toxic)
+    x, y = [], []
     for t, bad in zip(texts, toxic, strict=True):
-        tag = np.array([bad and bool(lexicon_hits(w, lexicon)) for w in t], np.int64)
-        tags.append(tag)
+        tag = np.array([bad and bool(lexicon_hits(w, found)) for w in t], np.int64)
         if not bad or tag.any():  # a toxic document without a known word would teach that its words are clean
-            cut = range(0, len(t), SPAN)
-            some = [i for i in cut if tag[i : i + SPAN].any()] if bad else [*cut][:: max(1, len(cut) // 4)]
-            x += [t[i : i + SPAN] for i in some]
-            y += [tag[i : i + SPAN] for i in some]
-    crf = train(x, y, ["clean", "toxic"], lexicon, epochs=4)
+            x.append(t)
+            y.append(tag)
+    crf = train(x, y, ["clean", "toxic"], epochs=4)
     tagger, seen = Tagger(crf), []
     for at in range(0, len(texts), 128):
         seen += [summary(m) for m in tagger.marginals(texts[at : at + 128])]
@@ -156,6 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
     return crf
 
 
+def chance(crf: Crf, marginals: np.ndarray) -> float:
+    """A document's score from the marginals of its words."""
+    return float(1 / (1 + np.exp(-np.clip(float(np.r_[summary(marginals), 1.0] @ crf.extra["curve"]), -30, 30))))
+
+
 def score(docs: DataFrame, crf: Crf | None, *more: Column, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the columns ``more``, score, predicted and the offending ``spans`` (start and end in characters, marginal) of every whole text."""
     rows = docs.select(F.col("doc_id"), *more, F.col("text").cast("string").alias("_text"))
@@ -174,8 +178,7 @@ def score(docs: DataFrame, crf: Crf | None, *more: Column, threshold: float = TH
                 texts = [words(t) for t in raw]
                 scores, found = [], []
                 for t, m in zip(raw, tagger.marginals(texts) if tagger else [np.zeros((0, 2))] * len(raw), strict=True):
-                    value = float(np.r_[summary(m), 1.0] @ crf.extra["curve"]) if crf else -np.inf
-                    scores.append(float(1 / (1 + np.exp(-np.clip(value, -30, 30)))) if crf else 0.0)
+                    scores.append(chance(crf, m) if crf else 0.0)
                     bad = np.flatnonzero(m[:, 1] >= 0.5)
                     found.append(offsets(t, m, bad) if len(bad) else [])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(found, kind)], [*names, "score", "predicted", "spans"])

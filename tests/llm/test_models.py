@@ -9,11 +9,13 @@ from skein.llm import crf, langid, queries, toxicity
 DATA = "/root/testdata/sf0.1"
 
 
-def test_forward_backward_matches_enumeration():
+@pytest.mark.parametrize("span", [64, 3, 2, 1])
+def test_forward_backward_matches_enumeration(span):
+    """Whole sequences, in one piece or in many."""
     rng = np.random.default_rng(0)
-    lens = np.array([1, 4, 3, 4, 2])
+    lens = np.array([1, 4, 3, 7, 2])
     score, moves, starts = rng.normal(size=(lens.sum(), 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
-    got, pairs = crf.forward_backward(np.exp(score), lens, moves, starts, True)
+    got, pairs = crf.forward_backward(np.exp(score), lens, moves, starts, True, span)
     want, seen, at = np.zeros_like(score), np.zeros((3, 3)), 0
     for n in lens:
         total, part, step = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
@@ -43,6 +45,12 @@ def test_code_switching():
     assert (m[:4, 0] > 0.5).all() and (m[4:, 1] > 0.5).all()
 
 
+def test_long_words():
+    """The middle of a long word is read too."""
+    a, b = crf.features("x" * 40 + "mid" + "x" * 40), crf.features("x" * 40 + "dim" + "x" * 40)
+    assert sorted(a[-40:]) != sorted(b[-40:]) and len(set(a) ^ set(b)) > 6
+
+
 def test_langid_held_out(spark):
     out = queries.op4_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id")
     r = out.filter("held_out").agg(F.count("*").alias("n"), F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("ok"), F.min("score"), F.max("score")).first()
@@ -51,7 +59,7 @@ def test_langid_held_out(spark):
 
 
 def test_langid_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "das und nicht", "de"), (2, "the and not", "en"), (3, None, "de"), (4, "12 !?", "en"), (None, "das", None), (6, "", None), (7, "das " * 30000, None), (2, "the and not", "en")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "das und nicht", "de"), (2, "the and not", "en"), (3, None, "de"), (4, "½ ² 12 !? Ⅷ ①", "en"), (None, "das", None), (6, "", None), (7, "das " * 30000, None), (2, "the and not", "en")], "doc_id long, text string, lang string")
     model = langid.fit(docs, F.lit(True))
     got = [(r[0], r[1]) for r in langid.predict(docs, model).collect()]
     assert sorted(got, key=str) == sorted([(1, "de"), (2, "en"), (2, "en"), (3, "und"), (4, "und"), (None, "de"), (6, "und"), (7, "de")], key=str)
