@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import sample, stage
 from skein.llm.crf import Crf, tagger_of, train
@@ -80,7 +81,7 @@ def fit(docs: DataFrame, training: Column, label: str = "lang", per_label: int =
 def predict(docs: DataFrame, crf: Crf | None, *more: Column) -> DataFrame:
     """doc_id, the columns ``more``, lang_pred and score of every whole text."""
     rows = docs.select(F.col("doc_id"), *more, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names = rows.columns[:-1]
     model = docs.sparkSession.sparkContext.broadcast(crf)
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import sample, stage
 from skein.llm.crf import Crf, Tagger, lexicon_hits, tagger_of, train
@@ -163,7 +164,8 @@ def chance(crf: Crf, marginals: np.ndarray) -> float:
 def score(docs: DataFrame, crf: Crf | None, *more: Column, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the columns ``more``, score, predicted and the offending ``spans`` (start and end in characters, marginal) of every whole text."""
     rows = docs.select(F.col("doc_id"), *more, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double, predicted int, spans array<struct<start:int,end:int,marginal:float>>"
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("marginal", T.FloatType())])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T.ArrayType(span))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float32())]))
     names = rows.columns[:-1]
     model = docs.sparkSession.sparkContext.broadcast(crf)
