@@ -15,10 +15,8 @@ false); an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +33,8 @@ PER_LANG = 250
 LEXICON = 300
 
 
-@cache
-def letters() -> re.Pattern:
-    """Runs of characters of the Unicode category L: of what the word class holds, digits and numerals such as halves go."""
-    others = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{others}]+")
+#: Runs of the word class without decimal digits; the other numerals in it, such as halves, are parted off word by word.
+RUNS = re.compile(r"[^\W\d_]+")
 
 
 def remainder(parts: int) -> Column:
@@ -47,7 +42,11 @@ def remainder(parts: int) -> Column:
 
 
 def words(text: str | None) -> list[str]:
-    return letters().findall((text or "").lower())
+    """Runs of characters of the Unicode category L, in lower case."""
+    found = RUNS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 def lexicon(texts: list[list[str]], langs: list[str]) -> frozenset[str]:

@@ -58,6 +58,10 @@ def test_langid_held_out(spark):
     assert r["n"] > 1500 and r["ok"] > 0.98 and 0 <= r[2] <= r[3] <= 1
 
 
+def test_letters():
+    assert langid.words("a½b ²é Ⅷx x٢y d_e ①") == ["a", "b", "é", "x", "x", "y", "d", "e"] and langid.words(None) == langid.words("½ ² 12") == []
+
+
 def test_langid_odd_rows(spark):
     docs = spark.createDataFrame([(1, "das und nicht", "de"), (2, "the and not", "en"), (3, None, "de"), (4, "½ ² 12 !? Ⅷ ①", "en"), (None, "das", None), (6, "", None), (7, "das " * 30000, None), (2, "the and not", "en")], "doc_id long, text string, lang string")
     model = langid.fit(docs, F.lit(True))
