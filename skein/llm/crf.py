@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -143,9 +144,12 @@ def train(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], lex
     crf = Crf(labels, np.zeros((SLOTS, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels), lexicon)
     vocab: dict[str, int] = {}
     whole = [(np.array([vocab.setdefault(w, len(vocab)) for w in t], np.int64), y) for t, y in zip(texts, tags, strict=True) if t]
-    slots = [features(w, lexicon) for w in vocab]
-    n_of = np.fromiter(map(len, slots), np.int64, len(slots))
-    every = np.fromiter(chain.from_iterable(slots), np.int64, int(n_of.sum())) % SLOTS
+    n_of, every = np.zeros(len(vocab), np.int64), array("I")
+    for i, w in enumerate(vocab):
+        f = features(w, lexicon)
+        n_of[i] = len(f)
+        every.extend(f)
+    every = np.frombuffer(every, np.uint32).astype(np.int64) % SLOTS
     first_of = np.cumsum(n_of) - n_of
     g_w, g_m, g_s = np.full_like(crf.weights, 1e-6), np.full_like(crf.moves, 1e-6), np.full_like(crf.starts, 1e-6)
     for _ in range(epochs if whole else 0):

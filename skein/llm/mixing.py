@@ -60,7 +60,8 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, keep: DataFrame | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document.
 
-    The driver holds a row for each source, as it holds their weights; no row of a document.
+    The driver holds a row for each source, as it holds their weights; no row of a document. These
+    rows are joined as their size suggests, not by a broadcast that is forced.
     """
     spark = docs.sparkSession
     rows = stage(sized(docs), "sizes")
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, keep: DataFrame | No
         edge = spark.createDataFrame([(found[i]["source"], below[i] >> (shift + BITS), rest[i] - spent[i]) for i in sorted(open_)], schema)
         bucket = F.shiftright("_h", shift)
         sums = (
-            rows.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_h", shift + BITS) == F.col("_prefix")))
+            rows.join(edge, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_h", shift + BITS) == F.col("_prefix")))
             .groupBy("source", "_rest", bucket.alias("_b"))
             .agg(F.sum("size").alias("n"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
         )
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, keep: DataFrame | No
                 open_.discard(i)
     plan = spark.createDataFrame([(r["source"], r["n"], goal[i], whole[i], below[i]) for i, r in enumerate(found)], "_s string, source_size long, target double, _whole int, _below long")
     taken = F.col("size") * (F.col("_whole") + (F.col("_h") < F.col("_below")).cast("int"))
-    return rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def repeats(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:

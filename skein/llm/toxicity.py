@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("_t"))
     rows = texts.join(chosen, "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t")).collect()  # the sample, a text each
     rows = sorted((r["doc_id"], r["_t"], r["_y"]) for r in rows)
-    return learn([words(t) for _, t, _ in rows], [y == 1 for _, _, y in rows])
+    same: dict[str, str] = {}  # a word is held once
+    return learn([[same.setdefault(w, w) for w in words(t)] for _, t, _ in rows], [y == 1 for _, _, y in rows])
 
 
 def learn(texts: list[list[str]], toxic: list[bool]) -> Crf | None:
