@@ -47,14 +47,18 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """_k1, _k2, doc_id, _f (hash of a selected line) and _wins: the windows that selected it, as s (first line, from 1, blank ones left out) and two hashes of their lines."""
     hashes = F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(11), x["t"]).alias("b")))
     rows = docs.select(*row_key("doc_id", "text"), F.col("doc_id"), hashes.alias("_h")).filter(F.size("_h") >= width)
-    at = lambda s, k, f: F.element_at(F.col("_h"), s + k)[f]
-    least = lambda s: F.least(*[F.struct(at(s, k, "a").alias("a"), (-(s + k)).alias("p")) for k in range(width)]) if width > 1 else F.struct(at(s, 0, "a").alias("a"), (-s).alias("p"))
-    window = lambda s: F.struct(least(s).alias("m"), s.alias("s"), F.xxhash64(*[at(s, k, "a") for k in range(width)]).alias("x"), F.xxhash64(*[at(s, k, "b") for k in range(width)]).alias("y"))
-    rows = rows.withColumn("_w", F.transform(F.sequence(F.lit(1), F.size("_h") - (width - 1)), window))
-    # Windows that select the same line are neighbours, at most ``width`` of them.
-    heads = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.element_at(F.col("_w"), F.greatest(i - 1, F.lit(1)))["m"] != F.element_at(F.col("_w"), i)["m"]))
-    picked = lambda i: F.filter(F.slice("_w", i, width), lambda w: w["m"] == F.element_at(F.col("_w"), i)["m"])
-    each = F.transform(heads, lambda i: F.struct(F.element_at(F.col("_w"), i)["m"]["a"].alias("f"), F.transform(picked(i), lambda w: F.struct(w["s"].alias("s"), w["x"].alias("x"), w["y"].alias("y"))).alias("wins")))
+    if width == 1:  # a line is its own window
+        only = lambda x, i: F.array(F.struct((i + 1).alias("s"), F.xxhash64(x["a"]).alias("x"), F.xxhash64(x["b"]).alias("y")))
+        each = F.transform("_h", lambda x, i: F.struct(x["a"].alias("f"), only(x, i).alias("wins")))
+    else:
+        at = lambda s, k, f: F.element_at(F.col("_h"), s + k)[f]
+        least = lambda s: F.least(*[F.struct(at(s, k, "a").alias("a"), (-(s + k)).alias("p")) for k in range(width)])
+        window = lambda s: F.struct(least(s).alias("m"), s.alias("s"), F.xxhash64(*[at(s, k, "a") for k in range(width)]).alias("x"), F.xxhash64(*[at(s, k, "b") for k in range(width)]).alias("y"))
+        rows = rows.withColumn("_w", F.transform(F.sequence(F.lit(1), F.size("_h") - (width - 1)), window))
+        # Windows that select the same line are neighbours, at most ``width`` of them.
+        heads = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.element_at(F.col("_w"), F.greatest(i - 1, F.lit(1)))["m"] != F.element_at(F.col("_w"), i)["m"]))
+        picked = lambda i: F.filter(F.slice("_w", i, width), lambda w: w["m"] == F.element_at(F.col("_w"), i)["m"])
+        each = F.transform(heads, lambda i: F.struct(F.element_at(F.col("_w"), i)["m"]["a"].alias("f"), F.transform(picked(i), lambda w: F.struct(w["s"].alias("s"), w["x"].alias("x"), w["y"].alias("y"))).alias("wins")))
     return rows.select("_k1", "_k2", "doc_id", F.explode(each).alias("e")).select("_k1", "_k2", "doc_id", F.col("e.f").alias("_f"), F.col("e.wins").alias("_wins"))
 
 

@@ -341,7 +341,7 @@ class Ids:
         return np.frombuffer(b"".join(found), "<u4")[place], before[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
-def tokenizer_pieces(path: str, capacity: int = CAPACITY, end_id: int = 1, cache_words: int = CACHE_WORDS):
+def tokenizer_pieces(path: str, capacity: int = CAPACITY, end_id: int = 1, cache_words: int = CACHE_WORDS, at_once: int = TEXTS):
     """A mapInArrow function: (doc_id, text) to pieces of at most ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,8 +351,8 @@ def tokenizer_pieces(path: str, capacity: int = CAPACITY, end_id: int = 1, cache
         seen: dict[int, int] = defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                b = batch.slice(at, TEXTS)
+            for at in range(0, batch.num_rows, at_once):
+                b = batch.slice(at, at_once)
                 rows = []
                 flat, ends = ids.texts(b.column(1))
                 for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
@@ -368,11 +368,11 @@ def tokenizer_pieces(path: str, capacity: int = CAPACITY, end_id: int = 1, cache
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, cache_words: int = CACHE_WORDS, at_once: int = TEXTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = stage(rows.mapInArrow(tokenizer_pieces(tokenizer_path, capacity, cache_words=cache_words), "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _k long"), "pieces")
+    pieces = stage(rows.mapInArrow(tokenizer_pieces(tokenizer_path, capacity, cache_words=cache_words, at_once=at_once), "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _k long"), "pieces")
     by_task = pieces.groupBy("_part", "length").agg(F.count("*").alias("_c"))
     hist = {r["length"]: r["c"] for r in by_task.groupBy("length").agg(F.sum("_c").alias("c")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(placement(bin_completion(hist, capacity, max_nodes)) if hist else {})
