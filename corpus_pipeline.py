@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(), cache_words=400_000)  # other stages' workers need memory too
+    return packing.pack(docs, tokenizer_path(), cache_words=200_000, at_once=256)  # other stages' workers need memory too
 
 
 STAGES = [
