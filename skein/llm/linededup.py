@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.lines import let
 from skein.llm.common import columns, row_key, stage
 
 #: Lines of the shortest run that is found, as in the SQL of op5_line_dedup.
@@ -85,10 +86,22 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     joined = rows.join(later_runs(docs, width), ["_k1", "_k2"], "left")
     raw = F.split("_row.text", "\n", -1)
     plain = joined.filter(F.col("_at").isNull()).select("_row", F.col("_row.text").alias("_text"), F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(raw)).alias("_lines"), F.lit(0).alias("_removed"))
-    cut = joined.filter(F.col("_at").isNotNull()).select("_row", raw.alias("_raw"), F.col("_at"), F.transform(_lines(F.col("_row.text")), lambda x: x["i"]).alias("_full"))
-    last = lambda x: F.when(x["to"] < F.size("_full"), F.get(F.col("_full"), x["to"]) - 1).otherwise(F.size("_raw") - 1)
-    gone = F.flatten(F.transform("_at", lambda x: F.sequence(F.element_at(F.col("_full"), x["from"]), last(x))))
-    cut = cut.withColumn("_keep", F.array_except(F.sequence(F.lit(0), F.size("_raw") - 1), gone))
-    text = F.array_join(F.transform("_keep", lambda i: F.get(F.col("_raw"), i)), "\n")
-    some = cut.select("_row", text.alias("_text"), F.size("_raw").alias("_lines"), (F.size("_raw") - F.size("_keep")).alias("_removed"))
+    cut = joined.filter(F.col("_at").isNotNull()).select("_row", _cut(F.col("_row.text"), F.col("_at")).alias("_x"))
+    some = cut.select("_row", F.col("_x.text").alias("_text"), F.col("_x.lines").alias("_lines"), F.col("_x.removed").alias("_removed"))
     return plain.unionByName(some)
+
+
+def _cut(text: Column, runs: Column) -> Column:
+    """text without the lines of the runs, and the numbers of lines and of removed ones. Each part is computed once, wherever the optimizer moves this."""
+
+    def gone(raw: Column, full: Column) -> Column:
+        last = lambda x: F.when(x["to"] < F.size(full), F.get(full, x["to"]) - 1).otherwise(F.size(raw) - 1)
+        return F.flatten(F.transform(runs, lambda x: F.sequence(F.element_at(full, x["from"]), last(x))))
+
+    def told(raw: Column, keep: Column) -> Column:
+        kept = F.array_join(F.transform(keep, lambda i: F.get(raw, i)), "\n")
+        return F.struct(kept.alias("text"), F.size(raw).alias("lines"), (F.size(raw) - F.size(keep)).alias("removed"))
+
+    places = F.transform(_lines(text), lambda x: x["i"])
+    left = lambda raw, full: F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), gone(raw, full))
+    return let(F.split(text, "\n", -1), lambda raw: let(let(places, lambda full: left(raw, full)), lambda keep: told(raw, keep)))
