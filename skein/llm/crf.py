@@ -143,13 +143,13 @@ def train(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], lex
     n_labels, rng = len(labels), np.random.default_rng(seed)
     crf = Crf(labels, np.zeros((SLOTS, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels), lexicon)
     vocab: dict[str, int] = {}
-    whole = [(np.array([vocab.setdefault(w, len(vocab)) for w in t], np.int64), y) for t, y in zip(texts, tags, strict=True) if t]
+    whole = [(np.array([vocab.setdefault(w, len(vocab)) for w in t], np.int32), y) for t, y in zip(texts, tags, strict=True) if t]
     n_of, every = np.zeros(len(vocab), np.int64), array("I")
     for i, w in enumerate(vocab):
         f = features(w, lexicon)
         n_of[i] = len(f)
         every.extend(f)
-    every = np.frombuffer(every, np.uint32).astype(np.int64) % SLOTS
+    every = np.frombuffer(every, np.uint32) % np.uint32(SLOTS)
     first_of = np.cumsum(n_of) - n_of
     g_w, g_m, g_s = np.full_like(crf.weights, 1e-6), np.full_like(crf.moves, 1e-6), np.full_like(crf.starts, 1e-6)
     for _ in range(epochs if whole else 0):
@@ -161,7 +161,7 @@ def train(texts: list[list[str]], tags: list[np.ndarray], labels: list[str], lex
             x, y = np.concatenate([x for x, _ in part]), np.concatenate([y for _, y in part])
             words, at = np.unique(x, return_inverse=True)
             n = n_of[words]
-            flat = every[np.repeat(first_of[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            flat = every[np.repeat(first_of[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
             score = np.add.reduceat(crf.weights[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
             score = score[at]
             diff, moved = forward_backward(np.exp(score - score.max(1, keepdims=True)), lens, crf.moves, crf.starts, True)

@@ -73,7 +73,7 @@ def fit(docs: DataFrame, training: Column, label: str = "lang", per_label: int =
     rows = sorted(set(map(tuple, rows)), key=lambda r: (r[0], r[1], r[2]))
     texts, langs = [words(r[2]) for r in rows], [r[1] for r in rows]
     labels = sorted(set(langs))
-    tags = [np.full(len(t), labels.index(y), np.int64) for t, y in zip(texts, langs, strict=True)]
+    tags = [np.full(len(t), labels.index(y), np.int32) for t, y in zip(texts, langs, strict=True)]
     return train(texts, tags, labels, lexicon(texts, langs), epochs=3)
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -51,14 +52,30 @@ def units(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:k]}*" for k in range(4, min(len(word), 8) + 1))]
 
 
-def groups(texts: list[set[str]], sketch: int = 16, common: float = 0.02) -> list[int]:
+class Texts:
+    """Texts as arrays of the numbers of their distinct words, which is all that the test of units looks at."""
+
+    def __init__(self, texts: list[list[str]]) -> None:
+        number: dict[str, int] = {}
+        self.of = [np.unique(np.fromiter((number.setdefault(w, len(number)) for w in t), np.int32, len(t))) for t in texts]
+        self.vocab = list(number)
+
+    def seen(self, within: list[np.ndarray]) -> np.ndarray:
+        """In how many of the texts each word is."""
+        out = np.zeros(len(self.vocab), np.int64)
+        for t in within:
+            out[t] += 1
+        return out
+
+
+def groups(texts: Texts, sketch: int = 16, common: float = 0.02) -> list[int]:
     """A number for each text, equal for texts that share half of their least rare words by hash: copies aren't independent evidence."""
-    seen = Counter(w for t in texts for w in t)
-    most = max(3, common * len(texts))
-    least = [sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in t if seen[w] <= most)[:sketch] for t in texts]
+    rare = texts.seen(texts.of) <= max(3, common * len(texts.of))
+    by_word = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in texts.vocab), np.uint32, len(texts.vocab))
     where: dict[int, int] = {}
     out: list[int] = []
-    for i, s in enumerate(least):
+    for i, t in enumerate(texts.of):
+        s = np.sort(by_word[t[rare[t]]])[:sketch].tolist()
         votes = Counter(where[h] for h in s if h in where)
         g, n = votes.most_common(1)[0] if votes else (i, 0)
         out.append(g if n and 2 * n >= len(s) else i)
@@ -67,42 +84,48 @@ def groups(texts: list[set[str]], sketch: int = 16, common: float = 0.02) -> lis
     return out
 
 
-def bound_units(texts: list[set[str]], toxic: list[bool]) -> frozenset[str]:
+def bound_units(words_of: list[list[str]], toxic: list[bool]) -> frozenset[str]:
     """Units whose documents are toxic more often than not, and beyond chance; near copies count once.
 
     Documents with a unit found are set aside and the rest is tested again, so that words of a
     less frequent language are held against what is still unexplained.
     """
-    merged: dict[tuple[int, bool], set[str]] = defaultdict(set)
-    for t, g, y in zip(texts, groups(texts), toxic, strict=True):
-        merged[g, y] |= t
-    left, out = [(t, y) for (_, y), t in merged.items()], set()
-    while new := beyond_chance(left):
+    texts = Texts(words_of)
+    merged: dict[tuple[int, bool], list[np.ndarray]] = defaultdict(list)
+    for t, g, y in zip(texts.of, groups(texts), toxic, strict=True):
+        merged[g, y].append(t)
+    left, out = [(t[0] if len(t) == 1 else np.unique(np.concatenate(t)), y) for (_, y), t in merged.items()], set()
+    while new := beyond_chance(texts, left):
         out |= new
-        left = [(t, y) for t, y in left if not any(lexicon_hits(w, new) for w in t)]
+        hit = np.fromiter((bool(lexicon_hits(w, new)) for w in texts.vocab), bool, len(texts.vocab))
+        left = [(t, y) for t, y in left if not hit[t].any()]
     return frozenset(out)
 
 
-def beyond_chance(texts: list[tuple[set[str], bool]]) -> set[str]:
-    share = sum(y for _, y in texts) / max(len(texts), 1)
+def beyond_chance(texts: Texts, left: list[tuple[np.ndarray, bool]]) -> set[str]:
+    share = sum(y for _, y in left) / max(len(left), 1)
     if share in (0, 1):
         return set()
-    in_toxic, in_clean = Counter(), Counter()
-    for t, y in texts:
-        if y:
-            in_toxic.update({u for w in t for u in units(w)})
-    for t, y in texts:
-        if not y:
-            in_clean.update({u for w in t for u in units(w) if u in in_toxic})
-    tested = sum(1 for u, a in in_toxic.items() if a + in_clean[u] >= 3)
-    need, out = np.log(max(tested, 1) / CHANCE), set()
-    for u, a in in_toxic.items():
-        b = in_clean[u]
-        p = a / (a + b)
-        if a + b >= 3 and p >= max(0.5, share):
-            if a * np.log(p / share) + b * np.log(max(1 - p, 1e-9) / (1 - share)) >= need:
-                out.add(u)
-    return out
+    number: dict[str, int] = {}  # of each unit of a toxic text
+    for i in np.flatnonzero(texts.seen([t for t, y in left if y])).tolist():
+        for u in units(texts.vocab[i]):
+            number.setdefault(u, len(number))
+    per_word, flat = np.zeros(len(texts.vocab), np.int64), array("i")
+    for i in np.flatnonzero(texts.seen([t for t, _ in left])).tolist():
+        known = [number[u] for u in units(texts.vocab[i]) if u in number]
+        per_word[i] = len(known)
+        flat.extend(known)
+    flat, first = np.frombuffer(flat, np.int32), np.cumsum(per_word) - per_word
+    counts = np.zeros((2, len(number)), np.int64)
+    for t, y in left:
+        n = per_word[t]
+        counts[int(y), np.unique(flat[np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
+    clean, bad = counts
+    need = np.log(max(int((clean + bad >= 3).sum()), 1) / CHANCE)
+    p = bad / (clean + bad)
+    gain = bad * np.log(p / share) + clean * np.log(np.maximum(1 - p, 1e-9) / (1 - share))
+    found = (clean + bad >= 3) & (p >= max(0.5, share)) & (gain >= need)
+    return {u for u, k in number.items() if found[k]}
 
 
 def summary(marginals: np.ndarray) -> list[float]:
@@ -135,17 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
     rows = texts.join(chosen, "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t")).collect()  # the sample, a text each
     rows = sorted((r["doc_id"], r["_t"], r["_y"]) for r in rows)
     same: dict[str, str] = {}  # a word is held once
-    return learn([[same.setdefault(w, w) for w in words(t)] for _, t, _ in rows], [y == 1 for _, _, y in rows])
+    toxic = [y == 1 for _, _, y in rows]
+    tokens = [[same.setdefault(w, w) for w in words(t)] for _, t, _ in rows]
+    del rows, same  # the driver's memory is small
+    return learn(tokens, toxic)
 
 
 def learn(texts: list[list[str]], toxic: list[bool]) -> Crf | None:
     """The field and the curve from whole labelled texts; None without toxic or without clean ones."""
     if not any(toxic) or all(toxic):
         return None
-    found = bound_units([set(t) for t in texts], toxic)
+    found = bound_units(texts, toxic)
     x, y = [], []
     for t, bad in zip(texts, toxic, strict=True):
-        tag = np.array([bad and bool(lexicon_hits(w, found)) for w in t], np.int64)
+        tag = np.array([bad and bool(lexicon_hits(w, found)) for w in t], np.int8)
         if not bad or tag.any():  # a toxic document without a known word would teach that its words are clean
             x.append(t)
             y.append(tag)
