@@ -14,7 +14,9 @@ into all its pairs: each member is compared with the bucket's first. Where such
 fails and members of a bucket are in different components after that, components with near signatures in
 the bucket are put into one cluster (at most an edge for each member), and a cluster's full sets
 are compared across components in blocks that any number of tasks share; only links come out. No
-bucket is capped and no link between components is lost. Sets are compared by their 64-bit hashes.
+bucket is capped and no link between components is lost. Shingles are compared by their 64-bit hashes.
+A class is named by half of its set's 128-bit digest; sets that differ in the other half but share that
+name are told apart before anything is compared.
 
 Nulls and edge cases: a null or empty text has no shingle and no link; a text with fewer than ``K`` words
 has one, the whole sequence; rows with a null id have no link, a null component and are kept;
@@ -67,8 +69,14 @@ def signature(shingles: np.ndarray) -> bytes:
     return (mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, _c (class: hash of the set) and _sig of each document."""
+def digest(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Name of a set's class, of so many bits, and the other half of its digest."""
+    h = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (h >> (128 - bits)) - 2 ** (bits - 1), (h & (2**64 - 1)) - 2**63
+
+
+def sketches(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, _c and _d (class and digest of the set) and _sig of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +85,33 @@ def sketches(docs: DataFrame) -> DataFrame:
                 out = []
                 for text in b.column(1).to_pylist():
                     s = shingle_set(text)
-                    out.append((len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None, signature(s) if len(s) else None))
-                n, c, sig = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "_c", "_sig"])
+                    out.append((len(s), *digest(s, bits), signature(s)) if len(s) else (0, None, None, None))
+                n, c, d, sig = zip(*out, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip((n, c, d, sig), kinds, strict=True))], ["doc_id", "n_shingles", "_c", "_d", "_sig"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, _c long, _d long, _sig binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, _c long, _sig binary")
+def classes_of(sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches with one class for each different set, and the classes: _c, _d, _rep (least id), _n and _sig.
+
+    Different sets that share a name get new ones, all but that with the least digest, until none share any.
+    """
+    while True:
+        known = sketch.filter(F.col("_c").isNotNull() & F.col("doc_id").isNotNull())
+        made = stage(
+            known.groupBy("_c").agg(F.min("_d").alias("_d"), F.max("_d").alias("_d1"), F.min("doc_id").alias("_rep"), F.max("n_shingles").alias("_n"), F.first("_sig").alias("_sig")),
+            "classes",
+        )
+        shared = made.filter("_d <> _d1").select("_c", F.col("_d").alias("_least"))
+        if shared.isEmpty():
+            return sketch, made.drop("_d1")
+        name = F.when(F.col("_d") != F.col("_least"), F.xxhash64("_c", "_d")).otherwise(F.col("_c"))
+        again = stage(sketch.join(shared, "_c", "left").withColumn("_c", name).select(*sketch.columns), "sketches")
+        drop(sketch)
+        drop(made)
+        sketch = again
 
 
 def index(classes: DataFrame) -> DataFrame:
@@ -148,27 +178,27 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def sets_of(need: DataFrame, docs: DataFrame) -> DataFrame:
-    """_c and _set (sorted hashes) of the classes ``need`` (_c, _rep), made from their representatives' texts."""
+    """_c and _set (sorted hashes) of the classes ``need`` (_c, _d, _rep), made from their representatives' texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 out = []
-                for c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for c, d, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     s = shingle_set(text)
-                    if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == c:  # else another text under the same id
+                    if len(s) and digest(s)[1] == d:  # else another text under the same id
                         out.append((c, s.tobytes()))
                 c, s = zip(*out, strict=True) if out else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.binary())], ["_c", "_set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_rep"), F.col("text").cast("string").alias("_text")).join(need, "_rep").select("_c", "_text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_rep"), F.col("text").cast("string").alias("_text")).join(need, "_rep").select("_c", "_d", "_text")
     return stage(texts.mapInArrow(sets, "_c long, _set binary").dropDuplicates(["_c"]), "sets")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct().join(classes.select("_c", "_rep"), "_c")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct().join(classes.select("_c", "_d", "_rep"), "_c")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,12 +327,9 @@ def between(members: DataFrame) -> DataFrame:
     return dealt.repartition("_job").sortWithinPartitions("_job").mapInArrow(run, "u long, w long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
-    sketch = stage(sketches(docs), "sketches")
-    classes = stage(
-        sketch.filter(F.col("_c").isNotNull() & F.col("doc_id").isNotNull()).groupBy("_c").agg(F.min("doc_id").alias("_rep"), F.max("n_shingles").alias("_n"), F.first("_sig").alias("_sig")), "classes"
-    )
+def near_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``. ``bits``: of a class's name, at first."""
+    sketch, classes = classes_of(stage(sketches(docs, bits), "sketches"))
     star = stage(stars(index(classes)), "stars")
     asked = stage(near(star.select("a", "b").distinct(), classes), "pairs")
     links = verified(asked, classes, docs)
@@ -318,14 +345,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = components(by_id(links), "u", "w")
     failed = star.filter("_key is not null").join(links.withColumn("_ok", F.lit(1)), ["a", "b"], "left").filter("_ok is null").select("_key").distinct()
     open_ = star.join(failed, "_key").select("_key", F.explode(F.array("a", "b")).alias("_c")).distinct()
-    where = stage(classes.join(comp, F.col("_rep") == F.col("v"), "left").select("_c", "_rep", F.coalesce("component", "_rep").alias("comp"), "_n", "_sig"), "where")
+    where = stage(classes.join(comp, F.col("_rep") == F.col("v"), "left").select("_c", "_d", "_rep", F.coalesce("component", "_rep").alias("comp"), "_n", "_sig"), "where")
     near_comps = stage(across(open_.join(where, "_c").select("_key", "_c", "comp", "_n", "_sig")).distinct(), "across")
     drop(star)
     edges = by_id(links).unionByName(own)
     if not near_comps.isEmpty():
         cluster = components(near_comps, "u", "w").select(F.col("v").alias("comp"), F.col("component").alias("_cluster"))
-        inside = stage(where.join(cluster, "comp").select("_c", "_rep", "comp", "_cluster"), "inside")
-        made = sets_of(inside.select("_c", "_rep"), docs)
+        inside = stage(where.join(cluster, "comp").select("_c", "_d", "_rep", "comp", "_cluster"), "inside")
+        made = sets_of(inside.select("_c", "_d", "_rep"), docs)
         edges = edges.unionByName(stage(between(inside.join(made, "_c").select("_c", "_cluster", "comp", "_set")), "between"))
     final = components(edges, "u", "w").withColumnsRenamed({"v": "_v"})
     of_class = rep.join(final, F.col("_rep") == F.col("_v"), "left").select("_x", F.coalesce("component", "_rep").alias("component"))

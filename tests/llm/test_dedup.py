@@ -40,8 +40,8 @@ def hard_texts():
     return [(i * 3, t) for i, t in enumerate(out)]
 
 
-def check_near(spark, docs, df):
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(df).collect()}
+def check_near(spark, docs, df, **how):
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(df, **how).collect()}
     want = brute.near_duplicates(docs)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
@@ -55,6 +55,11 @@ def test_minhash_hard(spark):
     check_near(spark, hard_texts(), rows_of(spark, *hard_texts()))
 
 
+def test_minhash_shared_names(spark):
+    """Many different sets whose classes have one of eight names at first."""
+    check_near(spark, hard_texts(), rows_of(spark, *hard_texts()), bits=3)
+
+
 def test_minhash_crossing_components(spark):
     """Buckets whose first isn't like the others, which are like each other."""
     base, docs = prose(9, 400), []
