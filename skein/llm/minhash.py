@@ -43,8 +43,8 @@ K = 5
 PERCENT = 85
 CHUNKS, WIDTH, ERRORS, RADIUS = 10, 6, 1, 19
 PLACES = CHUNKS * WIDTH
-#: Distance beyond which a candidate isn't verified; at the threshold one in a million pairs is.
-LOOSE = 24
+#: Distance beyond which a candidate isn't verified; at the threshold one in 1e10 pairs is.
+LOOSE = 30
 #: Members of a block when a cluster is compared all against all.
 BLOCK = 256
 _RNG = np.random.default_rng(20)
