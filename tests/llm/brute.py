@@ -75,3 +75,37 @@ def line_dedup(docs, width=2):
             seen.setdefault(run, (key, j))
         out[key] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
+
+
+def trie(convs):
+    """Rows of the prefix trie of {id: [(role, text)]}: id, depth, parent, members, children, leaves, saved, digest of the ends."""
+    members, kids = defaultdict(list), defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    for k in members:
+        if k:
+            kids[k[:-1]].append(k)
+    sums, out = {}, []
+    for k in sorted(members, key=len, reverse=True):
+        own = (len(members[k]) - 1) * len(k[-1][1].encode()) if k else 0
+        sums[k] = (sum(sums[x][0] for x in kids[k]) or 1, own + sum(sums[x][1] for x in kids[k]))
+    for k, m in members.items():
+        ends = ",".join(map(str, sorted(c for c in m if len(convs[c]) == len(k))))
+        out.append((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(kids[k]), *sums[k], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def fill_in_middle(doc_id, text, rate=50):
+    """(doc_id, n, form, prefix, middle, output)."""
+    text = text or ""
+    units, h = UNIT.findall(text), hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    x, n = [int(h[8 * i : 8 * i + 8], 16) for i in range(4)], len(units)
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")) or x[2] % 100 >= rate:
+        return doc_id, n, "plain", None, None, text
+    a, b = sorted((x[0] % (n + 1), x[1] % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    return (doc_id, n, "spm", p, m, f"<S>{s}<P>{p}<M>{m}") if x[3] % 100 < 80 else (doc_id, n, "psm", p, m, f"<P>{p}<S>{s}<M>{m}")

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from skein.llm import chat, media, mixing, packing, queries
+from tests.test_queries import norm
 
 DATA = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, length int, _k int, start string"
@@ -170,13 +171,11 @@ def test_mix(spark):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).fetchdf()
     got = queries.queries()[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    cols = sorted(got.columns)
-    norm = lambda df: sorted(map(repr, (tuple(None if x is None or x != x else (int(x) if isinstance(x, (int, np.integer)) else float(x) if isinstance(x, (float, np.floating)) else x) for x in r) for r in df[cols].itertuples(index=False))))
     assert norm(got) == norm(want)
 
 
