@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import ast
+import contextlib
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+KIND = pa.struct([("skeleton", pa.string()), ("blocks", pa.list_(pa.struct([("hash", pa.string()), ("lang", pa.string()), ("size", pa.int32()), ("content", pa.string())])))])
 TYPE = "struct<skeleton:string,blocks:array<struct<hash:string,lang:string,size:int,content:string>>>"
 #: Words with which an identifier before a bracket may not begin, words that open a function, and characters that a body needs. Fixed values.
 NOT_FUNCTIONS = ("if", "for", "while", "switch", "catch", "class")
@@ -76,59 +80,63 @@ def signatures(text: str) -> Iterator[tuple[int, int]]:
             at = (yield first, head + 1) or head + 1
 
 
-def braces(text: str, lang: str) -> tuple[str, list[dict]]:
-    """Bodies between braces, outermost first found; short ones stay."""
+def cut(text: str, spans: Iterable[tuple[int, int, str]], lang: str) -> tuple[str, list[dict]]:
+    """``text`` with a token, after what stands before it, in place of each span (from, to, what stands before); spans are in order and apart."""
     pieces, blocks, done = [], [], 0
-    heads = signatures(text)
-    found = next(heads, None)
-    while found:
-        opened, after = found
-        end = closing(text, opened)
-        if end >= 0:
-            after, body = end + 1, text[opened + 1 : end]
-            if len(body.strip()) > LEAST:
-                token, block = token_of(body, lang)
-                blocks.append(block)
-                pieces += [text[done : opened + 1], token]
-                done = end
-        try:
-            found = heads.send(after)
-        except StopIteration:
-            found = None
-    return "".join(pieces) + text[done:], blocks
-
-
-def bodies(nodes: list, keep_docstring: bool = False) -> list[tuple[int, int]]:
-    """First and last line (from 0) of the bodies of functions at the top, in classes and in the main part of statements."""
-    out = []
-    for node in nodes:
-        inner = getattr(node, "body", None)
-        if not isinstance(inner, list):
-            continue
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            start = inner[1:] if keep_docstring and ast.get_docstring(node) is not None else inner
-            if start and start[0].lineno > node.lineno:
-                out.append((start[0].lineno - 1, start[-1].end_lineno - 1))
-        else:
-            out += bodies(inner, keep_docstring)
-    return out
+    for start, end, lead in spans:
+        token, block = token_of(text[start:end], lang)
+        blocks.append(block)
+        pieces += [text[done:start], lead, token]
+        done = end
+    return "".join([*pieces, text[done:]]), blocks
+
+
+def between_braces(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spans between the braces of what looks like a function, outermost first found; short ones stay."""
+    heads, after = signatures(text), None
+    with contextlib.suppress(StopIteration):
+        while True:
+            opened, after = heads.send(after)
+            end = closing(text, opened)
+            if end >= 0:
+                after = end + 1
+                if len(text[opened + 1 : end].strip()) > LEAST:
+                    yield opened + 1, end, ""
+
+
+def braces(text: str, lang: str) -> tuple[str, list[dict]]:
+    return cut(text, between_braces(text), lang)
+
+
+def functions(tree: ast.Module) -> Iterator[ast.FunctionDef | ast.AsyncFunctionDef]:
+    """Functions at the top, in classes and in the main part of statements, none within another."""
+    todo = deque([tree])
+    while todo:
+        for node in todo.popleft().body:
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+                yield node
+            elif isinstance(getattr(node, "body", None), list):
+                todo.append(node)
 
 
 def python(text: str, keep_docstring: bool = False) -> tuple[str, list[dict]] | None:
-    """None if it isn't Python."""
+    """The whole lines of each body leave a token at their indentation; None if it isn't Python."""
     try:
-        found = bodies(ast.parse(text).body, keep_docstring)
+        found = list(functions(ast.parse(text)))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    if not found:
+    runs = []
+    for f in found:
+        body = f.body[1:] if keep_docstring and ast.get_docstring(f) is not None else f.body
+        if body and body[0].lineno > f.lineno:  # else it begins on the line of its head
+            runs.append((body[0].lineno - 1, body[-1].end_lineno))
+    if not runs:
         return text, []
-    end, lines, blocks = "\r\n" if "\r\n" in text else "\n", text.splitlines(), []
-    for first, last in sorted(found, reverse=True):
-        token, block = token_of(end.join(lines[first : last + 1]), "python")
-        blocks.append(block)
-        indent = lines[first][: len(lines[first]) - len(lines[first].lstrip())]
-        lines[first : last + 1] = [indent + token]
-    return end.join(lines) + (end if text.endswith("\n") else ""), blocks[::-1]
+    end, lines = "\r\n" if "\r\n" in text else "\n", text.splitlines()
+    starts = [0, *accumulate(len(x) + len(end) for x in lines)]
+    whole = end.join(lines) + (end if text.endswith("\n") else "")
+    blank = lambda x: x[: len(x) - len(x.lstrip())]
+    return cut(whole, [(starts[a], starts[b] - len(end), blank(lines[a])) for a, b in sorted(runs)], "python")
 
 
 def skeleton(text: str | None, lang: str | None, keep_docstring: bool = False) -> dict:
@@ -143,10 +151,8 @@ def skeleton(text: str | None, lang: str | None, keep_docstring: bool = False) -
 
 def compress_code(text: Column, lang: Column | None = None, keep_docstring: bool = False) -> Column:
     """Struct of the skeleton and its blocks."""
-    kind = pa.struct([("skeleton", pa.string()), ("blocks", pa.list_(pa.struct([("hash", pa.string()), ("lang", pa.string()), ("size", pa.int32()), ("content", pa.string())])))])
-
     @F.arrow_udf(TYPE)
     def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        return pa.array([skeleton(t, x, keep_docstring) for t, x in zip(texts.to_pylist(), langs.to_pylist(), strict=True)], kind)
+        return pa.array([skeleton(t, x, keep_docstring) for t, x in zip(texts.to_pylist(), langs.to_pylist(), strict=True)], KIND)
 
     return run(text, F.lit(None).cast("string") if lang is None else lang)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.lines import is_blank, lines
+from skein.functions.lines import LINE_END, is_blank, let
+from skein.functions.rows import packed, unpacked
 from skein.operators.align import align
-from skein.operators.code import compress_code
-from skein.operators.jsonlists import is_json, render_json
+from skein.operators.code import KIND, TYPE, skeleton
+from skein.operators.jsonlists import is_json, render
 from skein.operators.logs import crush_log
 from skein.operators.tabular import crush_rows
 from skein.operators.text import compress_text
@@ -43,18 +45,20 @@ def by_mime(mime: Column) -> Column:
     return out
 
 
-def _even(text: Column, sign: str) -> Column:
-    first = F.filter(F.slice(lines(text), 1, 3), lambda x: ~x.rlike(r"^\s*$"))
-    counts = F.transform(first, lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit(""))))
-    return (F.size(counts) >= 2) & (F.size(F.array_distinct(counts)) == 1) & (F.get(counts, F.lit(0)) > 0)
+def _even(first: Column, sign: str) -> Column:
+    """Whether two or three lines hold ``sign`` equally often."""
+    counts = F.transform(F.filter(F.slice(first, 1, 3), lambda x: ~x.rlike(r"^\s*$")), lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit(""))))
+    return let(counts, lambda c: (F.size(c) >= 2) & (F.size(F.array_distinct(c)) == 1) & (F.get(c, F.lit(0)) > 0))
 
 
 def by_content(text: Column) -> Column:
-    """All but JSON, which is told by parsing."""
+    """All but JSON, which is told by parsing. Only the first lines are parted from the text, once."""
     has = text.contains
     code = (has("def ") & has(":")) | has("import ") | (has("class ") & has("{")) | (has("function ") & has("{"))
-    marks = F.filter(F.transform(F.slice(lines(text), 1, 20), F.lower), lambda x: reduce(lambda a, b: a | b, [x.contains(m) for m in LOG_MARKS]))
-    return F.when(_even(text, ",") | _even(text, "\t"), "tabular").when(code, "code").when((F.size(marks) >= 2) | F.lower(text).contains("traceback"), "log").otherwise("text")
+    marked = lambda x: reduce(lambda a, b: a | b, [x.contains(m) for m in LOG_MARKS])
+    shape = lambda first: F.when(_even(first, ",") | _even(first, "\t"), "tabular").when(F.size(F.filter(first, lambda x: marked(F.lower(x)))) >= 2, "log")
+    told = let(F.slice(F.split(text, LINE_END, 21), 1, 20), shape)
+    return let(told, lambda x: F.when(x == "tabular", x).when(code, "code").when((x == "log") | F.lower(text).contains("traceback"), "log").otherwise("text"))
 
 
 def named(df: DataFrame) -> Column:
@@ -69,22 +73,39 @@ def route(df: DataFrame) -> DataFrame:
     return first.withColumn("route", F.coalesce("route", told))
 
 
+def _parsed(k: int, output: str):
+    """What needs a parser, in one pass: the JSON of a text that may be some, else the skeleton of one that is code."""
+    kind = pa.struct([("json", pa.string()), ("code", KIND)])
+
+    def one(text: str | None, named_: str | None, content: str | None, lang: str | None) -> dict | None:
+        made = render(text, k, output) if text is not None and named_ in (None, "json") else None
+        if made is not None:
+            return {"json": made}
+        return {"code": skeleton(text, lang)} if text is not None and (named_ or content) == "code" else None
+
+    @F.arrow_udf(f"struct<json:string,code:{TYPE}>")
+    def run(texts: pa.Array, named_: pa.Array, contents: pa.Array, langs: pa.Array) -> pa.Array:
+        return pa.array(map(one, *(x.to_pylist() for x in (texts, named_, contents, langs))), kind)
+
+    return run
+
+
 def compress(df: DataFrame, k_elements: int = 5, k_lines: int = 20, k_rows: int = 5, output: str = "json", aligned: bool = False) -> DataFrame:
-    """``df`` with route, compressed and blocks, in one pass over it.
+    """``df`` with route, compressed and blocks, in one pass over it; columns of these names give way to them, all others stay.
 
-    A Python function is handed null for a document that isn't its own; a document that may be
-    JSON is parsed once, for its route and its result.
+    Only documents that may be JSON or code are handed to Python, once; the others' texts stay in the JVM.
     """
     text = F.col("text")
-    if aligned:
-        df = df.withColumn("text", align(text))
-    first = df.withColumn("_named", named(df))
-    read = first.withColumn("_json", render_json(F.when(F.col("_named").isNull() | (F.col("_named") == "json"), text), k_elements, output))
-    routed = read.withColumn("route", F.coalesce("_named", F.when(F.col("_json").isNotNull(), "json").otherwise(by_content(text))))
-    is_ = lambda name: F.col("route") == name
-    code = routed.withColumn("_code", compress_code(F.when(is_("code"), text), language(F.col("filename"))))
+    rows = df.select(packed(df).alias("_row"), (align(text) if aligned else text).alias("text"), *[F.col(c) for c in ("filename", "mime_type")])
+    first = rows.withColumn("_named", named(rows))
+    guess = first.withColumn("_content", F.when(F.col("_named").isNull(), by_content(text)))
+    open_ = F.col("_named").isNull() | F.col("_named").isin("json", "code")
+    read = guess.withColumn("_made", _parsed(k_elements, output)(F.when(open_, text), F.col("_named"), F.col("_content"), language(F.col("filename"))))
+    routed = read.withColumn("_route", F.coalesce("_named", F.when(F.col("_made.json").isNotNull(), "json").otherwise(F.col("_content"))))
+    is_ = lambda name: F.col("_route") == name
     made = (
-        F.when(is_("empty"), "").when(is_("json"), F.coalesce("_json", compress_text(text))).when(is_("code"), F.col("_code.skeleton"))
+        F.when(is_("empty"), "").when(is_("json"), F.coalesce("_made.json", compress_text(text))).when(is_("code"), F.col("_made.code.skeleton"))
         .when(is_("log"), crush_log(text, k_lines)).when(is_("tabular"), crush_rows(F.when(is_("tabular"), text), k_rows)).otherwise(compress_text(text))
     )
-    return code.withColumn("compressed", made).withColumn("blocks", F.when(is_("code"), F.col("_code.blocks"))).drop("_named", "_json", "_code")
+    new = {"text": text} if aligned else {}
+    return routed.select(*unpacked("_row", df.columns, new | {"route": F.col("_route"), "compressed": made, "blocks": F.when(is_("code"), F.col("_made.code.blocks"))}))

@@ -82,11 +82,15 @@ def render(rows: Column, text: Column, delimiter: Column, k: int) -> Column:
 
 
 def crush_rows(text: Column, k: int = 5, delimiter: str | None = None) -> Column:
-    """The crushed table as a column. Only texts with quotes, lone carriage returns or other delimiters meet Python."""
+    """The crushed table as a column. Only texts with quotes, lone carriage returns or other delimiters meet Python.
+
+    Text and delimiter are bound once, whatever expressions they are: what is done for each cell only reads them.
+    """
     k, sep = max(0, k), F.lit(delimiter) if delimiter else delimiter_of(text)
     odd = F.coalesce(text.rlike('"|\r(?!\n)'), F.lit(False)) | F.lit(delimiter not in (None, ",", "\t"))
-    rows = F.when(odd, parse_quoted(F.when(odd, text), sep)).otherwise(parse_plain(text, sep))
-    return render(rows, text, sep, k)
+    plain = let(F.struct(F.when(~odd, text).alias("text"), sep.alias("sep")), lambda x: parse_plain(x["text"], x["sep"]))
+    rows = F.when(odd, parse_quoted(F.when(odd, text), sep)).otherwise(plain)
+    return let(F.struct(rows.alias("rows"), text.alias("text"), sep.alias("sep")), lambda x: render(x["rows"], x["text"], x["sep"], k))
 
 
 def crush_table(df: DataFrame, text: str = "text", k: int = 5, delimiter: str | None = None, out: str = "compressed") -> DataFrame:
