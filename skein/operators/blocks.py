@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.rows import col
+
 #: Characters that a token is taken to cost, and seconds that a block lives. Fixed values.
 TOKEN_COST, TTL = 80, 300
 TOKEN = r"<<ccr:([a-f0-9]{64}),([^,>]+),(\d+)>>"
@@ -25,7 +27,7 @@ def _latest(rows: DataFrame) -> DataFrame:
 
 def make_blocks(df: DataFrame, content: str = "content", created_at: str = "created_at") -> DataFrame:
     """Distinct blocks, the latest time of each."""
-    rows = df.filter(F.col(content).isNotNull()).select(content_hash(F.col(content)).alias("hash"), F.col(content).alias("content"), F.col(created_at).cast("timestamp").alias("created_at"))
+    rows = df.filter(col(content).isNotNull()).select(content_hash(col(content)).alias("hash"), col(content).alias("content"), col(created_at).cast("timestamp").alias("created_at"))
     return _latest(rows)
 
 
@@ -75,35 +77,6 @@ def parse_token(token: Column) -> Column:
     return F.nullif(F.regexp_extract(token, r"^\s*(?:<<ccr:)?([a-f0-9]{64})(?:,[^>]*>>)?\s*$", 1), F.lit(""))
 
 
-def decompress(df: DataFrame, store: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with known tokens of ``text`` replaced by their content; one pass, unknown tokens stay.
-
-    Texts are cut at their tokens, so only tokens meet the store; texts without a token are not
-    shuffled. Rows need no key: each is told by its place, equal rows and nulls included. A null
-    text becomes the empty one.
-    """
-    pattern = f"[ \t]*{TOKEN}"
-    col = f"`{text}`"
-    whole = df.withColumn(text, F.coalesce(F.col(col), F.lit("")))
-    plain, open_ = whole.filter(~F.col(col).rlike(TOKEN)), whole.filter(F.col(col).rlike(TOKEN))
-    found = F.regexp_extract_all(F.col(col), F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(F.col(col), pattern, -1)
-    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text], F.lit(0).alias("_"))
-    parts = F.concat(
-        F.transform(between, lambda x, i: F.struct((2 * i).alias("pos"), x.alias("part"), F.lit(None).cast("string").alias("hash"))),
-        F.transform(found, lambda x, i: F.struct((2 * i + 1).alias("pos"), x.alias("part"), F.regexp_extract(x, TOKEN, 1).alias("hash"))),
-    )
-    told = open_.select(F.monotonically_increasing_id().alias("_id"), rest.alias("_rest"), parts.alias("_parts"))
-    cut = told.select("_id", "_rest", F.explode("_parts").alias("p"))
-    rows = cut.select("_id", F.when(F.col("p.pos") == 0, F.col("_rest")).alias("_rest"), "p.*")
-    known = rows.join(store.select("hash", "content"), "hash", "left")
-    indent = F.regexp_extract("part", r"\A[ \t]*", 0)
-    body = F.when(F.col("content").isNull(), F.col("part")).when(F.col("content").startswith(indent), F.col("content")).otherwise(F.concat(indent, "content"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", body.alias("b")))), lambda x: x["b"]), "")
-    done = known.groupBy("_id").agg(F.first("_rest", ignorenulls=True).alias("_rest"), joined.alias("_text"))
-    return plain.unionByName(done.select(*[F.col("_text").alias(c) if c == text else F.col(f"_rest.`{c}`").alias(c) for c in df.columns]))
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
@@ -153,12 +126,13 @@ def bm25(store: DataFrame, queries: DataFrame, top: int = 1) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "hash", "score", "rank")
 
 
-def retrieve_query(queries: DataFrame, store: DataFrame) -> DataFrame:
-    """``queries`` (query_id, query) with hash, content and hit of the best block.
+def retrieve_query(queries: DataFrame, store: DataFrame, best: DataFrame | None = None) -> DataFrame:
+    """``queries`` (query_id, query) with hash, content and hit of the best block, which ``best`` (query_id, hash) may tell.
 
     hit is null, so that it counts as neither hit nor miss, where the store is empty or the query has no word.
     """
-    best = bm25(store, queries, 1).select(F.col("query_id").alias("_q"), "hash").join(store.select("hash", "content"), "hash")
+    best = bm25(store, queries, 1) if best is None else best
+    best = best.select(F.col("query_id").alias("_q"), "hash").join(store.select("hash", "content"), "hash")
     some = store.limit(1).agg(F.count("*").alias("_some"))  # one row
     counted = (F.col("_some") > 0) & (F.size(tokens(F.coalesce(F.col("query"), F.lit("")))) > 0)
     joined = queries.join(best, F.col("query_id") == F.col("_q"), "left").crossJoin(F.broadcast(some))

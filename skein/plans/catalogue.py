@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein import api
 from skein.functions.lines import lines
 from skein.functions.predicates import log_anomaly, value_anomaly
-from skein.operators import blocks, router
+from skein.operators import blocks, index, router
 from skein.operators.align import align
 from skein.operators.code import compress_code
 from skein.operators.jsonlists import crush_json, truncate_list
@@ -16,6 +16,7 @@ from skein.operators.logs import crush_log, islands
 from skein.operators.tabular import crush_table
 from skein.operators.text import collapse_blank_lines, compress_text
 from skein.plans import rendered as R
+from skein.sources.shared import fresh
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -245,6 +246,18 @@ def bm25_topk(spark, d):
     return out.select(F.col("query_id").alias("item_id"), F.col("hash").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"""{SQL_BEST},
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3""")
+def bm25_indexed(spark, d):
+    """The same by a persisted index: built of two thirds of the documents, updated with the others, searched."""
+    store, asked = _searched(spark, d)
+    first = index.build(store.filter("hash % 3 > 0"), fresh(spark, "index"))
+    whole = index.update(first, store, fresh(spark, "index"))
+    out = index.search(whole, asked, 3, store.select("hash", "seq"))
+    return out.select(F.col("query_id").alias("item_id"), F.col("hash").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(f"{SQL_TERMS} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 9) AS idf FROM df, m WHERE term IN (SELECT term FROM q)")
 def bm25_df_idf(spark, d):
     return blocks.bm25_terms(*_searched(spark, d)).select("term", "df", F.round("idf", 9).alias("idf"))
@@ -267,6 +280,42 @@ def decompress_docs(spark, d):
     return api.decompress(docs, _blocks(spark, d), now(), ttl=10**9)
 
 
+NESTED = """WITH RECURSIVE b AS (
+  SELECT doc_id AS id, doc_id // 3 AS up, doc_id % 50 = 7 AS round_, text FROM documents WHERE text IS NOT NULL
+), e AS (
+  SELECT id, text || chr(10) || '  <<ccr:' || sha256('b' || CASE WHEN id = 0 THEN 'none' ELSE up::VARCHAR END) || ',t,1>>' AS content, 0::BIGINT AS hits, 1::BIGINT AS misses FROM b WHERE NOT round_ AND (id = 0 OR up NOT IN (SELECT id FROM b))
+  UNION ALL SELECT b.id, b.text || chr(10) || CASE WHEN starts_with(e.content, '  ') THEN '' ELSE '  ' END || e.content, e.hits + 1, e.misses FROM b JOIN e ON b.up = e.id WHERE NOT b.round_ AND b.id > 0
+), r AS (
+  SELECT d.doc_id, CASE WHEN b.id IS NULL THEN 'see <<ccr:' || sha256('b' || d.doc_id) || ',t,1>>' ELSE 'see' || CASE WHEN starts_with(coalesce(e.content, b.text), ' ') THEN '' ELSE ' ' END
+    || coalesce(e.content, b.text || chr(10) || '  <<ccr:' || sha256('b' || CASE WHEN round_ THEN b.id ELSE b.up END) || ',t,1>>') END AS text,
+    CASE WHEN b.id IS NULL THEN 0 ELSE 1 + coalesce(e.hits, 0) END AS hits, CASE WHEN b.id IS NULL THEN 1 ELSE coalesce(e.misses, 0) END AS misses
+  FROM documents d LEFT JOIN b ON b.id = d.doc_id LEFT JOIN e ON e.id = d.doc_id
+)"""
+
+
+def _nested(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A document with a token for each block; blocks whose tokens name others, up to eight deep, some of them themselves."""
+    docs, name = R.table(spark, d, "documents"), lambda c: F.sha2(F.concat(F.lit("b"), c.cast("string")).cast("binary"), 256)
+    tok = lambda h: F.concat(F.lit("<<ccr:"), h, F.lit(",t,1>>"))
+    up = F.when(F.col("doc_id") % 50 == 7, F.expr("string(doc_id)")).when(F.col("doc_id") == 0, "none").otherwise(F.expr("string(doc_id div 3)"))
+    store = docs.filter("text is not null").select(name(F.col("doc_id")).alias("hash"), F.concat("text", F.lit("\n  "), tok(name(up))).alias("content"), now().alias("created_at"))
+    return docs.select("doc_id", F.concat(F.lit("see "), tok(name(F.col("doc_id")))).alias("text")), store
+
+
+@query(f"{NESTED} SELECT doc_id, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars FROM r")
+def decompress_nested(spark, d):
+    """Blocks within blocks, inflated to the last; what leads into a cycle stays a token."""
+    done = api.decompress(*_nested(spark, d), now(), max_passes=None)
+    return done.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query(f"{NESTED} SELECT (SELECT count(*) FROM b) AS count, (SELECT sum(length(text) + 79)::BIGINT FROM b) AS total_bytes, sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, sum(hits) / sum(hits + misses)::DOUBLE AS hit_ratio FROM r")
+def decompress_stats(spark, d):
+    """The counters after that: a retrieval for each token that was looked up."""
+    docs, store = _nested(spark, d)
+    return api.stats(store, api.decompress_logged(docs, store, now(), to_the_last=True)[1], now())
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE sha256(text) END AS hash FROM documents")
 def token_parse(spark, d):
     h = blocks.content_hash(F.col("text"))
