@@ -23,8 +23,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions.lines import let
 from skein.operators.blocks import ASKED, K1, B, tokens
-from skein.sources.shared import written
+from skein.sources.shared import no_shuffle_left, written
 
 #: Blocks of a slot on average; partitions by term; terms that go into the scan's filter as they are.
 PER_SLOT, BUCKETS, NAMED = 16, 64, 1000
@@ -63,12 +64,24 @@ def _write(rows: DataFrame, path: str, buckets: int) -> None:
     by = ["bucket", "term", "slot"]
     told = rows.select(_bucket(F.col("term"), buckets), "term", "slot", "n", "max_tf", "min_dl", "docs")
     placed = told.repartitionByRange(*by).sortWithinPartitions(*by)
-    placed.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    with no_shuffle_left(rows.sparkSession):
+        placed.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+
+
+def _counted(words: Column) -> Column:
+    """(term, tf) of the words of a block, from runs of equal words in order."""
+
+    def runs(w: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.element_at(w, F.greatest(i - 1, F.lit(1))) != F.element_at(w, i)))
+        ends = lambda h: F.transform(h, lambda at, i: F.struct(F.element_at(w, at).alias("term"), (F.coalesce(F.get(h, i + 1), F.size(w) + 1) - at).alias("tf")))
+        return F.when(F.size(w) > 0, let(heads, ends))
+
+    return let(F.array_sort(words), runs)
 
 
 def _slotted(postings: DataFrame) -> DataFrame:
-    """(term, slot, hash, tf, dl) as rows of postings; a group is a slot's blocks at most."""
-    return postings.groupBy("term", "slot").agg(
+    """(term, slot, hash, tf, dl) as rows of postings; a group is a slot's blocks at most, so nothing is summed up before it is dealt."""
+    return postings.repartition("term", "slot").groupBy("term", "slot").agg(
         F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("hash", "tf", "dl")).alias("docs")
     )
 
@@ -79,7 +92,7 @@ def build(store: DataFrame, path: str, buckets: int = BUCKETS, per_slot: int = P
     words = store.select("hash", tokens(F.col("content")).alias("_w")).withColumn("dl", F.size("_w"))
     words.select("hash", "dl").write.parquet(f"{path}/docs")
     slots = 1 << max(0, (spark.read.parquet(f"{path}/docs").count() // per_slot).bit_length())
-    each = words.select("hash", "dl", F.explode("_w").alias("term")).groupBy("hash", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    each = words.select("hash", "dl", F.explode(_counted(F.col("_w"))).alias("_t")).select("hash", "dl", "_t.*")
     _write(_slotted(each.withColumn("slot", F.pmod(F.xxhash64("hash"), F.lit(slots)).cast("int"))), path, buckets)
     return Index(spark, (path,), buckets)
 

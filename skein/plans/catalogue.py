@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein import api
 from skein.functions.lines import lines
 from skein.functions.predicates import log_anomaly, value_anomaly
-from skein.operators import blocks, index, router
+from skein.operators import blocks, index, longfiles, router
 from skein.operators.align import align
 from skein.operators.code import compress_code
 from skein.operators.jsonlists import crush_json, truncate_list
@@ -217,6 +217,59 @@ def store_clear(spark, d):
     return api.stats(left, spark.createDataFrame([], "hit boolean"), now(), stored=left)
 
 
+LONG = "l AS (SELECT replace(strftime(ts, '%Y-%m-%d %H:%M:%S'), '-01 ', '-01 WARN ') || ' ' || event_type || CASE WHEN event_id % 7 = 0 THEN chr(11) || 'failed ' ELSE ' ' END || event_id AS two, ts, event_id FROM events), s AS (SELECT unnest(string_split(two, chr(11))) AS line, generate_subscripts(string_split(two, chr(11)), 1) AS part, ts, event_id FROM l), n AS (SELECT line, row_number() OVER (ORDER BY ts, event_id, part) AS pos, count(*) OVER () AS n FROM s)"
+
+
+def _one_log(spark, d) -> str:
+    """All events as one log, in as many files as the sorted rows have partitions."""
+    stamp = F.replace(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("-01 "), F.lit("-01 WARN "))
+    line = F.concat(stamp, F.lit(" "), "event_type", F.when(F.col("event_id") % 7 == 0, F.lit("\x0bfailed ")).otherwise(" "), F.col("event_id").cast("string"))
+    path = fresh(spark, "log")
+    R.table(spark, d, "events").orderBy("ts", "event_id").select(line).write.text(path)
+    return path
+
+
+@query(f"""WITH {LONG}, a AS (
+  SELECT *, pos - row_number() OVER (ORDER BY pos) AS g FROM n WHERE pos > 20 AND pos <= n - 20 AND {MARK}
+), g AS (SELECT min(pos) AS first, max(pos) AS last FROM a GROUP BY g), h AS (SELECT *, coalesce(lag(last) OVER (ORDER BY first), 20) AS before FROM g), z AS (SELECT max(n) - 20 AS stop, coalesce((SELECT max(last) FROM g), 20) AS last FROM n)
+SELECT pos AS line_no, 2 AS kind, line AS text FROM n WHERE pos <= 20 OR pos > n - 20
+UNION ALL SELECT pos, 2, '[Line ' || pos || '] ' || line FROM a
+UNION ALL SELECT first, 1, '--- Preserved anomaly/error lines ' || first || '-' || last || ' ---' FROM h
+UNION ALL SELECT before + 1, 0, '... [omitted ' || (first - before - 1) || ' lines] ...' FROM h WHERE first - before > 1
+UNION ALL SELECT last + 1, 0, '... [omitted ' || (stop - last) || ' lines] ...' FROM z WHERE stop > last""")
+def log_crush_long(spark, d):
+    """One log of all events, crushed with out a task that holds more than a block of it."""
+    return longfiles.crush_logs(spark, _one_log(spark, d), 20, whole_folder=True).select("line_no", "kind", "text")
+
+
+LONG_ROWS = """r AS (SELECT event_id, ts, event_id || ',' || CASE event_id % 5 WHEN 0 THEN '"' || event_type || chr(10) || 'said ""' || user_id || '"", twice"' WHEN 1 THEN '"' || event_type || ', ' || user_id || '"' ELSE event_type || '"' || user_id END AS row FROM events),
+n AS (SELECT row, 1 + row_number() OVER (ORDER BY ts, event_id) AS pos, 1 + count(*) OVER () AS n FROM r)"""
+
+
+@query(f"""WITH {LONG_ROWS}, w AS (  -- a quote within a cell is doubled when it is written
+  SELECT pos, n, CASE WHEN contains(row, ',"') THEN row ELSE regexp_replace(row, ',(.*)"(.*)', ',"\\1""\\2"') END AS row FROM n
+), a AS (
+  SELECT *, pos - coalesce(lag(pos) OVER (ORDER BY pos), 6) - 1 AS gap FROM w WHERE pos > 6 AND pos <= n - 5 AND regexp_matches(row, '(?i)error|fail|exception|warn|critical|fatal')
+), z AS (SELECT max(n) - 5 AS stop, coalesce((SELECT max(pos) FROM a), 6) AS last FROM w)
+SELECT 1 AS line_no, 2 AS kind, 'event_id,note' AS text
+UNION ALL SELECT pos, 2, row FROM w WHERE pos <= 6 OR pos > n - 5
+UNION ALL SELECT pos, 2, '[Row ' || pos || '],' || row FROM a
+UNION ALL SELECT pos - gap, 0, '... [omitted ' || gap || ' rows] ...,' FROM a WHERE gap > 0
+UNION ALL SELECT last + 1, 0, '... [omitted ' || (stop - last) || ' rows] ...,' FROM z WHERE stop > last""")
+def csv_crush_long(spark, d):
+    """One table of all events with quotes, commas and line ends in its cells, cut at true record ends and crushed."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    note = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('"'), kind, F.lit('\nsaid ""'), user, F.lit('"", twice"'))).when(F.col("event_id") % 5 == 1, F.concat(F.lit('"'), kind, F.lit(", "), user, F.lit('"')))
+        .otherwise(F.concat(kind, F.lit('"'), user))
+    )
+    rows = R.table(spark, d, "events").select(F.lit(1).alias("_o"), "ts", "event_id", F.concat(F.col("event_id").cast("string"), F.lit(","), note).alias("row"))
+    head = rows.limit(1).select(F.lit(0).alias("_o"), "ts", "event_id", F.lit("event_id,note").alias("row"))
+    path = fresh(spark, "table")
+    head.unionByName(rows).orderBy("_o", "ts", "event_id").select("row").write.text(path)
+    return longfiles.crush_tables(spark, path, 5, whole_folder=True).select("line_no", "kind", "text")
+
+
 @query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY term")
 def token_counts(spark, d):
     t = R.table(spark, d, "documents").select("doc_id", F.explode(blocks.tokens(F.col("text"))).alias("term"))
@@ -281,32 +334,31 @@ def decompress_docs(spark, d):
 
 
 NESTED = """WITH RECURSIVE b AS (
-  SELECT doc_id AS id, doc_id // 3 AS up, doc_id % 50 = 7 AS round_, text FROM documents WHERE text IS NOT NULL
+  SELECT p_partkey AS id, p_partkey // 3 AS up, p_partkey % 50 = 7 AS round_, p_name AS text FROM part
 ), e AS (
-  SELECT id, text || chr(10) || '  <<ccr:' || sha256('b' || CASE WHEN id = 0 THEN 'none' ELSE up::VARCHAR END) || ',t,1>>' AS content, 0::BIGINT AS hits, 1::BIGINT AS misses FROM b WHERE NOT round_ AND (id = 0 OR up NOT IN (SELECT id FROM b))
-  UNION ALL SELECT b.id, b.text || chr(10) || CASE WHEN starts_with(e.content, '  ') THEN '' ELSE '  ' END || e.content, e.hits + 1, e.misses FROM b JOIN e ON b.up = e.id WHERE NOT b.round_ AND b.id > 0
+  SELECT id, text || chr(10) || '  <<ccr:' || sha256('b' || up) || ',t,1>>' AS content, 0::BIGINT AS hits, 1::BIGINT AS misses FROM b WHERE NOT round_ AND up NOT IN (SELECT id FROM b)
+  UNION ALL SELECT b.id, b.text || chr(10) || CASE WHEN starts_with(e.content, '  ') THEN '' ELSE '  ' END || e.content, e.hits + 1, e.misses FROM b JOIN e ON b.up = e.id WHERE NOT b.round_
 ), r AS (
-  SELECT d.doc_id, CASE WHEN b.id IS NULL THEN 'see <<ccr:' || sha256('b' || d.doc_id) || ',t,1>>' ELSE 'see' || CASE WHEN starts_with(coalesce(e.content, b.text), ' ') THEN '' ELSE ' ' END
-    || coalesce(e.content, b.text || chr(10) || '  <<ccr:' || sha256('b' || CASE WHEN round_ THEN b.id ELSE b.up END) || ',t,1>>') END AS text,
-    CASE WHEN b.id IS NULL THEN 0 ELSE 1 + coalesce(e.hits, 0) END AS hits, CASE WHEN b.id IS NULL THEN 1 ELSE coalesce(e.misses, 0) END AS misses
-  FROM documents d LEFT JOIN b ON b.id = d.doc_id LEFT JOIN e ON e.id = d.doc_id
+  SELECT b.id AS p_partkey, 'see' || CASE WHEN starts_with(coalesce(e.content, b.text), ' ') THEN '' ELSE ' ' END
+    || coalesce(e.content, b.text || chr(10) || '  <<ccr:' || sha256('b' || CASE WHEN round_ THEN b.id ELSE b.up END) || ',t,1>>') AS text, 1 + coalesce(e.hits, 0) AS hits, coalesce(e.misses, 0) AS misses
+  FROM b LEFT JOIN e ON e.id = b.id
 )"""
 
 
 def _nested(spark, d) -> tuple[DataFrame, DataFrame]:
-    """A document with a token for each block; blocks whose tokens name others, up to eight deep, some of them themselves."""
-    docs, name = R.table(spark, d, "documents"), lambda c: F.sha2(F.concat(F.lit("b"), c.cast("string")).cast("binary"), 256)
+    """A text with a token for each part; the parts' blocks name others, up to eight deep, some of them themselves."""
+    part, name = R.table(spark, d, "part"), lambda c: F.sha2(F.concat(F.lit("b"), c.cast("string")).cast("binary"), 256)
     tok = lambda h: F.concat(F.lit("<<ccr:"), h, F.lit(",t,1>>"))
-    up = F.when(F.col("doc_id") % 50 == 7, F.expr("string(doc_id)")).when(F.col("doc_id") == 0, "none").otherwise(F.expr("string(doc_id div 3)"))
-    store = docs.filter("text is not null").select(name(F.col("doc_id")).alias("hash"), F.concat("text", F.lit("\n  "), tok(name(up))).alias("content"), now().alias("created_at"))
-    return docs.select("doc_id", F.concat(F.lit("see "), tok(name(F.col("doc_id")))).alias("text")), store
+    up = F.when(F.col("p_partkey") % 50 == 7, F.col("p_partkey")).otherwise(F.expr("p_partkey div 3"))
+    store = part.select(name(F.col("p_partkey")).alias("hash"), F.concat("p_name", F.lit("\n  "), tok(name(up))).alias("content"), now().alias("created_at"))
+    return part.select("p_partkey", F.concat(F.lit("see "), tok(name(F.col("p_partkey")))).alias("text")), store
 
 
-@query(f"{NESTED} SELECT doc_id, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars FROM r")
+@query(f"{NESTED} SELECT p_partkey, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars FROM r")
 def decompress_nested(spark, d):
     """Blocks within blocks, inflated to the last; what leads into a cycle stays a token."""
     done = api.decompress(*_nested(spark, d), now(), max_passes=None)
-    return done.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))
+    return done.select("p_partkey", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query(f"{NESTED} SELECT (SELECT count(*) FROM b) AS count, (SELECT sum(length(text) + 79)::BIGINT FROM b) AS total_bytes, sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, sum(hits) / sum(hits + misses)::DOUBLE AS hit_ratio FROM r")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,24 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/skein-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that lets shuffle files go when the query that made them has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def no_shuffle_left(spark: SparkSession) -> Iterator[None]:
+    """Writes within leave no shuffle files behind: once the table is there they are of no more use."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table there: cut off from what led to it, and safe from lost executors."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    with no_shuffle_left(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
