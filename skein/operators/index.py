@@ -27,8 +27,8 @@ from skein.functions.lines import let
 from skein.operators.blocks import ASKED, K1, B, tokens
 from skein.sources.shared import no_shuffle_left, written
 
-#: Blocks of a slot on average; partitions by term; terms that go into the scan's filter as they are.
-PER_SLOT, BUCKETS, NAMED = 16, 64, 1000
+#: Blocks of a slot on average; partitions by term, and parts of each by slot; terms that go into the scan's filter as they are.
+PER_SLOT, BUCKETS, SPREAD, NAMED = 16, 64, 8, 1000
 #: Slots of a query that are scored first, at least.
 FIRST = 8
 #: Scores are ranked by nine digits; bounds are compared with more room than that.
@@ -59,13 +59,18 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _write(rows: DataFrame, path: str, buckets: int) -> None:
-    """Rows of postings, by ranges of (bucket, term, slot): a term that most blocks hold is spread over tasks."""
-    by = ["bucket", "term", "slot"]
-    told = rows.select(_bucket(F.col("term"), buckets), "term", "slot", "n", "max_tf", "min_dl", "docs")
-    placed = told.repartitionByRange(*by).sortWithinPartitions(*by)
+def _write(postings: DataFrame, slots: int, path: str, buckets: int) -> None:
+    """(term, hash, tf, dl) as rows of postings. A posting is dealt once, by bucket and part of the slots, so a term that most blocks hold is spread over tasks.
+
+    A group is a slot's blocks at most, so nothing is summed up before that.
+    """
+    slot = F.pmod(F.xxhash64("hash"), F.lit(slots)).cast("int").alias("slot")
+    dealt = postings.select(_bucket(F.col("term"), buckets), "term", slot, "hash", "tf", "dl").withColumn("_part", F.pmod("slot", F.lit(SPREAD))).repartition("bucket", "_part")
+    rows = dealt.groupBy("bucket", "_part", "term", "slot").agg(
+        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("hash", "tf", "dl")).alias("docs")
+    ).drop("_part")
     with no_shuffle_left(rows.sparkSession):
-        placed.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+        rows.sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
 
 
 def _counted(words: Column) -> Column:
@@ -76,14 +81,7 @@ def _counted(words: Column) -> Column:
         ends = lambda h: F.transform(h, lambda at, i: F.struct(F.element_at(w, at).alias("term"), (F.coalesce(F.get(h, i + 1), F.size(w) + 1) - at).alias("tf")))
         return F.when(F.size(w) > 0, let(heads, ends))
 
-    return let(F.array_sort(words), runs)
-
-
-def _slotted(postings: DataFrame) -> DataFrame:
-    """(term, slot, hash, tf, dl) as rows of postings; a group is a slot's blocks at most, so nothing is summed up before it is dealt."""
-    return postings.repartition("term", "slot").groupBy("term", "slot").agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("hash", "tf", "dl")).alias("docs")
-    )
+    return let(F.sort_array(words), runs)
 
 
 def build(store: DataFrame, path: str, buckets: int = BUCKETS, per_slot: int = PER_SLOT) -> Index:
@@ -93,7 +91,7 @@ def build(store: DataFrame, path: str, buckets: int = BUCKETS, per_slot: int = P
     words.select("hash", "dl").write.parquet(f"{path}/docs")
     slots = 1 << max(0, (spark.read.parquet(f"{path}/docs").count() // per_slot).bit_length())
     each = words.select("hash", "dl", F.explode(_counted(F.col("_w"))).alias("_t")).select("hash", "dl", "_t.*")
-    _write(_slotted(each.withColumn("slot", F.pmod(F.xxhash64("hash"), F.lit(slots)).cast("int"))), path, buckets)
+    _write(each, slots, path, buckets)
     return Index(spark, (path,), buckets)
 
 
@@ -110,7 +108,7 @@ def merge(index: Index, path: str, store: DataFrame | None = None, per_slot: int
     slots = 1 << max(0, (index.spark.read.parquet(f"{path}/docs").count() // per_slot).bit_length())
     each = index.postings.select("term", F.explode("docs").alias("d")).select("term", "d.*")
     each = each if store is None else each.join(store.select("hash"), "hash", "left_semi")
-    _write(_slotted(each.withColumn("slot", F.pmod(F.xxhash64("hash"), F.lit(slots)).cast("int"))), path, index.buckets)
+    _write(each, slots, path, index.buckets)
     return Index(index.spark, (path,), index.buckets)
 
 
@@ -158,10 +156,13 @@ def search(index: Index, queries: DataFrame, top: int = 1, live: DataFrame | Non
     bounds = written(bounds.withColumn("_r", F.row_number().over(by_bound)), "bounds")
 
     def scored(slots: DataFrame) -> DataFrame:
-        rows = with_terms(postings.select("term", "segment", "slot", "docs")).join(slots.select("query_id", "segment", "slot"), ["query_id", "segment", "slot"], "left_semi")
-        hits = rows.select("query_id", "weight", "avgdl", F.explode("docs").alias("d"))
+        """Postings are dealt by slot, once for all queries that look at it; all hits of a block then are in one task already."""
+        looked = slots.groupBy("segment", "slot").agg(F.collect_list("query_id").alias("_queries"))
+        dealt = postings.select("term", "segment", "slot", "docs").repartition("segment", "slot").join(looked, ["segment", "slot"])
+        rows = with_terms(dealt).filter(F.array_contains("_queries", F.col("query_id")))
+        hits = rows.select("segment", "slot", "query_id", "weight", "avgdl", F.explode("docs").alias("d"))
         hits = hits if live is None else hits.withColumn("hash", F.col("d.hash")).join(live.select("hash"), "hash", "left_semi")
-        return hits.groupBy("query_id", F.col("d.hash").alias("hash")).agg(F.sum(F.col("weight") * _part(F.col("d.tf"), F.col("d.dl"))).alias("score"))
+        return hits.groupBy("segment", "slot", "query_id", F.col("d.hash").alias("hash")).agg(F.sum(F.col("weight") * _part(F.col("d.tf"), F.col("d.dl"))).alias("score")).drop("segment", "slot")
 
     first = written(scored(bounds.filter(F.col("_r") <= max(FIRST, top))), "scored")
     floor = first.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("_r") == top).select("query_id", (F.col("score") - ROOM).alias("floor"))

@@ -17,6 +17,7 @@ from skein.operators.tabular import crush_table
 from skein.operators.text import collapse_blank_lines, compress_text
 from skein.plans import rendered as R
 from skein.sources.shared import fresh
+from skein.streaming.store import lives, snapshot
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -185,6 +186,38 @@ def retrieve_join(spark, d):
     return blocks.retrieve(_asked(spark, d), _blocks(spark, d)).select("doc_id", "hit", F.length("content").cast("bigint").alias("size"))
 
 
+#: Seconds that a block of the stream's queries lives.
+DAY = 86_400
+SQL_LIVES = f"""WITH e AS (SELECT sha256(event_type || ' of ' || user_id) AS hash, event_type || ' of ' || user_id AS content, date_trunc('second', ts) AS ts FROM events), o AS (
+  SELECT *, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM e WINDOW w AS (PARTITION BY hash ORDER BY ts)
+), m AS (SELECT max(ts) AS now FROM e)"""
+
+
+def _streamed(spark, d) -> DataFrame:
+    """All events as a stream of blocks, run to its end; what it told is a table in the shared folder."""
+    table, path = R.table(spark, d, "events"), fresh(spark, "lives")
+    stream = spark.readStream.schema(table.schema).parquet(f"{d}/events.parquet*")
+    content = F.concat("event_type", F.lit(" of "), F.col("user_id").cast("string"))
+    rows = stream.select(content.alias("content"), F.date_trunc("second", F.col("ts")).cast("timestamp").alias("created_at"))
+    run = lives(rows, ttl=DAY).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-progress").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("hash string, event string, at timestamp, content string").parquet(path)
+
+
+@query(f"""{SQL_LIVES} SELECT hash, 'stored' AS event, epoch(ts)::BIGINT AS at_second, content FROM o WHERE before IS NULL OR ts - before > INTERVAL {DAY} SECOND
+UNION ALL SELECT hash, 'renewed', epoch(ts)::BIGINT, NULL FROM o WHERE ts - before <= INTERVAL {DAY} SECOND
+UNION ALL SELECT hash, 'expired', epoch(ts)::BIGINT + {DAY}, NULL FROM o, m WHERE coalesce(after, now) - ts > INTERVAL {DAY} SECOND""")
+def stream_lives(spark, d):
+    """Blocks of a stream are stored, renewed by storing again, and expire."""
+    return _streamed(spark, d).select("hash", "event", F.unix_timestamp("at").alias("at_second"), "content")
+
+
+@query(f"""{SQL_LIVES} SELECT hash, any_value(content) AS content, epoch(max(ts))::BIGINT AS created FROM e, m GROUP BY hash, now HAVING now - max(ts) <= INTERVAL {DAY} SECOND""")
+def stream_snapshot(spark, d):
+    """The store that the stream leaves."""
+    return snapshot(_streamed(spark, d)).select("hash", "content", F.unix_timestamp("created_at").alias("created"))
+
+
 def _asked(spark, d):
     miss = F.concat(F.lit("miss"), F.col("doc_id").cast("string"))
     return R.table(spark, d, "documents").select("doc_id", blocks.content_hash(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(miss)).alias("hash"))
@@ -210,11 +243,12 @@ def store_stats_saved(spark, d):
     return api.stats(every, log, now(), stored=blocks.new_blocks(half, every))
 
 
-@query(f"WITH {STORE} SELECT 0::BIGINT AS count, 0::BIGINT AS total_bytes, 0::BIGINT AS hits, 0::BIGINT AS misses, 0.0::DOUBLE AS hit_ratio, 0::BIGINT AS saved_bytes")
+@query(f"WITH {STORE}, l AS (SELECT DISTINCT content FROM store WHERE doc_id % 2 = 0 AND content IS NOT NULL) SELECT count(*) AS count, coalesce(sum(length(content)), 0)::BIGINT AS total_bytes, 0::BIGINT AS hits, 0::BIGINT AS misses, 0.0::DOUBLE AS hit_ratio, coalesce(sum(greatest(0, length(content) - 80)), 0)::BIGINT AS saved_bytes FROM l")
 def store_clear(spark, d):
-    """An emptied store with counters that begin anew."""
-    left = api.clear(_blocks(spark, d))
-    return api.stats(left, spark.createDataFrame([], "hit boolean"), now(), stored=left)
+    """A store that was emptied and then filled with half of the documents: all of them are new again, and counters begin anew."""
+    left, half = api.clear(_blocks(spark, d)), blocks.make_blocks(R.store(spark, d).filter("doc_id % 2 = 0"))
+    log = spark.createDataFrame([], "hit boolean")
+    return api.stats(blocks.upsert(left, half), log, now(), ttl=10**9, stored=blocks.new_blocks(left, half))
 
 
 LONG = "l AS (SELECT replace(strftime(ts, '%Y-%m-%d %H:%M:%S'), '-01 ', '-01 WARN ') || ' ' || event_type || CASE WHEN event_id % 7 = 0 THEN chr(11) || 'failed ' ELSE ' ' END || event_id AS two, ts, event_id FROM events), s AS (SELECT unnest(string_split(two, chr(11))) AS line, generate_subscripts(string_split(two, chr(11)), 1) AS part, ts, event_id FROM l), n AS (SELECT line, row_number() OVER (ORDER BY ts, event_id, part) AS pos, count(*) OVER () AS n FROM s)"
@@ -333,6 +367,17 @@ def decompress_docs(spark, d):
     return api.decompress(docs, _blocks(spark, d), now(), ttl=10**9)
 
 
+@query(f"""{SQL_BEST}, t AS (SELECT sha256(text) AS hash, max(doc_id) AS last FROM documents WHERE text IS NOT NULL GROUP BY 1), one AS (SELECT DISTINCT item_id FROM s JOIN t ON t.last = s.doc_id WHERE score > 0)
+SELECT item_id, CASE WHEN item_id % 3 = 0 THEN item_id IN (SELECT item_id FROM one) END AS hit, CAST(NULL AS BOOLEAN) AS hit_in_none FROM benchmark""")
+def retrieve_uncounted(spark, d):
+    """Searches without a word, and all searches in an empty store, count as neither hit nor miss."""
+    query = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, "!? --").otherwise("")
+    asked, store = R.table(spark, d, "benchmark").select("item_id", query.alias("query")), _blocks(spark, d)
+    full = api.retrieve(asked, store, now(), ttl=10**9).select("item_id", "hit")
+    none = api.retrieve(asked, api.clear(store), now(), ttl=10**9).select("item_id", F.col("hit").alias("hit_in_none"))
+    return full.join(none, "item_id")
+
+
 NESTED = """WITH RECURSIVE b AS (
   SELECT p_partkey AS id, p_partkey // 3 AS up, p_partkey % 50 = 7 AS round_, p_name AS text FROM part
 ), e AS (
@@ -453,6 +498,36 @@ def json_formats(spark, d):
     return x.select("user_id", *[crush_json(F.col("text"), 5, f).alias(f.replace("-", "_")) for f in ("json", "csv-schema", "markdown-kv")])
 
 
+@query("""SELECT p_partkey, '{' || chr(10) || '  "name": "' || p_name || '",' || chr(10) || '  "in": {' || chr(10) || '    "items": {' || chr(10) || '      "__type__": "truncated_list",' || chr(10) || '      "head": [],' || chr(10) || '      "tail": [],' || chr(10)
+  || '      "anomalies": [' || CASE WHEN p_size > 2 THEN chr(10) || '        {' || chr(10) || '          "original_index": 2,' || chr(10) || '          "value": "fatal"' || chr(10) || '        }' || chr(10) || '      ' ELSE '' END || '],' || chr(10) || '      "omitted_count": ' || p_size || chr(10) || '    }' || chr(10) || '  }' || chr(10) || '}' AS every_list,
+  '{"name":' || chr(10) || ' no JSON, ' || p_name AS fallback FROM part""")
+def json_nested(spark, d):
+    """With K = 0 each list becomes a node, in objects too; what isn't JSON is compressed as prose."""
+    numbers = F.slice(F.sequence(F.lit(0), F.col("p_size").cast("int")), F.lit(1), F.col("p_size").cast("int"))
+    whole = F.array_join(F.transform(numbers, lambda i: F.when(i == 2, '"fatal"').otherwise(i.cast("string"))), ", ")
+    text = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "in": {"items": ['), whole, F.lit("]}}"))
+    prose = F.concat(F.lit('{"name":  \n no   JSON, '), F.regexp_replace("p_name", " ", "   "), F.lit("\t"))
+    return R.table(spark, d, "part").select("p_partkey", crush_json(text, 0).alias("every_list"), crush_json(prose, 0).alias("fallback"))
+
+
+@query("""WITH c AS (SELECT p_partkey, '    name = ''' || p_name || '''' || chr(10) || '    return name * ' || p_size AS py, ' const s = ''{' || p_name || '}''; return s.repeat(' || p_size || '); ' AS js FROM part)
+SELECT p_partkey, 'def f(x):' || chr(10) || '    <<ccr:' || sha256(py) || ',python,' || length(py) || '>>' || chr(10) AS sniffed, 'def f(: function f(x) {<<ccr:' || sha256(js) || ',python,' || length(js) || '>>}' || chr(10) AS broken FROM c""")
+def code_sniffed(spark, d):
+    """Python that no name tells, and what is named Python but can't be parsed: the latter is cut at its braces."""
+    c = R.code(spark, d)
+    return c.select("p_partkey", compress_code(F.col("py"))["skeleton"].alias("sniffed"), compress_code(F.concat(F.lit("def f(: "), "js"), F.lit("python"))["skeleton"].alias("broken"))
+
+
+@query("SELECT p_partkey, 'text' AS route, 'made [DATE]' || chr(10) || 'by [UUID] of ' || p_name AS compressed FROM part")
+def compress_aligned(spark, d):
+    """Volatile values are replaced before a document is routed and compressed."""
+    h = F.md5(F.col("p_partkey").cast("string").cast("binary"))
+    uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    text = F.concat(F.lit("made   2024-02-30  \nby "), uuid, F.lit("   of "), "p_name", F.lit("\n"))
+    rows = R.table(spark, d, "part").select("p_partkey", F.lit(None).cast("string").alias("filename"), F.lit(None).cast("string").alias("mime_type"), text.alias("text"))
+    return router.compress(rows, aligned=True).select("p_partkey", "route", "compressed")
+
+
 SQL_QUOTED = """WITH r AS (SELECT doc_id, i, i || ',"a ""q"", b' || chr(10) || 'err' || CASE WHEN i = 8 THEN 'or' ELSE '' END || '"' AS row FROM documents, range(1, 16) t(i))
 SELECT doc_id, 'id,note' || chr(10) || string_agg(row, chr(10) ORDER BY i) FILTER (WHERE i <= 3) || chr(10) || '... [omitted 4 rows] ...,' || chr(10) || '[Row 9],' || max(row) FILTER (WHERE i = 8) || chr(10)
   || '... [omitted 4 rows] ...,' || chr(10) || string_agg(row, chr(10) ORDER BY i) FILTER (WHERE i > 12) || chr(10) AS compressed FROM r GROUP BY doc_id"""

@@ -1,14 +1,78 @@
-"""The store over a stream of blocks: the first sight of each, forgotten after its time."""
+"""The store over a stream of blocks: when each comes to life, lives on and expires."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from skein.functions.rows import col
 from skein.operators.blocks import TTL, content_hash
 
+#: The state of ``lives`` is kept by this store, which knows timers.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def first_sights(stream: DataFrame, content: str = "content", created_at: str = "created_at", ttl: int = TTL) -> DataFrame:
-    """Blocks of a stream, each once while it lives; the watermark bounds the state."""
-    rows = stream.select(content_hash(F.col(content)).alias("hash"), F.col(content).alias("content"), F.col(created_at).alias("created_at"))
+    """Blocks of a stream, each once in ``ttl`` seconds from its first sight; the watermark bounds the state. Storing again doesn't lengthen that; see ``lives``."""
+    rows = stream.select(content_hash(col(content)).alias("hash"), col(content).alias("content"), col(created_at).alias("created_at"))
     return rows.withWatermark("created_at", f"{ttl} seconds").dropDuplicatesWithinWatermark(["hash"])
+
+
+class _Life(StatefulProcessor):
+    """Of a living block the time at which it was last stored, and a timer for its end; nothing of a dead one."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = 1000 * ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0] if self.last.exists() else None
+        last, out = before, []
+        for ms, text in sorted(((int(m), t) for part in rows for m, t in zip(part["ms"], part["content"], strict=True))):
+            if last is not None and ms - last > self.ttl:
+                out.append((*key, "expired", last + self.ttl, None))
+                last = None
+            out.append((*key, "stored" if last is None else "renewed", ms, text if last is None else None))
+            last = ms if last is None else max(last, ms)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.ttl + 1)
+            self.handle.registerTimer(last + self.ttl + 1)  # a block of just its time lives
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=["hash", "event", "ms", "content"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame([(*key, "expired", last + self.ttl, None)], columns=["hash", "event", "ms", "content"])
+
+    def close(self) -> None:
+        pass
+
+
+def lives(stream: DataFrame, content: str = "content", created_at: str = "created_at", ttl: int = TTL, late: str = "0 seconds") -> DataFrame:
+    """hash, event (stored, renewed, expired), at and content (of stored): the lives of the blocks of a stream.
+
+    A block lives until ``ttl`` seconds after it was last stored; storing it again while it lives
+    renews it, later it is stored anew. Its end is told once the watermark, ``late`` behind the
+    latest time, has passed it; then its state goes. Rows of a batch may come in any order; null
+    contents and times are left out. Times are kept by the millisecond.
+    """
+    stream.sparkSession.conf.set(PROVIDER, ROCKS)
+    rows = stream.filter(col(content).isNotNull() & col(created_at).isNotNull()).select(content_hash(col(content)).alias("hash"), col(content).alias("content"), col(created_at).alias("created_at"))
+    told = rows.withWatermark("created_at", late).withColumn("ms", F.unix_millis("created_at"))
+    made = told.groupBy("hash").transformWithStateInPandas(statefulProcessor=_Life(ttl), outputStructType="hash string, event string, ms long, content string", outputMode="Append", timeMode="EventTime")
+    return made.select("hash", "event", F.timestamp_millis("ms").alias("at"), "content")
+
+
+def snapshot(events: DataFrame) -> DataFrame:
+    """The store (hash, content, created_at, seq) that a table of such events leaves: blocks whose last event isn't their end."""
+    alive = events.groupBy("hash").agg(F.max_by("event", F.struct("at", F.col("event") == "expired")).alias("_event"), F.max(F.when(F.col("event") != "expired", F.col("at"))).alias("created_at"), F.max_by("content", F.when(F.col("content").isNotNull(), F.col("at"))).alias("content"))
+    return alive.filter(F.col("_event") != "expired").select("hash", "content", "created_at", F.unix_micros("created_at").alias("seq"))

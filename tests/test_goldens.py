@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import shutil
 import sys
 import time
@@ -17,7 +18,8 @@ from skein.operators.logs import crush_log
 from skein.operators.tabular import crush_rows
 from skein.operators.text import compress_text
 from skein.sources import corpus
-from skein.streaming.store import first_sights
+from skein.streaming.store import first_sights, lives
+from skein.streaming.store import snapshot as blocks_left
 
 CORPUS = "filename string, mime_type string, text string"
 
@@ -257,3 +259,25 @@ def test_first_sights(spark, tmp_path):
     run = first_sights(stream).writeStream.format("memory").queryName("sights").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted(r["content"] for r in spark.table("sights").collect()) == ["a", "b"]
+
+
+def test_lives(spark, tmp_path):
+    """A block that is stored again while it lives outlives its first end; each end is told, in time or later."""
+    batches = [[("a", 0), ("b", 0), (None, 3), ("z", None)], [("a", 250), ("b", 200), ("b", 100)], [("c", 560), ("a", 540)], [("b", 900), ("c", 1000)], [("d", 2000)], [("d", 2300)]]
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "content string, s int").coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        for f in (tmp_path / f"w{i}").glob("part-*"):
+            f.rename(tmp_path / "in" / f"{i}.parquet")
+            os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema("content string, s int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("created_at", F.timestamp_seconds(F.col("s") + 5000))  # what isn't after the watermark, at first 0, is late
+    run = lives(stream).writeStream.format("memory").queryName("lives").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination(200)
+    told = spark.table("lives")
+    names = {r["hash"]: r["content"] for r in told.filter("content is not null").collect()}
+    got = sorted((names[r["hash"]], int(r["at"].timestamp()) - 5000, r["event"]) for r in told.collect())
+    assert got == sorted([
+        ("a", 0, "stored"), ("a", 250, "renewed"), ("a", 540, "renewed"), ("a", 840, "expired"), ("b", 0, "stored"), ("b", 100, "renewed"), ("b", 200, "renewed"), ("b", 500, "expired"),
+        ("b", 900, "stored"), ("b", 1200, "expired"), ("c", 560, "stored"), ("c", 860, "expired"), ("c", 1000, "stored"), ("c", 1300, "expired"), ("d", 2000, "stored"), ("d", 2300, "renewed"),
+    ])
+    assert [(r["content"], r["created_at"].timestamp()) for r in blocks_left(told).collect()] == [("d", 7300.0)]
