@@ -16,6 +16,7 @@ from skein.operators.logs import crush_log, islands
 from skein.operators.tabular import crush_table
 from skein.operators.text import collapse_blank_lines, compress_text
 from skein.plans import rendered as R
+from skein.sources import corpus
 from skein.sources.shared import fresh
 from skein.streaming.store import lives, snapshot
 
@@ -181,6 +182,15 @@ def ttl_live(spark, d):
     return blocks.live(_blocks(spark, d), now()).select("hash")
 
 
+@query(f"WITH {STORE} SELECT hash, epoch(created_at + doc_id * INTERVAL 1 HOUR)::BIGINT AS created FROM (SELECT sha256(content) AS hash, arg_max(doc_id, created_at) AS doc_id, max(created_at) AS created_at FROM store WHERE content IS NOT NULL GROUP BY 1) WHERE created_at + doc_id * INTERVAL 1 HOUR >= {NOW_SQL} + INTERVAL 200 HOUR - INTERVAL 100 HOUR")
+def store_days(spark, d):
+    """The live blocks of a snapshot on disk that holds a block an hour; older days aren't scanned."""
+    rows = R.store(spark, d).withColumn("created_at", F.expr("created_at + doc_id * interval 1 hour"))
+    path = fresh(spark, "store")
+    corpus.write_blocks(blocks.make_blocks(rows), path)
+    return corpus.read_blocks(spark, path, now() + F.expr("interval 200 hours"), 360_000).select("hash", F.unix_timestamp("created_at").alias("created"))
+
+
 @query(f"WITH {STORE}, q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('miss' || doc_id) END AS hash FROM documents) SELECT doc_id, blocks.hash IS NOT NULL AS hit, length(content)::BIGINT AS size FROM q LEFT JOIN blocks USING (hash)")
 def retrieve_join(spark, d):
     return blocks.retrieve(_asked(spark, d), _blocks(spark, d)).select("doc_id", "hit", F.length("content").cast("bigint").alias("size"))

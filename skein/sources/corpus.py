@@ -7,10 +7,12 @@ import subprocess
 import sys
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.operators.blocks import TTL, live
+
 SCHEMA = "filename string, mime_type string, text string"
 #: Signs that a command without a shell may not hold. Fixed values.
 SHELL_SIGNS = ("|", ";", "&&", "||", ">", "<", "&", "$", "`")
@@ -24,15 +26,20 @@ def _decoded(content: pa.Array) -> pa.Array:
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     """A row for each file: base name and text; bytes that aren't UTF-8 go, line ends become line feeds.
 
-    An empty file has no row, as Spark lists none.
-
-    Files that are UTF-8 are decoded by expressions; Python meets the others alone.
+    Files that are UTF-8 are decoded by expressions; Python meets the others alone. Spark plans no
+    scan of an empty file, so those are the files of its list that the scan doesn't name.
     """
-    raw = spark.read.format("binaryFile").load(list(paths)).select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "content")
+    whole = spark.read.format("binaryFile").load(list(paths))
+    raw = whole.select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "content")
     good = F.is_valid_utf8(F.col("content").cast("string"))
     own = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
     text = F.when(good, own).otherwise(_decoded(F.when(~good, F.col("content"))))
-    return raw.select("filename", F.lit(None).cast("string").alias("mime_type"), text.alias("text"))
+    mime = F.lit(None).cast("string").alias("mime_type")
+    path = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/").alias("_path")
+    listed = spark.createDataFrame([(f,) for f in whole.inputFiles()], "_path string").select(path("_path"))
+    empty = listed.join(whole.select(path("_metadata.file_path")), "_path", "left_anti")
+    name = F.url_decode(F.replace(F.regexp_extract("_path", "([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
+    return raw.select("filename", mime, text.alias("text")).unionByName(empty.select(name.alias("filename"), mime, F.lit("").alias("text")))
 
 
 def read_stdin(spark: SparkSession, stream=None) -> DataFrame:
@@ -48,13 +55,38 @@ def run_command(spark: SparkSession, command: str | list[str], shell: bool = Fal
     return spark.createDataFrame([("command.log", None, done.stdout)], SCHEMA), done.returncode
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+#: Columns of a snapshot; the day of created_at (UTC) is its partition.
+BLOCKS = "hash string, content string, created_at timestamp, seq long"
+
+
+def read_blocks(spark: SparkSession, path: str, now: Column | None = None, ttl: int = TTL) -> DataFrame:
+    """A snapshot of the store; with ``now`` its live blocks alone, of which only the days that may hold some are scanned."""
+    rows = spark.read.schema(f"{BLOCKS}, day date").parquet(path)
+    found = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+    odd = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if found and found.get(f.name) != f.dataType]
+    if odd:
+        raise ValueError(f"{path} is no snapshot of a store: it has no {', '.join(odd)}")
+    if now is not None:
+        since = now - F.make_dt_interval(secs=F.lit(ttl))
+        rows = live(rows.filter(F.col("day") >= _day(since)), now, ttl)
+    return rows.drop("day")
+
+
+def look_up(spark: SparkSession, path: str, *hashes: str) -> DataFrame:
+    """The blocks of a snapshot that these hashes name; files are sorted by hash and have Bloom filters of it, so few row groups are read."""
+    return read_blocks(spark, path).filter(F.col("hash").isin(*hashes))
+
+
+def _day(at: Column) -> Column:
+    """The day in UTC, whatever the session's zone is."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(at) / 86_400).cast("int"))
 
 
 def write_blocks(store: DataFrame, path: str) -> None:
-    """A snapshot goes to a folder of its own; an old one is never written over."""
-    store.write.mode("error").parquet(path)
+    """A snapshot goes to a folder of its own, a folder for each day in it; an old one is never written over."""
+    rows = store.select("hash", "content", F.col("created_at").cast("timestamp").alias("created_at"), F.col("seq").cast("long").alias("seq")).withColumn("day", _day(F.col("created_at")))
+    placed = rows.repartitionByRange("day", "hash").sortWithinPartitions("day", "hash")
+    placed.write.mode("error").partitionBy("day").option("parquet.bloom.filter.enabled#hash", "true").parquet(path)
 
 
 def write_text(df: DataFrame, path: str, column: str = "compressed") -> None:

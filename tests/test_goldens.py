@@ -177,9 +177,9 @@ def test_router_keeps_columns(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("é\r\nb\rc\ufffd".encode())
     (tmp_path / "b.log").write_bytes(b"x\xff\xfey\r\n\xe9")
-    (tmp_path / "c.py").write_bytes(b"")
+    (tmp_path / "c +é%20.py").write_bytes(b"")
     got = {r["filename"]: r["text"] for r in corpus.read_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "é\nb\nc\ufffd", "b.log": "xy\n"}  # an empty file has no row
+    assert got == {"a.txt": "é\nb\nc\ufffd", "b.log": "xy\n", "c +é%20.py": ""}
     assert [tuple(r) for r in corpus.read_stdin(spark, io.StringIO("a\nb")).collect()] == [(None, None, "a\nb")]
     store = blocks.make_blocks(spark.createDataFrame([("x",)], "content string").withColumn("created_at", at(5)))
     corpus.write_blocks(store, f"{tmp_path}/store")
@@ -188,6 +188,26 @@ def test_files(spark, tmp_path):
         corpus.write_blocks(store, f"{tmp_path}/store")
 
 
+def test_snapshot_layout(spark, tmp_path):
+    """Days that hold no live block aren't scanned, nor row groups that can't hold a hash."""
+    times = [0, 86_399, 86_400, 200_000, 259_199, 259_200, -1]
+    store = blocks.make_blocks(spark.createDataFrame([(f"block {t}", t) for t in times], "content string, t long").withColumn("created_at", F.timestamp_seconds("t")))
+    corpus.write_blocks(store, f"{tmp_path}/s")
+    assert sorted(x.name for x in (tmp_path / "s").iterdir() if x.is_dir()) == [f"day={d}" for d in ("1969-12-31", "1970-01-01", "1970-01-02", "1970-01-03", "1970-01-04")]
+    assert sorted(map(str, corpus.read_blocks(spark, f"{tmp_path}/s").collect())) == sorted(map(str, store.collect()))
+    for now in (86_500, 259_200, 259_500, 259_501, 10**7):
+        got = corpus.read_blocks(spark, f"{tmp_path}/s", at(now))
+        assert {r["content"] for r in got.collect()} == {f"block {t}" for t in times if t >= now - 300}
+    plan = corpus.read_blocks(spark, f"{tmp_path}/s", at(259_500))._jdf.queryExecution().executedPlan().toString()
+    assert "(day" in plan[plan.index("PartitionFilters") : plan.index("PushedFilters")] and "1970-01-04" in plan
+    one_ = store.first()
+    found = corpus.look_up(spark, f"{tmp_path}/s", one_["hash"], "f" * 64)
+    assert [r["content"] for r in found.collect()] == [one_["content"]] and "In(hash" in found._jdf.queryExecution().executedPlan().toString()
+    spark.range(3).write.parquet(f"{tmp_path}/other")
+    with pytest.raises(ValueError, match="no snapshot"):
+        corpus.read_blocks(spark, f"{tmp_path}/other")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a",), (None,), ("c d",)], "compressed string").coalesce(1)
     corpus.write_text(df, f"{tmp_path}/out")
