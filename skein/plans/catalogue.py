@@ -9,7 +9,7 @@ from skein import api
 from skein.functions.lines import lines
 from skein.functions.predicates import log_anomaly, value_anomaly
 from skein.operators import blocks, index, longfiles, router
-from skein.operators.align import align
+from skein.operators.align import align, restore, side_table
 from skein.operators.code import compress_code
 from skein.operators.jsonlists import crush_json, truncate_list
 from skein.operators.logs import crush_log, islands
@@ -105,6 +105,16 @@ def align_commit_docs(spark, d):
     return R.table(spark, d, "documents").select("doc_id", align(text).alias("aligned"))
 
 
+@query("""WITH t AS (SELECT event_id, md5(event_id::VARCHAR) AS h, sha1(event_id::VARCHAR) AS c, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s FROM events)
+SELECT event_id, concat_ws(' ', 'at', s, s[1:10], s[12:19], concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]), c, 'end') AS text, 4::BIGINT AS n_values FROM t""")
+def align_round_trip(spark, d):
+    """Aligned texts with their values put back from a side table."""
+    rows = R.aligned(spark, d)
+    side = side_table(rows, "event_id")
+    back = restore(rows.withColumn("text", align(F.col("text"))), side, "event_id")
+    return back.join(side.groupBy(F.col("key").alias("event_id")).agg(F.count("*").alias("n_values")), "event_id")
+
+
 PROSE = """p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(x, ' ', '  ') ELSE x END AS text FROM (SELECT doc_id, replace(text, chr(10), '  ' || repeat(chr(10), (doc_id % 3 + 1)::INT)) AS x FROM documents)), l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p), r AS (SELECT doc_id, i, rtrim(raw) AS t FROM l), k AS (
   SELECT doc_id, i, t, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS before, max(i) OVER (PARTITION BY doc_id) AS n FROM r), s AS (SELECT * FROM k WHERE NOT (i = n AND t = '') AND (t <> '' OR before IS NULL OR before <> ''))"""

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import shutil
 import sys
 import time
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein import api
 from skein.operators import blocks, code, router
-from skein.operators.align import align
+from skein.operators.align import align, kept, put_back, restore, side_table
 from skein.operators.jsonlists import crush_json, render
 from skein.operators.logs import crush_log
 from skein.operators.tabular import crush_rows
@@ -143,6 +144,24 @@ def test_align(spark):
     assert got == "([UUID]) from [DATE] to [DATETIME],x 7:00:00 [TIME] [COMMIT_HASH] é2024-01-02 [DATETIME]"
 
 
+def test_align_and_put_back(spark):
+    """Any mixture of values, look-alikes and what stands between comes back; so does code that was aligned, compressed and stored."""
+    rnd = random.Random(8)
+    some = ["2024-01-02", "03:04:05", "03:04:05.678", "2024-01-02T03:04:05Z", "2024-01-02  03:04:05+0100", "0f8fad5b-d9cb-469f-a165-70867728950e", "ab" * 20, "ab" * 32, "[DATE]", "[UUID]", "[", "]", "[TIME", "é", "x", "-", "_", " ", "\n", ":", "T", "1"]
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 14))) for _ in range(400)] + [None, "", "[DATE][DATE]2024-01-02"]
+    df = spark.createDataFrame(list(enumerate(texts)), "`i.d` int, text string")
+    got = df.select("text", align(F.col("text")).alias("a"), put_back(align(F.col("text")), kept(F.col("text"))).alias("back")).collect()
+    assert all(r["back"] == (r["text"] or "") for r in got) and sum(r["a"] != r["text"] for r in got) > 200
+    side = side_table(df, "i.d")
+    back = restore(df.withColumn("text", align(F.col("text"))), side, "i.d")
+    assert {r["i.d"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    source = "def f():\n    day = '2024-01-02'\n    return day, '[DATE]', '03:04:05'\n"
+    docs = spark.createDataFrame([(1, "f.py", None, source), (2, "f.py", None, "x = '2024-01-02'\n")], "id int, " + CORPUS)
+    done = router.compress(docs, aligned=True)
+    whole = api.decompress(done.select("id", F.col("compressed").alias("text")), api.store(done, at(1)), at(1))
+    assert {r["id"]: r["text"] for r in restore(whole, side_table(docs, "id"), "id").collect()} == {1: source, 2: "x = '2024-01-02'\n"}
+
+
 def test_routes(spark):
     rows = [
         ("test.json", None, "{}", "json"), (None, None, "123", "json"), (None, None, " NaN ", "json"), (".json", None, "abc", "text"), ("x.tar.PY", None, "a", "code"), ("a/b.c", "application/x-log", "a", "log"),
