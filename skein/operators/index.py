@@ -4,11 +4,12 @@ A block's content never changes, as its hash names it: its postings are written
 writes a segment of blocks, ``update`` one of the blocks that an index doesn't hold yet, ``merge``
 makes one segment of several. Which blocks live is a snapshot's matter and asked when searching.
 
-Blocks are dealt to slots by a hash. A row of postings is a term's blocks in one slot: their number,
-the largest tf and the smallest length in it, and (hash, tf, length) of each. From largest tf and
-smallest length follows the most that the term can add to any block of the slot, whatever the mean
-length is, so slots are ruled out without reading their blocks. Rows are partitioned by a bucket of
-the term and sorted by term, so a search reads the buckets and the terms that it asks for.
+Blocks are dealt to slots by a hash. A posting is (term, slot, hash, tf, length of the block); beside
+the postings there is a row of bounds for each term and slot: the number of blocks, the largest tf
+and the smallest length. From these follows the most that the term can add to any block of the slot,
+whatever the mean length is, so slots are ruled out without looking at their blocks. Both tables are
+partitioned by a bucket of the term and sorted by term and slot, so a search reads the buckets and
+the terms that it asks for.
 
 Search: 1. the bounds of a query's terms are summed for each slot. 2. The most promising slots are
 scored exactly; their ``top``-th score is a floor. 3. Other slots are scored only if their bound
@@ -37,7 +38,7 @@ ROOM = 1e-7
 
 @dataclass
 class Index:
-    """postings (bucket, term, segment, slot, n, max_tf, min_dl, docs) and docs (hash, dl) of all segments."""
+    """postings (bucket, term, segment, slot, hash, tf, dl), bounds (bucket, term, segment, slot, n, max_tf, min_dl) and docs (hash, dl) of all segments."""
 
     spark: SparkSession
     paths: tuple[str, ...]
@@ -46,9 +47,15 @@ class Index:
     @property
     def postings(self) -> DataFrame:
         kind = self.docs.schema["hash"].dataType.simpleString()  # an empty segment has no file to tell it
-        schema = f"bucket int, term string, slot int, n int, max_tf int, min_dl int, docs array<struct<hash:{kind},tf:int,dl:int>>"
-        each = [self.spark.read.schema(schema).parquet(f"{p}/postings").withColumn("segment", F.lit(i)) for i, p in enumerate(self.paths)]
-        return reduce(DataFrame.unionByName, each)
+        return self._table("postings", f"hash {kind}, tf int, dl int")
+
+    @property
+    def bounds(self) -> DataFrame:
+        return self._table("bounds", "n long, max_tf int, min_dl int")
+
+    def _table(self, name: str, more: str) -> DataFrame:
+        schema = f"bucket int, term string, slot int, {more}"
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{p}/{name}").withColumn("segment", F.lit(i)) for i, p in enumerate(self.paths)])
 
     @property
     def docs(self) -> DataFrame:
@@ -60,17 +67,21 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def _write(postings: DataFrame, slots: int, path: str, buckets: int) -> None:
-    """(term, hash, tf, dl) as rows of postings. A posting is dealt once, by bucket and part of the slots, so a term that most blocks hold is spread over tasks.
+    """(term, hash, tf, dl) as a segment's postings and bounds.
 
-    A group is a slot's blocks at most, so nothing is summed up before that.
+    A posting is dealt once, by bucket and part of the slots, so a term that most blocks hold is
+    spread over tasks. Bounds are summed up from the sorted postings.
     """
+    spark = postings.sparkSession
     slot = F.pmod(F.xxhash64("hash"), F.lit(slots)).cast("int").alias("slot")
-    dealt = postings.select(_bucket(F.col("term"), buckets), "term", slot, "hash", "tf", "dl").withColumn("_part", F.pmod("slot", F.lit(SPREAD))).repartition("bucket", "_part")
-    rows = dealt.groupBy("bucket", "_part", "term", "slot").agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("hash", "tf", "dl")).alias("docs")
-    ).drop("_part")
-    with no_shuffle_left(rows.sparkSession):
-        rows.sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    put = lambda rows, name: rows.sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/{name}")
+    part = F.pmod("slot", F.lit(SPREAD))
+    with no_shuffle_left(spark):
+        told = postings.select(_bucket(F.col("term"), buckets), "term", slot, "hash", "tf", "dl")
+        put(told.repartition("bucket", part), "postings")
+        read = spark.read.schema("bucket int, term string, slot int, tf int, dl int").parquet(f"{path}/postings")
+        bounds = read.groupBy("bucket", "term", "slot").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+        put(bounds.repartition("bucket", part), "bounds")
 
 
 def _counted(words: Column) -> Column:
@@ -106,24 +117,22 @@ def merge(index: Index, path: str, store: DataFrame | None = None, per_slot: int
     docs = index.docs if store is None else index.docs.join(store.select("hash"), "hash", "left_semi")
     docs.write.parquet(f"{path}/docs")
     slots = 1 << max(0, (index.spark.read.parquet(f"{path}/docs").count() // per_slot).bit_length())
-    each = index.postings.select("term", F.explode("docs").alias("d")).select("term", "d.*")
+    each = index.postings.select("term", "hash", "tf", "dl")
     each = each if store is None else each.join(store.select("hash"), "hash", "left_semi")
     _write(each, slots, path, index.buckets)
     return Index(index.spark, (path,), index.buckets)
 
 
-def asked_postings(index: Index, asked: DataFrame) -> DataFrame:
-    """The postings of the terms that ``asked`` (term) names: the scan is told their buckets and, up to ``NAMED``, the terms.
+def asked_rows(index: Index, asked: DataFrame) -> list[DataFrame]:
+    """The postings and the bounds of the terms that ``asked`` (term) names: scans are told their buckets and, up to ``NAMED``, the terms.
 
     The driver holds a number for each bucket and ``NAMED`` terms at most.
     """
     terms = asked.select("term").distinct()
     named = [r[0] for r in terms.limit(NAMED + 1).collect()]
     found = [r[0] for r in terms.select(_bucket(F.col("term"), index.buckets)).distinct().collect()]
-    kept = index.postings.filter(F.col("bucket").isin(found))
-    if len(named) <= NAMED:
-        return kept.filter(F.col("term").isin(named))
-    return kept.join(terms, "term", "left_semi")
+    kept = [t.filter(F.col("bucket").isin(found)) for t in (index.postings, index.bounds)]
+    return [t.filter(F.col("term").isin(named)) if len(named) <= NAMED else t.join(terms, "term", "left_semi") for t in kept]
 
 
 def _part(tf: Column, dl: Column) -> Column:
@@ -138,19 +147,19 @@ def search(index: Index, queries: DataFrame, top: int = 1, live: DataFrame | Non
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = written(asked, "asked")
-    postings = asked_postings(index, asked)
+    postings, limits = asked_rows(index, asked)
     docs = index.docs if live is None else index.docs.join(live.select("hash"), "hash", "left_semi")
     whole = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
     if live is None:
-        df = postings.groupBy("term").agg(F.sum("n").alias("df"))
+        df = limits.groupBy("term").agg(F.sum("n").alias("df"))
     else:
-        df = postings.select("term", F.explode("docs.hash").alias("hash")).join(live.select("hash"), "hash", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        df = postings.select("term", "hash").join(live.select("hash"), "hash", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     terms = written(asked.join(df, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "avgdl"), "terms")
     few = terms.count() <= ASKED
     with_terms = lambda rows: rows.join(F.broadcast(terms) if few else terms, "term")
 
-    most = with_terms(postings.select("term", "segment", "slot", "max_tf", "min_dl"))
+    most = with_terms(limits)
     bounds = most.groupBy("query_id", "segment", "slot").agg(F.sum(F.col("weight") * _part(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "slot")
     bounds = written(bounds.withColumn("_r", F.row_number().over(by_bound)), "bounds")
@@ -158,11 +167,10 @@ def search(index: Index, queries: DataFrame, top: int = 1, live: DataFrame | Non
     def scored(slots: DataFrame) -> DataFrame:
         """Postings are dealt by slot, once for all queries that look at it; all hits of a block then are in one task already."""
         looked = slots.groupBy("segment", "slot").agg(F.collect_list("query_id").alias("_queries"))
-        dealt = postings.select("term", "segment", "slot", "docs").repartition("segment", "slot").join(looked, ["segment", "slot"])
-        rows = with_terms(dealt).filter(F.array_contains("_queries", F.col("query_id")))
-        hits = rows.select("segment", "slot", "query_id", "weight", "avgdl", F.explode("docs").alias("d"))
-        hits = hits if live is None else hits.withColumn("hash", F.col("d.hash")).join(live.select("hash"), "hash", "left_semi")
-        return hits.groupBy("segment", "slot", "query_id", F.col("d.hash").alias("hash")).agg(F.sum(F.col("weight") * _part(F.col("d.tf"), F.col("d.dl"))).alias("score")).drop("segment", "slot")
+        counted = postings if live is None else postings.join(live.select("hash"), "hash", "left_semi")
+        dealt = counted.select("term", "segment", "slot", "hash", "tf", "dl").repartition("segment", "slot").join(looked, ["segment", "slot"])
+        hits = with_terms(dealt).filter(F.array_contains("_queries", F.col("query_id")))
+        return hits.groupBy("segment", "slot", "query_id", "hash").agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"))).alias("score")).drop("segment", "slot")
 
     first = written(scored(bounds.filter(F.col("_r") <= max(FIRST, top))), "scored")
     floor = first.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("_r") == top).select("query_id", (F.col("score") - ROOM).alias("floor"))

@@ -55,7 +55,7 @@ def test_index_edges(spark, texts, tmp_path, monkeypatch):
 def test_index_plan(spark, texts, tmp_path):
     """A search reads the buckets and terms that are asked for, and no content."""
     whole = index.build(texts[0], f"{tmp_path}/a", 16)
-    plan = index.asked_postings(whole, spark.createDataFrame([("w1",), ("tie",)], "term string"))._jdf.queryExecution().executedPlan().toString()
+    plan = index.asked_rows(whole, spark.createDataFrame([("w1",), ("tie",)], "term string"))[0]._jdf.queryExecution().executedPlan().toString()
     assert "In(term, [tie,w1])" in plan.replace("In(term, [w1,tie])", "In(term, [tie,w1])") and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") and "content" not in plan
 
 
