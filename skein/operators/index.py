@@ -74,7 +74,7 @@ def _write(postings: DataFrame, slots: int, path: str, buckets: int) -> None:
     """
     spark = postings.sparkSession
     slot = F.pmod(F.xxhash64("hash"), F.lit(slots)).cast("int").alias("slot")
-    put = lambda rows, name: rows.sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/{name}")
+    put = lambda rows, name: rows.sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").option("compression", "zstd").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/{name}")
     part = F.pmod("slot", F.lit(SPREAD))
     with no_shuffle_left(spark):
         told = postings.select(_bucket(F.col("term"), buckets), "term", slot, "hash", "tf", "dl")
@@ -166,8 +166,10 @@ def search(index: Index, queries: DataFrame, top: int = 1, live: DataFrame | Non
 
     def scored(slots: DataFrame) -> DataFrame:
         """Postings are dealt by slot, once for all queries that look at it; all hits of a block then are in one task already."""
-        looked = slots.groupBy("segment", "slot").agg(F.collect_list("query_id").alias("_queries"))
-        counted = postings if live is None else postings.join(live.select("hash"), "hash", "left_semi")
+        looked = written(slots.groupBy("segment", "slot").agg(F.collect_list("query_id").alias("_queries")), "looked")
+        pairs = looked.select("segment", "slot")
+        near = postings.join(F.broadcast(pairs) if pairs.count() <= ASKED else pairs, ["segment", "slot"], "left_semi")
+        counted = near if live is None else near.join(live.select("hash"), "hash", "left_semi")
         dealt = counted.select("term", "segment", "slot", "hash", "tf", "dl").repartition("segment", "slot").join(looked, ["segment", "slot"])
         hits = with_terms(dealt).filter(F.array_contains("_queries", F.col("query_id")))
         return hits.groupBy("segment", "slot", "query_id", "hash").agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"))).alias("score")).drop("segment", "slot")
