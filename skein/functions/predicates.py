@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,3 +22,8 @@ def log_anomaly(line: Column) -> Column:
 
 def value_anomaly(value: Column) -> Column:
     return F.coalesce(value.rlike(VALUE), F.lit(False))
+
+
+def value_word(name: str) -> bool:
+    """Whether a name is an anomaly, as known before any row is read."""
+    return re.search(VALUE, name) is not None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.lines import let
+
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -24,3 +26,8 @@ def unpacked(row: str, names: list[str], new: dict[str, Column]) -> list[Column]
     """The fields of a packed row; those that ``new`` names give way to it, at their place or at the end."""
     kept = [new[c].alias(c) if c in new else col(c, row).alias(c) for c in names]
     return kept + [value.alias(c) for c, value in new.items() if c not in names]
+
+
+def json_of(value: Column) -> Column:
+    """The JSON of any value; null for null."""
+    return let(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), lambda j: F.substr(j, F.lit(6), F.length(j) - 6))

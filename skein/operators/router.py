@@ -14,6 +14,7 @@ from skein.operators.align import align
 from skein.operators.code import KIND, TYPE, skeleton
 from skein.operators.jsonlists import is_json, render
 from skein.operators.logs import crush_log
+from skein.operators.retrievable import keep_log, keep_table
 from skein.operators.tabular import crush_rows
 from skein.operators.text import compress_text
 
@@ -90,10 +91,11 @@ def _parsed(k: int, output: str):
     return run
 
 
-def compress(df: DataFrame, k_elements: int = 5, k_lines: int = 20, k_rows: int = 5, output: str = "json", aligned: bool = False) -> DataFrame:
+def compress(df: DataFrame, k_elements: int = 5, k_lines: int = 20, k_rows: int = 5, output: str = "json", aligned: bool = False, retrievable: bool = False) -> DataFrame:
     """``df`` with route, compressed and blocks, in one pass over it; columns of these names give way to them, all others stay.
 
     Only documents that may be JSON or code are handed to Python, once; the others' texts stay in the JVM.
+    ``retrievable``: what logs and tables omit becomes blocks too, so that it can be put back.
     """
     text = F.col("text")
     rows = df.select(packed(df).alias("_row"), (align(text) if aligned else text).alias("text"), *[F.col(c) for c in ("filename", "mime_type")])
@@ -103,9 +105,14 @@ def compress(df: DataFrame, k_elements: int = 5, k_lines: int = 20, k_rows: int
     read = guess.withColumn("_made", _parsed(k_elements, output)(F.when(open_, text), F.col("_named"), F.col("_content"), language(F.col("filename"))))
     routed = read.withColumn("_route", F.coalesce("_named", F.when(F.col("_made.json").isNotNull(), "json").otherwise(F.col("_content"))))
     is_ = lambda name: F.col("_route") == name
+    log, table, found = crush_log(text, k_lines), crush_rows(F.when(is_("tabular"), text), k_rows), F.when(is_("code"), F.col("_made.code.blocks"))
+    if retrievable:
+        kept = F.when(is_("log"), keep_log(text, k_lines)).when(is_("tabular"), keep_table(text, k_rows))
+        routed = routed.withColumn("_kept", kept)
+        log, table, found = F.col("_kept.skeleton"), F.col("_kept.skeleton"), found.otherwise(F.col("_kept.blocks"))
     made = (
         F.when(is_("empty"), "").when(is_("json"), F.coalesce("_made.json", compress_text(text))).when(is_("code"), F.col("_made.code.skeleton"))
-        .when(is_("log"), crush_log(text, k_lines)).when(is_("tabular"), crush_rows(F.when(is_("tabular"), text), k_rows)).otherwise(compress_text(text))
+        .when(is_("log"), log).when(is_("tabular"), table).otherwise(compress_text(text))
     )
     new = {"text": text} if aligned else {}
-    return routed.select(*unpacked("_row", df.columns, new | {"route": F.col("_route"), "compressed": made, "blocks": F.when(is_("code"), F.col("_made.code.blocks"))}))
+    return routed.select(*unpacked("_row", df.columns, new | {"route": F.col("_route"), "compressed": made, "blocks": found}))

@@ -13,8 +13,10 @@ from skein.operators.align import align, restore, side_table
 from skein.operators.code import compress_code
 from skein.operators.jsonlists import crush_json, truncate_list
 from skein.operators.logs import crush_log, islands
+from skein.operators.retrievable import keep_list, keep_log, keep_table
 from skein.operators.tabular import crush_table
 from skein.operators.text import collapse_blank_lines, compress_text
+from skein.operators.typed import crush_column
 from skein.plans import rendered as R
 from skein.sources import corpus
 from skein.sources.shared import fresh
@@ -587,3 +589,74 @@ def compress_routes(spark, d):
 def compress_all(spark, d):
     out = router.compress(R.named(spark, d), aligned=True)
     return out.select("doc_id", "route", "compressed", F.coalesce(F.size("blocks"), F.lit(0)).alias("n_blocks"))
+
+
+def sql_kept(rows: str, key: str, k: int, kind: str, unit: str, sep: str, before: str = "''", after: str = "''") -> str:
+    """Skeletons of rows (key, pos from 1, n, s, odd) whose runs out of sight are tokens, and the texts."""
+    return f"""WITH r AS ({rows}), c AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY {key} ORDER BY pos) AS g FROM r WHERE pos > {k} AND pos <= n - {k} AND NOT odd
+), g AS (
+  SELECT {key}, min(pos) AS pos, count(*) AS m, string_agg(s, {sep} ORDER BY pos) AS body FROM c GROUP BY {key}, g
+), parts AS (
+  SELECT {key}, pos, s, 0 AS block FROM r WHERE pos <= {k} OR pos > n - {k} OR odd
+  UNION ALL SELECT {key}, pos, CASE WHEN length(body) > 80 THEN '<<ccr:' || sha256(body) || ',{kind} ' || m || ' {unit},' || length(body) || '>>' ELSE body END, (length(body) > 80)::INT FROM g
+), t AS (SELECT {key}, {before} || string_agg(s, {sep} ORDER BY pos) || {after} AS text FROM r GROUP BY {key})
+SELECT {key}, {before} || string_agg(s, {sep} ORDER BY pos) || {after} AS skeleton, any_value(text) AS text, sum(block)::BIGINT AS n_blocks FROM parts JOIN t USING ({key}) GROUP BY {key}"""
+
+
+def _put_back(rows: DataFrame, key: str) -> DataFrame:
+    """Skeletons (key, c) and the texts to which they decompress."""
+    made = rows.select(key, F.col("c.skeleton").alias("skeleton"), F.col("c.skeleton").alias("text"), F.col("c.blocks").alias("blocks"))
+    back = api.decompress(made, api.store(made, now()), now())
+    return back.select(key, "skeleton", "text", F.size("blocks").cast("bigint").alias("n_blocks"))
+
+
+BY_USER = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n, event_type = 'error' AS odd FROM events"
+
+
+@query(sql_kept(f"SELECT *, line AS s, {MARK} AS odd FROM ({R.SQL['log_lines']})", "user_id", 3, "log", "lines", "chr(10)"))
+def log_round_trip(spark, d):
+    """Logs whose omitted lines are blocks, compressed, stored and decompressed."""
+    return _put_back(R.logs(spark, d).select("user_id", keep_log(F.col("text"), 3).alias("c")), "user_id")
+
+
+@query(sql_kept(f"SELECT user_id, event_id || ',' || event_type AS s, {BY_USER}", "user_id", 2, "table", "rows", "chr(10)", "'event_id,event_type' || chr(10)", "chr(10)"))
+def table_round_trip(spark, d):
+    return _put_back(R.tables(spark, d).select("user_id", keep_table(F.col("text"), 2).alias("c")), "user_id")
+
+
+@query(sql_kept(f"""SELECT user_id, '{{"event_id":' || event_id || ',"event_type":"' || event_type || '"}}' AS s, {BY_USER}""", "user_id", 2, "json", "items", "','", "'['", "']'"))
+def list_round_trip(spark, d):
+    return _put_back(R.lists(spark, d).select("user_id", keep_list(F.col("items"), 2).alias("c")), "user_id")
+
+
+@query(f"""SELECT d.doc_id, skeleton, coalesce(d.text, '') AS text, coalesce(n_blocks, 0) AS n_blocks FROM documents d LEFT JOIN ({sql_kept(
+    f"SELECT doc_id, pos, (count(*) OVER (PARTITION BY doc_id))::BIGINT AS n, line AS s, {MARK} AS odd FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos, len(x) AS m FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE NOT (pos = m AND line = '')",
+    "doc_id", 1, "log", "lines", "chr(10)")}) k USING (doc_id)""")
+def document_round_trip(spark, d):
+    """Every whole text with its first and last line in sight."""
+    return _put_back(R.table(spark, d, "documents").select("doc_id", keep_log(F.col("text"), 1).alias("c")), "doc_id")
+
+
+def sql_typed(k: int) -> str:
+    def crushed(rows: str, by: str, order: str) -> str:
+        """JSON of the rows (s, odd) of each group ``by``, and whether any is odd."""
+        listed = lambda item, where: f"'[' || coalesce(string_agg({item}, ',' ORDER BY {order}) FILTER (WHERE {where}), '') || ']'"
+        found = f"'{{\"original_index\":' || (pos - 1) || ',\"value\":' || s || '}}'"
+        node = f"""'{{"__type__":"truncated_list","head":' || {listed('s', f'pos <= {k}')} || ',"tail":' || {listed('s', f'pos > n - {k}')} || ',"anomalies":' || {listed(found, f'pos > {k} AND pos <= n - {k} AND odd')} || ',"omitted_count":' || (n - {2 * k}) || '}}'"""
+        numbered = f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) AS pos, count(*) OVER (PARTITION BY {by}) AS n FROM ({rows})"
+        return f"SELECT {by}, CASE WHEN n > {2 * k} THEN {node} ELSE {listed('s', 'true')} END AS made, bool_or(odd) AS odd FROM ({numbered}) GROUP BY {by}, n"
+
+    events = """SELECT user_id, event_id % 7 AS part, ts, event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS s, event_type = 'error' AS odd FROM events"""
+    parts = f"""SELECT user_id, part, '{{"part":' || part || ',"events":' || made || '}}' AS s, odd FROM ({crushed(events, "user_id, part", "ts, event_id")})"""
+    return f"SELECT user_id, made AS crushed FROM ({crushed(parts, 'user_id', 'part')})"
+
+
+@query(sql_typed(2))
+def json_typed(spark, d):
+    """Lists of lists, cut at both levels by expressions made from their type."""
+    rows = R.table(spark, d, "events").select("user_id", (F.col("event_id") % 7).alias("part"), "ts", "event_id", "event_type")
+    inner = rows.groupBy("user_id", "part").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x"))
+    events = F.transform("x", lambda y: F.struct(y["event_id"].alias("event_id"), y["event_type"].alias("event_type")))
+    outer = inner.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("part", events.alias("events")))).alias("parts"))
+    return crush_column(outer, "parts", 2, "crushed").select("user_id", "crushed")
