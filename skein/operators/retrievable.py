@@ -24,9 +24,9 @@ from skein.operators.logs import runs
 
 BLOCKS = "array<struct<hash:string,lang:string,size:int,content:string>>"
 PART = "array<struct<text:string,end:string>>"
-#: A line with its end; a last line has none. The ends are those of ``LINE_END``, read without going back.
-_LINE = r"[^\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]*+(?:\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]|\z)"
-_LINE_END = r"(\r?+\n|[\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]|)\z"
+#: Single characters that end a line, as in ``LINE_END``, and the place after an end; CR LF is one end.
+_ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+_AFTER_END = r"(?<=[\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]|\r(?!\n))"
 
 
 def _record(sep: str) -> str:
@@ -35,22 +35,25 @@ def _record(sep: str) -> str:
     return rf"{cell}(?:{sep}{cell})*+(?:\n|\z)"
 
 
-def _ended(pieces: Column, end: str) -> Column:
-    """Parts of pieces that end as the pattern ``end`` says; the empty piece at a text's end is none."""
+def _ended(pieces: Column, ends: str) -> Column:
+    """Parts of pieces that end with one of ``ends``, with CR LF or with none; the empty piece at a text's end is no part."""
+
     def part(piece: Column) -> Column:
-        return let(F.regexp_extract(piece, end, 1), lambda e: F.struct(F.substr(piece, F.lit(1), F.length(piece) - F.length(e)).alias("text"), e.alias("end")))
+        last = F.right(piece, F.lit(1))
+        width = F.when(piece.endswith("\r\n"), 2).when(F.lit(ends).contains(last), 1).otherwise(0)
+        return let(width, lambda w: F.struct(F.left(piece, F.length(piece) - w).alias("text"), F.right(piece, w).alias("end")))
 
     return F.transform(F.filter(pieces, lambda x: x != ""), part).cast(PART)
 
 
 def log_parts(text: Column) -> Column:
-    return _ended(F.regexp_extract_all(text, F.lit(f"({_LINE})"), F.lit(1)), _LINE_END)
+    return _ended(F.split(text, _AFTER_END, -1), _ENDS)
 
 
 def table_parts(text: Column) -> Column:
     """Records by the delimiter that the first line shows: a tab if it has one, else a comma."""
     by = lambda sep: F.regexp_extract_all(text, F.lit(f"({_record(sep)})"), F.lit(1))
-    return _ended(F.when(F.substring_index(text, "\n", 1).contains("\t"), by("\t")).otherwise(by(",")), r"(\r?+\n|)\z")
+    return _ended(F.when(F.substring_index(text, "\n", 1).contains("\t"), by("\t")).otherwise(by(",")), "\n")
 
 
 def list_parts(items: Column) -> Column:
