@@ -19,7 +19,7 @@ from skein.operators.text import collapse_blank_lines, compress_text
 from skein.operators.typed import crush_column
 from skein.plans import rendered as R
 from skein.sources import corpus
-from skein.sources.shared import fresh
+from skein.sources.shared import fresh, written
 from skein.streaming.store import lives, snapshot
 
 QUERIES: dict = {}
@@ -605,8 +605,8 @@ SELECT {key}, {before} || string_agg(s, {sep} ORDER BY pos) || {after} AS skelet
 
 
 def _put_back(rows: DataFrame, key: str) -> DataFrame:
-    """Skeletons (key, c) and the texts to which they decompress."""
-    made = rows.select(key, F.col("c.skeleton").alias("skeleton"), F.col("c.skeleton").alias("text"), F.col("c.blocks").alias("blocks"))
+    """Skeletons (key, c) and the texts to which they decompress. What is compressed is a table, as both the store and the texts are read from it."""
+    made = written(rows, "kept").select(key, F.col("c.skeleton").alias("skeleton"), F.col("c.skeleton").alias("text"), F.col("c.blocks").alias("blocks"))
     back = api.decompress(made, api.store(made, now()), now())
     return back.select(key, "skeleton", "text", F.size("blocks").cast("bigint").alias("n_blocks"))
 
