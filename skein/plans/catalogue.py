@@ -607,8 +607,8 @@ SELECT {key}, {before} || string_agg(s, {sep} ORDER BY pos) || {after} AS skelet
 def _put_back(rows: DataFrame, key: str) -> DataFrame:
     """Skeletons (key, c) and the texts to which they decompress. What is compressed is a table, as both the store and the texts are read from it."""
     made = written(rows, "kept").select(key, F.col("c.skeleton").alias("skeleton"), F.col("c.skeleton").alias("text"), F.col("c.blocks").alias("blocks"))
-    back = api.decompress(made, api.store(made, now()), now())
-    return back.select(key, "skeleton", "text", F.size("blocks").cast("bigint").alias("n_blocks"))
+    counted = made.withColumn("n_blocks", F.size("blocks").cast("bigint")).drop("blocks")  # their contents need not go through its joins
+    return api.decompress(counted, api.store(made, now()), now()).select(key, "skeleton", "text", "n_blocks")
 
 
 BY_USER = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n, event_type = 'error' AS odd FROM events"
