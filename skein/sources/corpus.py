@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.operators.blocks import TTL, live
+from skein.sources.shared import no_shuffle_left
 
 SCHEMA = "filename string, mime_type string, text string"
 #: Signs that a command without a shell may not hold. Fixed values.
@@ -55,14 +56,20 @@ def run_command(spark: SparkSession, command: str | list[str], shell: bool = Fal
     return spark.createDataFrame([("command.log", None, done.stdout)], SCHEMA), done.returncode
 
 
+#: A filter of a megabyte for each file, which is Parquet's own choice, would outgrow the blocks of a day by far: the smallest of these candidates that holds the row group's hashes is written.
+BLOOM = {"parquet.bloom.filter.enabled#hash": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number#hash": "16"}
 #: Columns of a snapshot; the day of created_at (UTC) is its partition.
 BLOCKS = "hash string, content string, created_at timestamp, seq long"
 
 
 def read_blocks(spark: SparkSession, path: str, now: Column | None = None, ttl: int = TTL) -> DataFrame:
-    """A snapshot of the store; with ``now`` its live blocks alone, of which only the days that may hold some are scanned."""
+    """A snapshot of the store; with ``now`` its live blocks alone, of which only the days that may hold some are scanned.
+
+    Its folders are listed once; what a file of it holds is told by that file alone.
+    """
     rows = spark.read.schema(f"{BLOCKS}, day date").parquet(path)
-    found = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+    one = rows.select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))).limit(1).collect()
+    found = {f.name: f.dataType for f in spark.read.option("basePath", path).parquet(one[0][0]).schema.fields} if one else {}
     odd = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if found and found.get(f.name) != f.dataType]
     if odd:
         raise ValueError(f"{path} is no snapshot of a store: it has no {', '.join(odd)}")
@@ -86,7 +93,8 @@ def write_blocks(store: DataFrame, path: str) -> None:
     """A snapshot goes to a folder of its own, a folder for each day in it; an old one is never written over."""
     rows = store.select("hash", "content", F.col("created_at").cast("timestamp").alias("created_at"), F.col("seq").cast("long").alias("seq")).withColumn("day", _day(F.col("created_at")))
     placed = rows.repartitionByRange("day", "hash").sortWithinPartitions("day", "hash")
-    placed.write.mode("error").partitionBy("day").option("parquet.bloom.filter.enabled#hash", "true").parquet(path)
+    with no_shuffle_left(store.sparkSession):
+        placed.write.mode("error").partitionBy("day").options(**BLOOM).parquet(path)
 
 
 def write_text(df: DataFrame, path: str, column: str = "compressed") -> None:

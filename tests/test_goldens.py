@@ -227,6 +227,16 @@ def test_snapshot_layout(spark, tmp_path):
         corpus.read_blocks(spark, f"{tmp_path}/other")
 
 
+def test_snapshot_size(spark, tmp_path):
+    """Many days of few blocks: a file's Bloom filter is as large as its hashes need."""
+    store = blocks.make_blocks(spark.range(40).select(F.concat(F.lit("block "), F.col("id").cast("string")).alias("content"), F.timestamp_seconds(F.col("id") * 43_200).alias("created_at")))
+    path = tmp_path / "a b+c"
+    corpus.write_blocks(store, str(path))
+    files = list(path.glob("day=*/*.parquet"))
+    assert len(files) == 20 and max(f.stat().st_size for f in files) < 10_000
+    assert corpus.look_up(spark, str(path), *[r["hash"] for r in store.collect()]).count() == 40
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a",), (None,), ("c d",)], "compressed string").coalesce(1)
     corpus.write_text(df, f"{tmp_path}/out")
