@@ -330,3 +330,28 @@ def test_lives(spark, tmp_path):
         ("b", 900, "stored"), ("b", 1200, "expired"), ("c", 560, "stored"), ("c", 860, "expired"), ("c", 1000, "stored"), ("c", 1300, "expired"), ("d", 2000, "stored"), ("d", 2300, "renewed"),
     ])
     assert [(r["content"], r["created_at"].timestamp()) for r in blocks_left(told).collect()] == [("d", 7300.0)]
+
+
+def test_lives_share_a_state(spark, tmp_path):
+    """Blocks of one group have one state and one timer: their lives are those that a plain loop tells."""
+    rnd, end = random.Random(4), 20_000_000
+    batches = [[(f"b{rnd.randint(0, 25)}", 1000 + 200 * i + rnd.randint(0, 199)) for _ in range(12)] for i in range(5)] + [[("last", end), ("late", end + 9 * 10**9)], [("end", end + 9 * 10**9 + 1)]]
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "content string, s long").coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        for f in (tmp_path / f"w{i}").glob("part-*"):
+            f.rename(tmp_path / "in" / f"{i}.parquet")
+            os.utime(tmp_path / "in" / f"{i}.parquet", (1000 + i, 1000 + i))
+    stream = spark.readStream.schema("content string, s long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("created_at", F.timestamp_seconds("s"))
+    run = lives(stream, late="1000 seconds", groups=1).writeStream.format("memory").queryName("shared_lives").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination(200)
+    told = spark.table("shared_lives").withColumn("s", F.unix_seconds("at"))
+    names = {r["hash"]: r["content"] for r in told.filter("content is not null").collect()}
+    want, last = [], {}
+    for content, at_ in [x for rows in batches for x in sorted(rows, key=lambda r: r[1])]:
+        if content in last and at_ - last[content] > 300:
+            want.append((content, "expired", last.pop(content) + 300))
+        want.append((content, "renewed" if content in last else "stored", at_))
+        last[content] = at_
+    want += [(c, "expired", t + 300) for c, t in last.items() if t <= end]
+    assert sorted((names[r["hash"]], r["event"], r["s"]) for r in told.collect()) == sorted(want) and len(want) > 80
