@@ -414,7 +414,7 @@ NESTED = """WITH RECURSIVE b AS (
 
 def _nested(spark, d) -> tuple[DataFrame, DataFrame]:
     """A text with a token for each part; the parts' blocks name others, up to eight deep, some of them themselves."""
-    part, name = R.table(spark, d, "part"), lambda c: F.sha2(F.concat(F.lit("b"), c.cast("string")).cast("binary"), 256)
+    part, name = R.parts(spark, d), lambda c: F.sha2(F.concat(F.lit("b"), c.cast("string")).cast("binary"), 256)
     tok = lambda h: F.concat(F.lit("<<ccr:"), h, F.lit(",t,1>>"))
     up = F.when(F.col("p_partkey") % 50 == 7, F.col("p_partkey")).otherwise(F.expr("p_partkey div 3"))
     store = part.select(name(F.col("p_partkey")).alias("hash"), F.concat("p_name", F.lit("\n  "), tok(name(up))).alias("content"), now().alias("created_at"))
@@ -529,7 +529,7 @@ def json_nested(spark, d):
     whole = F.array_join(F.transform(numbers, lambda i: F.when(i == 2, '"fatal"').otherwise(i.cast("string"))), ", ")
     text = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "in": {"items": ['), whole, F.lit("]}}"))
     prose = F.concat(F.lit('{"name":  \n no   JSON, '), F.regexp_replace("p_name", " ", "   "), F.lit("\t"))
-    return R.table(spark, d, "part").select("p_partkey", crush_json(text, 0).alias("every_list"), crush_json(prose, 0).alias("fallback"))
+    return R.parts(spark, d).select("p_partkey", crush_json(text, 0).alias("every_list"), crush_json(prose, 0).alias("fallback"))
 
 
 @query("""WITH c AS (SELECT p_partkey, '    name = ''' || p_name || '''' || chr(10) || '    return name * ' || p_size AS py, ' const s = ''{' || p_name || '}''; return s.repeat(' || p_size || '); ' AS js FROM part)
@@ -546,7 +546,7 @@ def compress_aligned(spark, d):
     h = F.md5(F.col("p_partkey").cast("string").cast("binary"))
     uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     text = F.concat(F.lit("made   2024-02-30  \nby "), uuid, F.lit("   of "), "p_name", F.lit("\n"))
-    rows = R.table(spark, d, "part").select("p_partkey", F.lit(None).cast("string").alias("filename"), F.lit(None).cast("string").alias("mime_type"), text.alias("text"))
+    rows = R.parts(spark, d).select("p_partkey", F.lit(None).cast("string").alias("filename"), F.lit(None).cast("string").alias("mime_type"), text.alias("text"))
     return router.compress(rows, aligned=True).select("p_partkey", "route", "compressed")
 
 
@@ -579,7 +579,7 @@ def compress_routes(spark, d):
         "txt": F.concat(F.lit("part "), key, F.lit("  \n  is   of size "), size, F.lit("\n")), "none": F.lit(" \n"),
     }
     known = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in texts.items()])
-    rows = R.table(spark, d, "part").select("p_partkey", "p_size").join(c, "p_partkey").select(key.alias("key"), F.explode(known).alias("x"))
+    rows = c.select(key.alias("key"), F.explode(known).alias("x"))
     name = F.concat("key", F.lit("."), F.col("x.kind"))
     out = router.compress(rows.select(name.alias("name"), F.when(F.col("x.kind").isin("py", "js", "log", "csv"), name).alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("x.text").alias("text")))
     return out.select("name", "route", "compressed", F.coalesce(F.size("blocks"), F.lit(0)).cast("bigint").alias("n_blocks"))

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.sources.shared import spread
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts, of which each makes texts many times its size."""
+    return spread(table(spark, d, "part"), "p_partkey")
+
+
 def _by_user(rows: DataFrame, item) -> DataFrame:
     return rows.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", item.alias("x")))), lambda y: y["x"]).alias("items"))
 
@@ -62,8 +69,8 @@ def code(spark: SparkSession, d: str) -> DataFrame:
     """A function in Python and one in JavaScript for each part; body_py and body_js are what a token should replace."""
     body_py = F.concat(F.lit("    name = '"), F.col("p_name"), F.lit("'\n    return name * "), F.col("p_size").cast("string"))
     body_js = F.concat(F.lit(" const s = '{"), F.col("p_name"), F.lit("}'; return s.repeat("), F.col("p_size").cast("string"), F.lit("); "))
-    return table(spark, d, "part").select(
-        "p_partkey", body_py.alias("body_py"), body_js.alias("body_js"),
+    return parts(spark, d).select(
+        "p_partkey", "p_size", body_py.alias("body_py"), body_js.alias("body_js"),
         F.concat(F.lit("def f(x):\n"), body_py, F.lit("\n")).alias("py"), F.concat(F.lit("function f(x) {"), body_js, F.lit("}\n")).alias("js"),
     )
 

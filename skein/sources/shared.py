@@ -27,6 +27,16 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/skein-{name}-{uuid.uuid4().hex}"
 
 
+#: Tasks for each core of the session, at least, where the work on a row costs much more than reading it.
+TASKS = 4
+
+
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """A table's rows dealt to all cores by ``keys``: Spark cuts scans by bytes, so small compressed files would be one task however much is made of their rows."""
+    least = TASKS * table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= least else table.repartition(least, *keys)
+
+
 #: Spark's setting that lets shuffle files go when the query that made them has ended.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

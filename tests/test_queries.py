@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skein.plans import catalogue
+from skein.plans import catalogue, rendered
 
 DATA = "/root/testdata/sf0.01"
 
@@ -30,6 +30,13 @@ def test_query(spark, name):
         assert norm(got) == norm(want)
 
 
+def test_parts_are_spread(spark):
+    """What is made of the parts is made by all cores, whatever the size of their file."""
+    for name in ("compress_routes", "code_brace_blocks", "compress_aligned", "json_nested"):
+        assert "REPARTITION_BY_NUM" in catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert rendered.parts(spark, DATA).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_bm25_whole_text(spark, tmp_path):
     """Words beyond the fifth of a benchmark text count, repeated ones as often as they occur."""
     docs = [(1, "a b c d e"), (2, "f g f"), (3, "g"), (4, None), (5, "x y")]
