@@ -478,7 +478,7 @@ def code_brace_blocks(spark, d):
 def code_round_trip(spark, d):
     """Compress, store, decompress: the text itself."""
     rows = R.code(spark, d).select("p_partkey", F.lit("x.py").alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("py").alias("text"))
-    done = router.compress(rows)
+    done = written(router.compress(rows).select("p_partkey", "compressed", "blocks"), "code")  # both the store and the texts are read from it
     return api.decompress(done.select("p_partkey", F.col("compressed").alias("text")), api.store(done, now()), now())
 
 

@@ -37,6 +37,11 @@ def test_parts_are_spread(spark):
     assert rendered.parts(spark, DATA).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_code_is_compressed_once(spark):
+    """The store and the texts are read from a table, so no parser runs again for either."""
+    assert "EvalPython" not in catalogue.QUERIES["code_round_trip"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bm25_whole_text(spark, tmp_path):
     """Words beyond the fifth of a benchmark text count, repeated ones as often as they occur."""
     docs = [(1, "a b c d e"), (2, "f g f"), (3, "g"), (4, None), (5, "x y")]
