@@ -85,6 +85,8 @@ def tokens(text: Column) -> Column:
 K1, B = 1.5, 0.75
 
 
+#: The term that each block has beside its words; no word is a blank.
+WHOLE = " "
 #: Pairs of query and term that go to every task, so that hits stay with their block; more are joined by term.
 ASKED = 200_000
 
@@ -92,11 +94,14 @@ ASKED = 200_000
 def _terms(store: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """asked (query_id, term, qtf), tf (hash, seq, dl, term, tf), df (term, df) of the terms that are asked for, and the row (n, avgdl)."""
     words = store.select("hash", "seq", tokens(F.col("content")).alias("w")).withColumn("dl", F.size("w"))
-    whole = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    postings = words.select("hash", "seq", "dl", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy("hash", "seq", "dl", "term").agg(F.count("*").alias("tf"))
-    return asked, tf, tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df")), whole  # df reads tf, so both read one shuffle
+    each = words.select("hash", "seq", "dl", F.explode(F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit(WHOLE)))).alias("term"))
+    marked = each.join(asked.select("term", F.lit(True).alias("_asked")).distinct(), "term", "left").filter(F.col("term").isNotNull() & (F.col("_asked") | (F.col("term") == WHOLE)))
+    counted = marked.groupBy("hash", "seq", "dl", "term").agg(F.count("*").alias("tf"))  # what follows reads this one shuffle, so texts are cut once: no filter here that Spark would push below it
+    own = F.col("term") == WHOLE
+    whole = counted.agg(F.coalesce(F.sum(F.when(own, F.col("tf"))), F.lit(0)).alias("n"), F.try_divide(F.sum(F.when(own, F.col("tf") * F.col("dl"))), F.sum(F.when(own & F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl"))
+    df = counted.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+    return asked, counted, df, whole  # both hold WHOLE, which no query asks for
 
 
 def _idf() -> Column:
@@ -106,7 +111,7 @@ def _idf() -> Column:
 def bm25_terms(store: DataFrame, queries: DataFrame) -> DataFrame:
     """term, df and idf of the terms that queries ask for and the store holds."""
     _, _, df, whole = _terms(store, queries)
-    return df.crossJoin(F.broadcast(whole)).select("term", "df", _idf().alias("idf"))
+    return df.filter(F.col("term") != WHOLE).crossJoin(F.broadcast(whole)).select("term", "df", _idf().alias("idf"))
 
 
 def bm25(store: DataFrame, queries: DataFrame, top: int = 1) -> DataFrame:

@@ -42,6 +42,14 @@ def test_code_is_compressed_once(spark):
     assert "EvalPython" not in catalogue.QUERIES["code_round_trip"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_search_cuts_texts_once(spark):
+    """Postings, frequencies and lengths are read from one shuffle."""
+    found = catalogue.QUERIES["bm25_topk"](spark, DATA)
+    found.collect()
+    done = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("FileScan" in x and "documents.parquet" in x for x in done.splitlines()) == 1
+
+
 def test_bm25_whole_text(spark, tmp_path):
     """Words beyond the fifth of a benchmark text count, repeated ones as often as they occur."""
     docs = [(1, "a b c d e"), (2, "f g f"), (3, "g"), (4, None), (5, "x y")]
