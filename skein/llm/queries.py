@@ -91,7 +91,7 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = f"{shared_dir(spark)}/skein-warc-{uuid.uuid4().hex}"
     warc.records(_read(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    archive = spark.read.format("warc").schema("record_type string, record_id string, headers map<string,string>, http map<string,string>, payload binary").load(path)
+    archive = spark.read.format("warc").option("partitions", spark.sparkContext.defaultParallelism).schema("record_type string, record_id string, headers map<string,string>, http map<string,string>, payload binary").load(path)
     return warc.pages_of(archive.filter(F.col("record_type").isin("response", "revisit")))
 
 

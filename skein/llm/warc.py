@@ -1,7 +1,7 @@
 r"""WARC archives as a PySpark data source, ``spark.read.format("warc")`` and ``df.write.format("warc")``.
 
-Reading: the files below a path are planned into partitions of about ``partition_bytes``, large files
-first; a file is read by one task. Filters on the header columns are pushed down. A record's header
+Reading: the files below a path are planned into partitions of about ``partition_bytes``, and of less
+where that is needed to have ``partitions`` of them; large files first, a file is read by one task. Filters on the header columns are pushed down. A record's header
 is parsed first; where a predicate fails, or the schema asked for holds neither payload nor http,
 the block is skipped: in a plain file by seeking past its Content-Length; in a compressed one by the
 length of the record that its gzip member names (``sl`` field), and where none does, by inflating
@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from skein.functions.lines import let
+
 SCHEMA = "record_type string, record_id string, target_uri string, date string, content_type string, content_length long, headers map<string,string>, http map<string,string>, payload binary, file string, offset long"
 #: Header lines that have columns of their own.
 NAMES = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type"}
@@ -234,7 +236,7 @@ class Files(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType) -> None:
-        self.path, self.size = options["path"], int(options.get("partition_bytes", 128 << 20))
+        self.path, self.size, self.least = options["path"], int(options.get("partition_bytes", 128 << 20)), int(options.get("partitions", 1))
         self.columns, self.filters = schema.names, []
         unknown = set(self.columns) - {x.split()[0] for x in SCHEMA.split(", ")}
         if unknown:
@@ -254,9 +256,10 @@ class WarcReader(DataSourceReader):
         found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(path, recursive=True))
         files = sorted(((f.size, f.path) for f in found if f.is_file and not f.base_name.startswith(("_", "."))), reverse=True)
         out: list[list[str]] = []
-        held = self.size
+        most = min(self.size, sum(size for size, _ in files) // self.least)
+        held = 0
         for size, name in files:
-            if held + size > self.size:
+            if not out or held + size > most:
                 out.append([])
                 held = 0
             out[-1].append(name)
@@ -406,14 +409,14 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Base-32 digits as Spark writes them, and as RFC 4648 does.
+DIGITS, ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32_digest(payload: Column) -> Column:
-    """Upper-case base32 SHA-1: five digits of the hex digest at a time give four letters."""
-    five = lambda i: F.conv(F.substring(F.sha1(payload), 5 * i + 1, 5), 16, 10).cast("int")
-    letter = lambda n, shift: F.substring(F.lit(ALPHABET), F.shiftright(n, shift).bitwiseAND(31) + 1, F.lit(1))
-    return F.concat(*[letter(five(i), shift) for i in range(8) for shift in (15, 10, 5, 0)])
+    """Upper-case base32 SHA-1: five digits of the hex digest at a time give four letters. The digest is bound: a payload is gone through once."""
+    four = lambda h, i: F.lpad(F.conv(F.substring(h, 5 * i + 1, 5), 16, 32), 4, "0")
+    return let(F.sha1(payload), lambda h: F.translate(F.concat(*[four(h, i) for i in range(8)]), DIGITS, ALPHABET))
 
 
 def record_id(page_id: Column) -> Column:

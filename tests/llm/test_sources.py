@@ -55,6 +55,20 @@ def test_archive_round_trip(spark, tmp_path, how):
     assert spark.read.format("warc").load(f"{tmp_path}/none").count() == 0
 
 
+def test_archive_work_is_dealt_and_done_once(spark, tmp_path):
+    """A payload's digest is made once a record, and small archives are read by as many tasks as are asked for."""
+    df = spark.createDataFrame([(b"",), (b"a",), (None,), (bytes(range(256)),)], "payload binary").select("payload", warc.base32_digest(F.col("payload")).alias("d"))
+    assert [r["d"] for r in df.collect()] == [None if r["payload"] is None else warc.base32_sha1(r["payload"]) for r in df.collect()]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+    for i, n in enumerate((0, 300, 300, 300, 300, 900)):
+        (tmp_path / f"{i}.warc").write_bytes(bytes(n))
+    planned = lambda **more: [len(p.paths) for p in warc.WarcReader({"path": str(tmp_path), **more}, df.select("payload").schema).partitions()]
+    assert planned() == [6] and len(planned(partitions="4")) >= 4 and planned(partition_bytes="600", partitions="2") == [1, 2, 3]
+    for i in range(6):
+        (tmp_path / f"{i}.warc").write_bytes(b"")
+    assert planned(partitions="4") == [6]
+
+
 @pytest.mark.parametrize("how", ["gzip", "none"])
 def test_archive_skips(spark, tmp_path, how):
     """Predicates on the header are the reader's, and blocks that nobody asks for aren't read."""
