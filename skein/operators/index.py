@@ -4,12 +4,12 @@ A block's content never changes, as its hash names it: its postings are written
 writes a segment of blocks, ``update`` one of the blocks that an index doesn't hold yet, ``merge``
 makes one segment of several. Which blocks live is a snapshot's matter and asked when searching.
 
-Blocks are dealt to slots by a hash. A posting is (term, slot, hash, tf, length of the block); beside
-the postings there is a row of bounds for each term and slot: the number of blocks, the largest tf
-and the smallest length. From these follows the most that the term can add to any block of the slot,
-whatever the mean length is, so slots are ruled out without looking at their blocks. Both tables are
-partitioned by a bucket of the term and sorted by term and slot, so a search reads the buckets and
-the terms that it asks for.
+Blocks are dealt to slots by a hash. A posting is (term, slot, hash, tf, length of the block); the
+first of a term and slot also has their bounds: the number of blocks and, where there are several,
+the largest tf and the smallest length. From these follows the most that the term can add to any block of the slot, whatever the mean
+length is, so slots are ruled out without looking at their blocks. The table is partitioned by a
+bucket of the term and sorted by part, term and slot, so a search reads the buckets and the terms
+that it asks for. A segment is made by one reading of its texts and one shuffle.
 
 Search: 1. the bounds of a query's terms are summed for each slot. 2. The most promising slots are
 scored exactly; their ``top``-th score is a floor. 3. Other slots are scored only if their bound
@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.lines import let
-from skein.operators.blocks import ASKED, K1, B, tokens
+from skein.operators.blocks import ASKED, K1, WHOLE, B, tokens
 from skein.sources.shared import no_shuffle_left, written
 
 #: Blocks of a slot on average; partitions by term, and parts of each by slot; terms that go into the scan's filter as they are.
 PER_SLOT, BUCKETS, SPREAD, NAMED = 16, 64, 8, 1000
+#: The bucket of the rows that stand for whole blocks while a segment is made.
+BLOCKS = -1
 #: Slots of a query that are scored first, at least.
 FIRST = 8
 #: Scores are ranked by nine digits; bounds are compared with more room than that.
@@ -38,7 +40,7 @@ ROOM = 1e-7
 
 @dataclass
 class Index:
-    """postings (bucket, term, segment, slot, hash, tf, dl), bounds (bucket, term, segment, slot, n, max_tf, min_dl) and docs (hash, dl) of all segments."""
+    """postings (bucket, term, segment, slot, hash, tf, dl), bounds (bucket, term, segment, slot, n, max_tf, min_dl), which are read from the same table, and docs (hash, dl) of all segments."""
 
     spark: SparkSession
     paths: tuple[str, ...]
@@ -46,42 +48,51 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
-        kind = self.docs.schema["hash"].dataType.simpleString()  # an empty segment has no file to tell it
-        return self._table("postings", f"hash {kind}, tf int, dl int")
+        return self._rows().drop("n", "max_tf", "min_dl")
 
     @property
     def bounds(self) -> DataFrame:
-        return self._table("bounds", "n long, max_tf int, min_dl int")
+        most = {"max_tf": F.coalesce("max_tf", "tf"), "min_dl": F.coalesce("min_dl", "dl")}
+        return self._rows().filter(F.col("n").isNotNull()).withColumns(most).drop("hash", "tf", "dl")
 
-    def _table(self, name: str, more: str) -> DataFrame:
-        schema = f"bucket int, term string, slot int, {more}"
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{p}/{name}").withColumn("segment", F.lit(i)) for i, p in enumerate(self.paths)])
+    def _rows(self) -> DataFrame:
+        schema = _schema(self.docs.schema["hash"].dataType.simpleString())  # an empty segment has no file to tell it
+        every = [self.spark.read.schema(schema).parquet(f"{p}/postings").withColumn("segment", F.lit(i)) for i, p in enumerate(self.paths)]
+        return reduce(DataFrame.unionByName, every).filter(F.col("bucket") != BLOCKS)
 
     @property
     def docs(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{p}/docs") for p in self.paths])
 
 
+def _schema(kind: str) -> str:
+    return f"bucket int, term string, slot int, hash {kind}, tf int, dl int, n int, max_tf int, min_dl int"
+
+
 def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("bucket")
+    return F.when(term == WHOLE, BLOCKS).otherwise(F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")).alias("bucket")
+
+
+def _slots(blocks: int, per_slot: int) -> int:
+    return 1 << max(0, (blocks // per_slot).bit_length())
 
 
 def _write(postings: DataFrame, slots: int, path: str, buckets: int) -> None:
-    """(term, hash, tf, dl) as a segment's postings and bounds.
+    """(term, hash, tf, dl) as a segment's postings with their bounds.
 
     A posting is dealt once, by bucket and part of the slots, so a term that most blocks hold is
-    spread over tasks. Bounds are summed up from the sorted postings.
+    spread over tasks. A term and slot are in one task, whose order their bounds need as well.
     """
-    spark = postings.sparkSession
     slot = F.pmod(F.xxhash64("hash"), F.lit(slots)).cast("int").alias("slot")
-    put = lambda rows, name: rows.sortWithinPartitions("bucket", "term", "slot").write.partitionBy("bucket").option("compression", "zstd").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/{name}")
-    part = F.pmod("slot", F.lit(SPREAD))
-    with no_shuffle_left(spark):
-        told = postings.select(_bucket(F.col("term"), buckets), "term", slot, "hash", "tf", "dl")
-        put(told.repartition("bucket", part), "postings")
-        read = spark.read.schema("bucket int, term string, slot int, tf int, dl int").parquet(f"{path}/postings")
-        bounds = read.groupBy("bucket", "term", "slot").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        put(bounds.repartition("bucket", part), "bounds")
+    told = postings.select(_bucket(F.col("term"), buckets), "term", slot, "hash", "tf", "dl").withColumn("_part", F.pmod("slot", F.lit(SPREAD)))
+    group = Window.partitionBy("bucket", "_part", "term", "slot").orderBy("hash")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, first = F.count(F.lit(1)).over(whole), F.row_number().over(group) == 1
+    several = lambda value: F.when(first & (n > 1), value.over(whole))
+    bounds = [F.when(first, n.cast("int")).alias("n"), several(F.max("tf")).alias("max_tf"), several(F.min("dl")).alias("min_dl")]
+    with no_shuffle_left(postings.sparkSession):
+        rows = told.repartition("bucket", "_part").select("bucket", "term", "slot", "hash", "tf", "dl", *bounds)
+        rows.write.partitionBy("bucket").option("compression", "zstd").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
 
 
 def _counted(words: Column) -> Column:
@@ -97,12 +108,13 @@ def _counted(words: Column) -> Column:
 
 def build(store: DataFrame, path: str, buckets: int = BUCKETS, per_slot: int = PER_SLOT) -> Index:
     """A new index of the blocks (hash, content), one row a hash, as a segment at ``path``."""
-    spark = store.sparkSession
+    spark, kind = store.sparkSession, store.schema["hash"].dataType.simpleString()
+    slots = _slots(store.select("hash").count(), per_slot)
     words = store.select("hash", tokens(F.col("content")).alias("_w")).withColumn("dl", F.size("_w"))
-    words.select("hash", "dl").write.parquet(f"{path}/docs")
-    slots = 1 << max(0, (spark.read.parquet(f"{path}/docs").count() // per_slot).bit_length())
-    each = words.select("hash", "dl", F.explode(_counted(F.col("_w"))).alias("_t")).select("hash", "dl", "_t.*")
+    block = F.array(F.struct(F.lit(WHOLE).alias("term"), F.lit(1).alias("tf")))  # a block without words has a row too
+    each = words.select("hash", "dl", F.explode(F.concat(F.coalesce(_counted(F.col("_w")), F.slice(block, 1, 0)), block)).alias("_t")).select("hash", "dl", "_t.*")
     _write(each, slots, path, buckets)
+    spark.read.schema(_schema(kind)).parquet(f"{path}/postings").filter(F.col("bucket") == BLOCKS).select("hash", "dl").write.parquet(f"{path}/docs")
     return Index(spark, (path,), buckets)
 
 
@@ -116,7 +128,7 @@ def merge(index: Index, path: str, store: DataFrame | None = None, per_slot: int
     """All segments as one at ``path``, without reading a content; blocks that ``store`` doesn't hold go."""
     docs = index.docs if store is None else index.docs.join(store.select("hash"), "hash", "left_semi")
     docs.write.parquet(f"{path}/docs")
-    slots = 1 << max(0, (index.spark.read.parquet(f"{path}/docs").count() // per_slot).bit_length())
+    slots = _slots(index.spark.read.parquet(f"{path}/docs").count(), per_slot)
     each = index.postings.select("term", "hash", "tf", "dl")
     each = each if store is None else each.join(store.select("hash"), "hash", "left_semi")
     _write(each, slots, path, index.buckets)
@@ -149,13 +161,14 @@ def search(index: Index, queries: DataFrame, top: int = 1, live: DataFrame | Non
     asked = written(asked, "asked")
     postings, limits = asked_rows(index, asked)
     docs = index.docs if live is None else index.docs.join(live.select("hash"), "hash", "left_semi")
-    whole = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
-    if live is None:
+    n_docs, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()
+    some = None if live is None or n_docs == index.docs.count() else live  # where all blocks live, bounds tell how many have a term
+    if some is None:
         df = limits.groupBy("term").agg(F.sum("n").alias("df"))
     else:
-        df = postings.select("term", "hash").join(live.select("hash"), "hash", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    terms = written(asked.join(df, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "avgdl"), "terms")
+        df = postings.select("term", "hash").join(some.select("hash"), "hash", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    terms = written(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"), F.lit(avgdl).cast("double").alias("avgdl")), "terms")
     few = terms.count() <= ASKED
     with_terms = lambda rows: rows.join(F.broadcast(terms) if few else terms, "term")
 
@@ -169,7 +182,7 @@ def search(index: Index, queries: DataFrame, top: int = 1, live: DataFrame | Non
         looked = written(slots.groupBy("segment", "slot").agg(F.collect_list("query_id").alias("_queries")), "looked")
         pairs = looked.select("segment", "slot")
         near = postings.join(F.broadcast(pairs) if pairs.count() <= ASKED else pairs, ["segment", "slot"], "left_semi")
-        counted = near if live is None else near.join(live.select("hash"), "hash", "left_semi")
+        counted = near if some is None else near.join(some.select("hash"), "hash", "left_semi")
         dealt = counted.select("term", "segment", "slot", "hash", "tf", "dl").repartition("segment", "slot").join(looked, ["segment", "slot"])
         hits = with_terms(dealt).filter(F.array_contains("_queries", F.col("query_id")))
         return hits.groupBy("segment", "slot", "query_id", "hash").agg(F.sum(F.col("weight") * _part(F.col("tf"), F.col("dl"))).alias("score")).drop("segment", "slot")

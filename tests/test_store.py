@@ -52,6 +52,23 @@ def test_index_edges(spark, texts, tmp_path, monkeypatch):
     assert found(index.search(again, asked, 2, store.select("hash", "seq"))) == found(blocks.bm25(store, asked, 2))
 
 
+def test_index_made_at_once(spark, texts, tmp_path):
+    """A segment reads each text once, and has exact bounds without a table of their own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    made = index.build(texts[0].select("hash", told.asNondeterministic()("content").alias("content")), f"{tmp_path}/a", 2, 8)
+    assert seen.value == texts[0].count() == made.docs.count()
+    assert sorted(x.name for x in tmp_path.glob("a/*")) == ["docs", "postings"]
+    key = ["bucket", "term", "segment", "slot"]
+    want = made.postings.groupBy(*key).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    assert sorted(made.bounds.select(want.columns).collect()) == sorted(want.collect()) and want.filter("n > 1").count() > 0
+
+
 def test_index_plan(spark, texts, tmp_path):
     """A search reads the buckets and terms that are asked for, and no content."""
     whole = index.build(texts[0], f"{tmp_path}/a", 16)
