@@ -24,10 +24,20 @@ RULES = (
 )
 
 
+#: What a text must hold for any rule but the last, told at a fraction of their cost.
+SIGN = "[-:](?:[0-9]{2}[-:][0-9]{2}|[0-9a-fA-F]{4}-)"
+
+
+def _replaced(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """Where a rule begins with a digit, that is looked for before what stands in front of it."""
+    for name, pattern in rules:
+        text = F.regexp_replace(text, ("(?=[0-9])" if pattern.startswith(r"\d") else "") + _L + f"(?:{pattern})" + _R, name)
+    return text
+
+
 def align(text: Column) -> Column:
-    for name, pattern in RULES:
-        text = F.regexp_replace(text, _L + f"(?:{pattern})" + _R, name)
-    return F.coalesce(text, F.lit(""))
+    signed = F.when(text.rlike(SIGN), _replaced(text, RULES[:-1])).otherwise(text)
+    return F.coalesce(_replaced(signed, RULES[-1:]), F.lit(""))
 
 
 LIKE = r"\[(?:" + "|".join(name[1:-1] for name, _ in RULES) + r")\]"

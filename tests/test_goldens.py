@@ -144,6 +144,22 @@ def test_align(spark):
     assert got == "([UUID]) from [DATE] to [DATETIME],x 7:00:00 [TIME] [COMMIT_HASH] é2024-01-02 [DATETIME]"
 
 
+def test_align_passes_over(spark, monkeypatch):
+    """A text that can hold no value meets one rule only; one that may hold a value gives what all rules in turn do."""
+    from skein.operators import align as rules
+
+    rnd = random.Random(9)
+    parts = ["-", ":", " ", "a", "é", "_", "1", "12", "12:34:56", "12:34:56.7", "2024-01-02", "2024-01-02T03:04:05Z", "0f8fad5b-d9cb-469f-a165-70867728950e", "ab" * 20, "0" * 40, "T", "+0200"]
+    df = spark.createDataFrame([(None,), ("",), *[("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6))),) for _ in range(3000)]], "text string")
+    plain = F.col("text")
+    for name, pattern in rules.RULES:
+        plain = F.regexp_replace(plain, rules._L + f"(?:{pattern})" + rules._R, name)
+    got = df.select(align(F.col("text")).alias("got"), F.coalesce(plain, F.lit("")).alias("want")).collect()
+    assert [r for r in got if r["got"] != r["want"]] == []
+    monkeypatch.setattr(rules, "RULES", (("[NONE]", "(no pattern"), rules.RULES[-1]))
+    assert one(spark, "well-known: 10-12, 3:4 " + "ab" * 20, align) == "well-known: 10-12, 3:4 [COMMIT_HASH]"
+
+
 def test_align_and_put_back(spark):
     """Any mixture of values, look-alikes and what stands between comes back; so does code that was aligned, compressed and stored."""
     rnd = random.Random(8)
